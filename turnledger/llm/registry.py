@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, feistel_shards, license_scan
+from . import byte_bpe, decontamination, exact_dedup, feistel_shards, license_scan, pii, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_pii": pii.op2_pii,
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_quality": quality.op5_quality,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_feistel_shards": feistel_shards.op7_feistel_shards,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
-SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {
+    "op3_decontamination": decontamination.OP3_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+}
