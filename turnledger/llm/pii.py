@@ -54,7 +54,7 @@ def strict_check(kind: str, value: Column) -> Column:
         return F.forall(F.split(value, r"\."), lambda p: bind(F.regexp_replace(p, "^0+(?=.)", ""), lambda q: (F.length(q) <= 3) & (F.lpad(q, 3, "0") <= "255")))
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "card":
-        return F.when(F.length(digits).between(14, 19), F.luhn_check(digits)).otherwise(False)
+        return F.when(F.length(digits).between(14, 19), F.call_function("luhn_check", digits)).otherwise(False)
     return F.length(digits).between(10, 15)
 
 
