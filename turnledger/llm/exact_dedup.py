@@ -92,17 +92,30 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SLICES = "slice long, seen binary, again binary"
 
 
-def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The "again" filter of a one-column frame of longs, at most bits / 8 bytes on the driver.
-
-    Note that bits shared between different hashes may mark a hash that is not repeated; a hash that is
-    repeated is always marked, since each of its bits was set by two tasks or twice within one."""
+def _filter(hashes: DataFrame, bits: int, which: str) -> np.ndarray:
+    """At most bits / 8 bytes on the driver."""
     parts = hashes.mapInArrow(_partial(bits), _SLICES).repartition(min(64, max(1, bits // SLICE_BITS)), "slice")
-    again = np.zeros(bits // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     size = SLICE_BITS // 8
-    for row in parts.mapInArrow(_fold, _SLICES).select("slice", "again").toLocalIterator():
-        again[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row["again"], np.uint8)
-    return again
+    for row in parts.mapInArrow(_fold, _SLICES).select("slice", which).toLocalIterator():
+        out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row[which], np.uint8)
+    return out
+
+
+def seen_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of a one-column frame of longs."""
+    return _filter(hashes, bits, "seen")
+
+
+def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The filter of those longs that come more than once. Bits shared between different hashes may mark
+    one that does not; one that does is always marked, as each of its bits was set twice."""
+    return _filter(hashes, bits, "again")
+
+
+def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """May each 64-bit hash be in the filter?"""
+    return _holds(bitmap, positions(hashes, len(bitmap) * 8))
 
 
 def probe(df: DataFrame, hash_col: str, bitmap: np.ndarray, flag: str = "maybe") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, exact_dedup, feistel_shards, license_scan, pii, quality, secret_scan, url_filter
+from . import byte_bpe, decontamination, exact_dedup, feistel_shards, license_scan, ngram_join, pii, quality, secret_scan, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_feistel_shards": feistel_shards.op7_feistel_shards,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 SQL = {
