@@ -1,0 +1,150 @@
+"""Sessions and turns: statistics, clipping, budgeted distillation, local notes, gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# The labels of a distilled session.
+USER, ASSISTANT = "المستخدم", "الوكيل"
+SESSION, FOLDER, UNKNOWN, START, TOOLS = "# جلسة ", "المجلد: ", "غير معروف", "البداية: ", "أدوات: "
+CUT, DROPPED = "\n[…قُصّ…]\n", ("### […حُذف ", " دوراً من المنتصف…]")
+
+#: turns: session_id, seq, role, text
+
+
+def sessions_from_turns(turns: DataFrame) -> DataFrame:
+    """One row per session: turn counts by role and the span of its turns."""
+    return turns.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("turns"),
+        F.count_if(F.col("role") == "user").alias("user_turns"),
+        F.count_if(F.col("role") == "assistant").alias("assistant_turns"),
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+    )
+
+
+def tool_markers(turns: DataFrame) -> DataFrame:
+    """Names used since the last answer, as one marker after the next assistant turn with text. turns carry
+    tools ARRAY<STRING>; names that no answer follows are dropped."""
+    answer = (F.col("role") == "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = turns.withColumn("answer", answer).withColumn("part", F.coalesce(F.sum(F.col("answer").cast("int")).over(before), F.lit(0)))
+    one = grouped.groupBy("session_id", "part").agg(
+        F.max(F.when(F.col("answer"), F.col("seq"))).alias("seq"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tools"))), lambda x: F.coalesce(x["tools"], F.array().cast("array<string>"))))).alias("names"),
+    )
+    return one.filter("seq IS NOT NULL AND size(names) > 0").select("session_id", "seq", F.array_join("names", ",").alias("tool"))
+
+
+def session_stats(turns: DataFrame) -> DataFrame:
+    """Characters of the user's turns (unclipped), blocks, sorted tool names."""
+    return turns.groupBy("session_id").agg(
+        F.coalesce(F.sum(F.when(F.col("role") == "user", F.length("text"))), F.lit(0)).cast("long").alias("user_chars"),
+        F.count_if(F.col("role").isin("user", "assistant")).alias("blocks"),
+    )
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def clipped(text: Column, limit: int) -> Column:
+    """At most `limit` characters: both ends of a longer text with a mark between."""
+    flat = _stripped(F.regexp_replace(text, "\n{3,}", "\n\n"))
+    half = (limit - 24) // 2
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.left(flat, F.lit(half)), F.lit(CUT), F.right(flat, F.lit(half))))
+
+
+def clip_turns(turns: DataFrame, user: int = 6000, assistant: int = 1200) -> DataFrame:
+    return turns.filter(F.col("role").isin("user", "assistant")).withColumn("text", F.when(F.col("role") == "user", clipped(F.col("text"), user)).otherwise(clipped(F.col("text"), assistant)))
+
+
+def distil(turns: DataFrame, max_chars: int = 24_000, user: int = 6000, assistant: int = 1200, agent: str = "chat") -> DataFrame:
+    """session_id, text, dropped: blocks are taken alternately from front and back until the next one does not
+    fit. The alternation is a priority and the budget a running sum over it, so no loop is needed."""
+    label = F.when(F.col("role") == "user", USER).otherwise(ASSISTANT)
+    blocks = clip_turns(turns, user, assistant).select("session_id", "seq", F.concat(F.lit("### "), label, F.lit("\n"), "text").alias("block"))
+    whole = Window.partitionBy("session_id")
+    header = f"{SESSION}{agent}\n{FOLDER}{UNKNOWN}"
+    budget = max(0, max_chars - len(header))
+    blocks = blocks.withColumns({"i": F.row_number().over(whole.orderBy("seq")) - 1, "n": F.count(F.lit(1)).over(whole), "cost": F.length("block") + 2})
+    blocks = blocks.withColumn("turn", F.least(2 * F.col("i"), 2 * (F.col("n") - 1 - F.col("i")) + 1))
+    blocks = blocks.withColumns({"used": F.sum("cost").over(whole.orderBy("turn")), "total": F.sum("cost").over(whole)})
+    keep = (F.col("total") <= budget) | (F.col("used") <= budget)
+    out = blocks.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.when(keep, F.struct("i", "block")))).alias("kept"),
+        F.count_if(~keep).alias("dropped"), F.min(F.when(~keep, F.col("i"))).alias("gap"),
+    )
+    before = F.transform(F.filter("kept", lambda b: b["i"] < F.coalesce("gap", F.lit(1 << 30))), lambda b: b["block"])
+    after = F.transform(F.filter("kept", lambda b: b["i"] > F.coalesce("gap", F.lit(1 << 30))), lambda b: b["block"])
+    marker = F.when(F.col("dropped") > 0, F.array(F.concat(F.lit(DROPPED[0]), F.col("dropped").cast("string"), F.lit(DROPPED[1])))).otherwise(F.array().cast("array<string>"))
+    return out.select("session_id", F.concat(F.lit(header), F.array_join(F.concat(before, marker, after), "\n\n")).alias("text"), "dropped")
+
+
+def with_digest(df: DataFrame, col: str = "text") -> DataFrame:
+    return df.withColumn("digest", F.sha2(F.col(col).cast("binary"), 256))
+
+
+def local_notes(turns: DataFrame, least: int = 12, most: int = 12) -> DataFrame:
+    """Without a model: title and first sentences of the user's turns, and where the talk stopped."""
+    first = F.trim(F.regexp_extract(_stripped(F.col("text")), r"^[^.!?\n]*", 0))
+    said = turns.filter("role = 'user'").withColumn("sentence", first).filter(F.length("sentence") > least)
+    ranked = said.withColumn("rn", F.row_number().over(Window.partitionBy("session_id").orderBy("seq")))
+    return ranked.groupBy("session_id").agg(
+        F.min_by("sentence", "seq").alias("title"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("seq", "sentence")))), lambda x: x["sentence"]), " | ").alias("did"),
+        F.max_by("sentence", "seq").alias("where_left"),
+    )
+
+
+def drop_tiny(stats: DataFrame, min_user_chars: int = 200) -> DataFrame:
+    return stats.filter(F.col("user_chars") >= min_user_chars)
+
+
+def same_text(distilled: DataFrame, notes: DataFrame) -> DataFrame:
+    """Adds verdict: same when the session's note was made of the same digest, else todo."""
+    known = notes.select("session_id", "digest", F.lit(True).alias("known"))
+    return distilled.join(known.hint("shuffle_merge"), ["session_id", "digest"], "left").withColumn("verdict", F.when(F.col("known"), "same").otherwise("todo")).drop("known")
+
+
+def changed_files(files: DataFrame, ledger: DataFrame, min_user_chars: int = 200, force: bool = False) -> DataFrame:
+    """files: path, size, mtime. ledger: path, fingerprint, status, min_user_chars. Adds the fingerprint and a
+    verdict: new, changed, retry, rejudge or unchanged."""
+    print_ = F.concat_ws(":", F.col("size").cast("string"), F.col("mtime").cast("string"))
+    j = files.withColumn("fingerprint", print_).join(ledger.select("path", F.col("fingerprint").alias("was"), "status", F.col("min_user_chars").alias("threshold")).hint("shuffle_merge"), "path", "left")
+    verdict = (
+        F.when(F.lit(force), "changed")
+        .when(F.col("was").isNull(), "new")
+        .when(F.col("was") != F.col("fingerprint"), "changed")
+        .when(F.col("status").isin("quarantined", "pending-extraction"), "retry")
+        .when((F.col("status") == "empty") & (F.col("threshold") != min_user_chars), "rejudge")
+        .otherwise("unchanged")
+    )
+    return j.withColumn("verdict", verdict).drop("was", "status", "threshold")
+
+
+def select_candidates(files: DataFrame, limit: int = 100) -> DataFrame:
+    """The oldest `limit` files are taken, the rest counted as left; filters come before this."""
+    rank = F.row_number().over(Window.orderBy("mtime", "path"))
+    first = files.orderBy("mtime", "path").limit(limit).withColumn("rank", rank)
+    return first
+
+
+def islands(events: DataFrame, quiet: str = "2 minutes", busy: str = "6 hours") -> DataFrame:
+    """events: key, ts, busy. Sessions end after a gap that depends on the last record before it."""
+    order = Window.partitionBy("key").orderBy("ts", "id")
+    gap = F.when(F.lag("busy").over(order), F.expr(f"INTERVAL {busy}")).otherwise(F.expr(f"INTERVAL {quiet}"))
+    starts = events.withColumn("starts", F.coalesce((F.col("ts") >= F.lag("ts").over(order) + gap), F.lit(True)))
+    part = starts.withColumn("island", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return part.groupBy("key", "island").agg(F.min("ts").alias("opened"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("records"), F.max_by("busy", F.struct("ts", "id")).alias("busy"))
+
+
+def activity(records: DataFrame) -> DataFrame:
+    """key, ts, id, busy → the last record of each key and whether it leaves a turn running."""
+    return records.groupBy("key").agg(F.max("ts").alias("at"), F.max_by("busy", F.struct("ts", "id")).alias("busy"))
+
+
+def close_sessions(active: DataFrame, now, quiet: str = "2 minutes", busy: str = "6 hours") -> DataFrame:
+    limit = F.when(F.col("busy"), F.expr(f"INTERVAL {busy}")).otherwise(F.expr(f"INTERVAL {quiet}"))
+    return active.withColumn("open", F.col("at") + limit > now)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import memory, sessions, texts
+
+QUERIES: dict = memory.QUERIES | sessions.QUERIES | texts.QUERIES
+SQL: dict = memory.SQL | sessions.SQL | texts.SQL
