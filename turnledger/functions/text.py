@@ -19,6 +19,11 @@ _TABLE = str.maketrans(FOLD_FROM, FOLD_TO)
 _MARKS = re.compile(f"[{MARKS}]")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _composed(text):
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 

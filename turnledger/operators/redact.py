@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 # Kind, pattern, letters in either case, replacement. Order matters: each rule sees what the
 # earlier ones left.
 RULES = (
@@ -30,27 +32,56 @@ RULES = (
 )
 UNVERIFIED = ("national-id", "credit-card", "iban")
 
+#: What a text must hold before a rule is tried on it: any of some strings, or a cheap pattern.
+NEEDS = {
+    "private-key-block": ("-----BEGIN",), "anthropic-key": ("sk-ant-",), "openai-key": ("sk-",), "aws-access-key": ("AKIA", "ASIA", "AGPA", "AIDA"),
+    "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "google-api-key": ("AIza",), "slack-token": ("xox",), "stripe-key": ("k_live_", "k_test_"),
+    "sendgrid-key": ("SG.",), "npm-token": ("npm_",), "jwt": ("eyJ",), "db-url": ("://",), "basic-auth-url": ("://",), "ssh-key": ("ssh-",),
+    "bearer": "(?i)bearer", "assigned-secret": "(?i)passw|secret|token|key", "iban": "[A-Z]{2}[0-9]{2}", "national-id": "[0-9]{9}", "credit-card": "[0-9][ -]?[0-9]",
+}
+
 #: A word boundary over ASCII word characters only, so that an accented neighbour hides nothing.
 _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def java_pattern(pattern: str, any_case: bool) -> str:
+    if pattern.startswith(r"\b"):  # what follows begins with a word character
+        pattern = "(?<![A-Za-z0-9_])" + pattern[2:]
     return ("(?i)" if any_case else "") + pattern.replace(r"\b", _EDGE)
 
 
+def needed(kind: str, text: Column) -> Column:
+    need = NEEDS.get(kind, "")
+    if isinstance(need, str):
+        return text.rlike(need)
+    out = F.lit(False)
+    for part in need:
+        out = out | text.contains(part)
+    return out
+
+
 def redact(df: DataFrame, col: str = "text", rules=RULES) -> DataFrame:
-    """The column redacted, findings ARRAY<STRUCT<kind,count>> and safe. A rule is run only on rows that it
-    matches; null stays null and is safe."""
-    df = df.withColumns({"_t": F.col(col), "_f": F.array().cast("array<struct<kind:string,count:int>>")})
-    for kind, pattern, any_case, to in rules:
-        p = java_pattern(pattern, any_case)
-        df = df.withColumn("_n", F.coalesce(F.regexp_count("_t", F.lit(p)), F.lit(0)))
-        df = df.withColumns({
-            "_f": F.when(F.col("_n") > 0, F.concat("_f", F.array(F.struct(F.lit(kind).alias("kind"), F.col("_n").alias("count"))))).otherwise(F.col("_f")),
-            "_t": F.when(F.col("_n") > 0, F.regexp_replace("_t", F.lit(p), F.lit(to))).otherwise(F.col("_t")),
-        }).drop("_n")
+    """The column redacted, findings ARRAY<STRUCT<kind,count>> and safe. Each rule sees the text once; null stays
+    null and is safe."""
+
+    def step(kind: str, pattern: str, any_case: bool, to: str):
+        p = F.lit(java_pattern(pattern, any_case))
+
+        def apply(state: Column) -> Column:
+            def found(n: Column) -> Column:
+                one = F.array(F.struct(F.lit(kind).alias("kind"), n.alias("count")))
+                return F.when(n > 0, F.struct(F.regexp_replace(state["t"], p, F.lit(to)).alias("t"), F.concat(state["f"], one).alias("f"))).otherwise(state)
+
+            return once(F.when(needed(kind, state["t"]), F.regexp_count(state["t"], p)).otherwise(0), found)
+
+        return apply
+
+    state = F.struct(F.col(col).alias("t"), F.array().cast("array<struct<kind:string,count:int>>").alias("f"))
+    for rule in rules:
+        state = once(state, step(*rule))
+    df = df.withColumn("_s", state).withColumns({"_t": F.col("_s.t"), "_f": F.col("_s.f")}).drop("_s")
     probe = F.regexp_replace("_t", r"\[REDACTED-[A-Z-]+\]", "·")
-    left = [F.when(probe.rlike(java_pattern(p, i)), k) for k, p, i, _ in rules if k not in UNVERIFIED]
+    left = [F.when(needed(k, F.col("_t")) & probe.rlike(java_pattern(p, i)), k) for k, p, i, _ in rules if k not in UNVERIFIED]
     survivors = F.array_compact(F.array(*left)) if left else F.array().cast("array<string>")
     return df.withColumns({col: F.col("_t"), "findings": F.col("_f"), "survivors": F.when(F.col("_t").isNotNull(), survivors).otherwise(F.array().cast("array<string>"))}).withColumn("safe", F.size("survivors") == 0).drop("_t", "_f")
 
