@@ -1,0 +1,70 @@
+import json
+
+from turnledger.operators import redact
+from turnledger.sources import jsonl
+from turnledger.streaming import ingest
+
+ID = "0a1b2c3d-0000-4000-8000-00000000000"
+
+
+def write(path, *records):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records))
+
+
+def test_dialect_a(spark, tmp_path):
+    me, other = ID + "1", ID + "2"
+    write(
+        tmp_path / "p" / f"{me}.jsonl",
+        {"type": "user", "sessionId": me, "cwd": "/w", "timestamp": "2026-01-01", "message": {"role": "user", "content": "hello there"}},
+        {"type": "assistant", "sessionId": me, "message": {"content": [{"type": "text", "text": "one"}, {"type": "thinking", "text": "no"}, {"type": "tool_use", "name": "Bash"}, {"type": "text", "text": "two"}]}},
+        {"type": "user", "sessionId": other, "message": {"content": "copied"}},
+        {"type": "user", "isSidechain": True, "message": {"content": "side"}},
+        {"type": "summary"},
+        '{"type": "user", "message": {"cont',
+        "[1]",
+    )
+    lines = jsonl.read_lines(spark, str(tmp_path))
+    assert jsonl.rejects(lines).count() == 2
+    turns = sorted(jsonl.parse_claude(jsonl.parsed(lines)).collect(), key=lambda r: r.line_ord)
+    assert [(r.session_id, r.role, r.text, r.tools) for r in turns] == [(me, "user", "hello there", []), (me, "assistant", "one\ntwo", ["Bash"])]
+    assert jsonl.sessions(jsonl.parse_claude(jsonl.parsed(lines))).collect()[0].cwd == "/w"
+
+
+def test_dialect_b(spark, tmp_path):
+    me = ID + "3"
+    write(
+        tmp_path / f"rollout-x-{me}.jsonl",
+        {"type": "session_meta", "payload": {"id": "zz", "cwd": "/w"}},
+        {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "<environment_context> x"}]}},
+        {"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "do it"}]}},
+        {"type": "response_item", "payload": {"type": "function_call", "name": "shell", "arguments": "{}"}},
+        {"type": "event_msg", "payload": {"type": "task_complete"}},
+        {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "done"}]},
+    )
+    turns = sorted(jsonl.parse_codex(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path)))).collect(), key=lambda r: r.line_ord)
+    assert [(r.session_id, r.role, r.text, r.tools, r.cwd) for r in turns] == [(me, "user", "do it", [], "/w"), (me, "assistant", "", ["shell"], "/w"), (me, "assistant", "done", [], "/w")]
+
+
+def test_dialect_c(spark, tmp_path):
+    m = lambda i, t, kind, text: {"id": i, "timestamp": t, "type": kind, "content": text}
+    write(tmp_path / "proj/chats/session-2026-ab.jsonl", {"sessionId": "ab"}, m("1", "t1", "user", "first"), {"$set": {"messages": [m("1", "t1", "user", "first, edited"), m("2", "t2", "gemini", "answer"), m("3", "t3", "info", "noise")]}}, m("4", "t4", "user", "first, edited"))
+    turns = sorted(jsonl.parse_gemini(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path)))).collect(), key=lambda r: r.ts)
+    assert [(r.role, r.text, r.ts) for r in turns] == [("user", "first, edited", "t1"), ("assistant", "answer", "t2")]
+
+
+def test_stream_reads_what_batch_reads(spark, tmp_path):
+    write(tmp_path / "in" / f"{ID}5.jsonl", {"type": "user", "message": {"content": "hi you"}}, "broken")
+    seen = []
+    query = ingest.start_ingest(ingest.ingest_stream(spark, str(tmp_path / "in")), lambda df, _: seen.extend(r.text for r in jsonl.parse_claude(df).collect()), str(tmp_path / "ck"), None)
+    query.awaitTermination(60)
+    assert seen == ["hi you"]
+
+
+def test_redaction(spark):
+    half = "AKIA" + "ABCDEFGH12345678"
+    rows = [(1, f"é{half} and 123456789 here"), (2, "API_KEY=" + "x" * 10), (3, "plain words"), (4, None), (5, "see 123456789. Then 1.123456789")]
+    out = {r.i: r for r in redact.redact(spark.createDataFrame(rows, "i int, text string")).collect()}
+    assert out[1].text == "é[REDACTED-AWS-KEY] and [REDACTED-ID] here" and [f.kind for f in out[1].findings] == ["aws-access-key", "national-id"]
+    assert out[2].text == "API_KEY=[REDACTED-SECRET]" and out[3].text == "plain words" and out[4].text is None
+    assert out[5].text == "see [REDACTED-ID]. Then 1.123456789" and all(r.safe for r in out.values())
