@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes, words
+from .common import free_name, stored, text_bytes, words
 
 WINDOW = 10
 #: Windows that one pass over the documents looks for (some 40 MB in a worker). More windows are dealt
@@ -172,19 +172,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows, all columns, whose text holds no window of the benchmark."""
 
+    name = free_name(docs, "_bytes")
+
     def keep(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("_bytes")
+                at = batch.schema.get_field_index(name)
                 clean = [not held.value.places(words(t.as_py())) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    rows = docs.withColumn("_bytes", text_bytes(text_col))
+    rows = docs.withColumn(name, text_bytes(text_col))
     for block in _blocks(docs, items, window, text_col):
         rows = rows.mapInArrow(keep(block), rows.schema)
-    return rows.drop("_bytes")
+    return rows.drop(name)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_row_id
+from .common import free_name, stored, with_row_id
 
 #: Bits per slice: the unit in which tasks hand over their filters.
 SLICE_BITS = 1 << 19
@@ -162,16 +162,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     What goes is joined back by id, so no text is shuffled. An id that repeats and has both a row that stays
     and one that goes is settled by (id, digest), one row each; null ids count as one such id."""
+    k, sha = free_name(docs, "_key"), free_name(docs, "_sha")
     key = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
-    groups = exact_groups(docs, id_col, text_col).withColumnRenamed("doc_id", id_col).select(key.alias("_key"), "kept", "text_sha256")
-    groups = stored(groups)
-    gone = stored(groups.filter("NOT kept").select("_key").distinct())
-    both = stored(groups.filter("kept").join(gone.hint("merge"), "_key", "left_semi").select("_key", F.col("text_sha256").alias("_sha")))
-    docs = docs.withColumn("_key", key)
+    groups = stored(exact_groups(docs, id_col, text_col).withColumnRenamed("doc_id", id_col).select(key.alias(k), "kept", F.col("text_sha256").alias(sha)))
+    gone = stored(groups.filter("NOT kept").select(k).distinct())
+    both = stored(groups.filter("kept").join(gone.hint("merge"), k, "left_semi").select(k, sha))
+    docs = docs.withColumn(k, key)
     normal = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    mixed = docs.join(both.select("_key").distinct().hint("merge"), "_key", "left_semi").withColumn("_sha", F.sha2(normal.cast("binary"), 256))
-    mixed = mixed.join(both.hint("merge"), ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).drop("_sha")
-    return docs.join(gone.hint("merge"), "_key", "left_anti").unionByName(mixed).drop("_key")
+    mixed = docs.join(both.select(k).distinct().hint("merge"), k, "left_semi").withColumn(sha, F.sha2(normal.cast("binary"), 256))
+    mixed = mixed.join(both.hint("merge"), [k, sha], "left_semi").dropDuplicates([k, sha]).drop(sha)
+    return docs.join(gone.hint("merge"), k, "left_anti").unionByName(mixed).drop(k)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

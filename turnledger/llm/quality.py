@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import free_name, stored, text_bytes
 
 MEASURES = ("log_bytes", "upper", "digit", "symbol", "bang", "pipe", "stop", "non_ascii", "word_length", "distinct_words", "repeats", "symbol_ends", "line_words", "distinct_lines")
 #: Cut points for each measure: approximate quantiles over all rows.
@@ -150,7 +150,8 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge:
 
 def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray]:
     """Cut points and weights. A document's label is the largest of its labels; only rows that are not held out
-    teach. The class prior is the share of 1 among the labelled training rows."""
+    teach. The class prior is the share of 1 among the labelled training rows, which should represent the rest:
+    a prior that is too high makes the risk's unlabelled part negative, and rejected texts are then let through."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).alias("label"))
     train = stored(rows.filter("NOT held_out").join(known.hint("shuffle_merge"), "doc_id", "left").withColumn("positive", F.coalesce(F.col("label") == 1, F.lit(False))))
     n, n_known, n_positive = train.agg(F.count(F.lit(1)), F.count("label"), F.sum(F.col("positive").cast("long"))).first()
@@ -187,16 +188,17 @@ def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -
     """The rows, all columns, that are predicted 1."""
     cuts, weights = fit(stored(measured(docs)), labels)
     held = docs.sparkSession.sparkContext.broadcast((cuts, weights))
+    name = free_name(docs, "_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_bytes"))
+            texts = batch.column(batch.schema.get_field_index(name))
             table = np.array([measures(t.as_py() or b"") for t in texts]).reshape(-1, len(MEASURES))
             score = (design(table, held.value[0]) @ held.value[1] + 1) / 2
             yield batch.filter(pa.array(score >= 0.5))
 
-    rows = docs.withColumn("_bytes", text_bytes(text_col))
-    return rows.mapInArrow(run, rows.schema).drop("_bytes")
+    rows = docs.withColumn(name, text_bytes(text_col))
+    return rows.mapInArrow(run, rows.schema).drop(name)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
