@@ -4,7 +4,7 @@
    order (shingles that a sample finds frequent come last, else by hash): linked sets share a prefix shingle.
 2. Sets that share a prefix shingle lie in one tile, sorted by size and cut into bands that a link can span.
    Each is tried against the smallest of its band; links found this way join most copies of a text.
-3. Only pairs of different components are still open. In each tile their bitmap signatures (512 parity bits)
+3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, as many as the set is large)
    bound the overlap from above; pairs that pass are verified by intersecting the sorted shingle arrays.
 
 Every link between different texts is either verified or already implied by others.
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spaced_words, stored, text_bytes, with_row_id
+from .common import free_name, spaced_words, stored, text_bytes, with_row_id
 from .exact_dedup import filter_bits, holds, seen_filter
 
 #: Documents that tell which shingles are frequent. This steers the order, never the result.
@@ -62,9 +62,19 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """512 bits; each shingle flips one. Two signatures differ in no more bits than the sets in shingles."""
-    at = (shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(55)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+    """A power of two of bits, 512 or the set's size at least; each shingle flips one. Two signatures differ in
+    no more bits than the sets in shingles, and a longer one folds to the length of a shorter one."""
+    bits = max(512, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+    return np.packbits((np.bincount((at & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(signature: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (last axis: 64-bit words) folded to so many words."""
+    while signature.shape[-1] > words:
+        half = signature.shape[-1] // 2
+        signature = signature[..., :half] ^ signature[..., half:]
+    return signature
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
@@ -174,11 +184,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (2, 3))
-                total = batch.column(4).to_numpy()
-                ok = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64) * (100 + percent) <= (100 - percent) * total
-                yield batch.select([0, 1]).filter(pa.array(ok))
+            ok = []
+            for x, y, total in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) * (100 + percent) <= (100 - percent) * total)
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,10 +242,15 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     def compare(rows_: list[tuple]) -> Iterator[tuple[int, int]]:
         rows_.sort(key=lambda r: (r[6], r[4]))
         own, one, comp_, n = (np.array([r[c] for r in rows_], np.int64) for c in (3, 4, 5, 6))
-        bits = np.frombuffer(b"".join(r[7] for r in rows_), np.uint64).reshape(-1, 8)
+        width = np.array([len(r[7]) // 8 for r in rows_])  # grows with n, by a step of two at most within reach
         same_block = rows_[0][1] == rows_[0][2]
         ends = np.searchsorted(n, 100 * n // percent, "right")
+        level, base, bits = 0, 0, None
         for r in range(len(rows_)):
+            if width[r] != level:
+                level, base = int(width[r]), r
+                reach = rows_[base : np.searchsorted(width, 2 * level, "right")]
+                bits = np.stack([folded(np.frombuffer(x[7], np.uint64), level) for x in reach])
             part = slice(r + 1, ends[r])
             if part.start >= part.stop:
                 continue
@@ -243,7 +259,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
                 ok &= own[part] != own[r]
             if ok.any():
                 at = np.flatnonzero(ok) + r + 1
-                apart = np.bitwise_count(bits[at] ^ bits[r]).sum(axis=1).astype(np.int64)
+                apart = np.bitwise_count(bits[at - base] ^ bits[r - base]).sum(axis=1).astype(np.int64)
                 for s in at[apart * (100 + percent) <= (100 - percent) * (n[at] + n[r])]:
                     yield min(one[r], one[s]), max(one[r], one[s])
 
@@ -313,10 +329,11 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, less those whose component has a row of smaller id. Rows without words stay.
     Of rows that repeat the smallest id all stay: they are told apart by nothing but their id."""
+    name = free_name(docs, "_key")
+    key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")).alias(name)
     found = near_components(docs, k, percent, id_col, text_col)
-    gone = stored(found.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(F.coalesce(F.concat(F.lit("v"), F.col("doc_id").cast("string")), F.lit("n")).alias("_key")).distinct())
-    key = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
-    return docs.withColumn("_key", key).join(gone.hint("shuffle_merge"), "_key", "left_anti").drop("_key")
+    gone = stored(found.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(key("doc_id")).distinct())
+    return docs.withColumn(name, key(id_col)).join(gone.hint("shuffle_merge"), name, "left_anti").drop(name)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
