@@ -63,7 +63,7 @@ def pair_frequencies(docs: DataFrame, wanted: set[tuple[bytes, ...]], text_col:
             yield pa.RecordBatch.from_arrays([pa.array([index[p] for p in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "docs"])
 
     counts = docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
-    return Counter({order[r["pair"]]: r["docs"] for r in counts.toLocalIterator()})
+    return Counter({order[r["pair"]]: r["docs"] for r in counts.collect()})
 
 
 class Windows:
@@ -102,7 +102,7 @@ def _blocks(docs: DataFrame, items: DataFrame, window: int, text_col: str) -> li
     n = max(1, -(-table.count() // BLOCK_WINDOWS))
     out = []
     for k in range(n):
-        rows = [(r["item"], bytes(r["words"])) for r in table.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k).toLocalIterator()]
+        rows = [(r["item"], bytes(r["words"])) for r in table.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k).collect()]
         if rows:
             wanted = {p for _, text in rows for p in pairs(text.split(b" "))}
             out.append(spark.sparkContext.broadcast(Windows(rows, pair_frequencies(docs, wanted, text_col))))

@@ -97,7 +97,7 @@ def _filter(hashes: DataFrame, bits: int, which: str) -> np.ndarray:
     parts = hashes.mapInArrow(_partial(bits), _SLICES).repartition(min(64, max(1, bits // SLICE_BITS)), "slice")
     out = np.zeros(bits // 8, np.uint8)
     size = SLICE_BITS // 8
-    for row in parts.mapInArrow(_fold, _SLICES).select("slice", which).toLocalIterator():
+    for row in parts.mapInArrow(_fold, _SLICES).select("slice", which).collect():
         out[row["slice"] * size : (row["slice"] + 1) * size] = np.frombuffer(row[which], np.uint8)
     return out
 

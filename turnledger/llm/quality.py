@@ -100,7 +100,7 @@ def _moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[bool, np.ndarray]:
 
     size = 1 + sum(map(len, cuts))
     out = {True: np.zeros((size, size)), False: np.zeros((size, size))}
-    for r in rows.select("positive", *MEASURES).mapInArrow(run, "positive boolean, sums binary").toLocalIterator():
+    for r in rows.select("positive", *MEASURES).mapInArrow(run, "positive boolean, sums binary").collect():
         out[r["positive"]] += np.frombuffer(r["sums"]).reshape(size, size)
     return out
 
