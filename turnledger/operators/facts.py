@@ -111,3 +111,24 @@ def changes(replayed: DataFrame, existing: DataFrame) -> DataFrame:
         .when(F.coalesce("new_retracted", "new_superseded").isNull() & F.coalesce("old_retracted", "old_superseded").isNotNull(), "restored")
     )
     return j.withColumn("change", change).filter("change IS NOT NULL").select(*key, "nth", "change")
+
+
+def recent(sessions: DataFrame, k: int, by: str = "project", at: str = "started_at", tie: str = "session_id") -> DataFrame:
+    """The k newest sessions of each project."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at), F.desc(tie)))
+    return sessions.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def subject_view(facts: DataFrame, past: int = 15) -> DataFrame:
+    """Live facts, and of each subject the newest `past` superseded ones with the words that replaced them."""
+    after = facts.select("subject", F.col("seq").alias("superseded_by"), F.col("claim").alias("replaced_by"), F.col("retracted_at").isNotNull().alias("later_withdrawn"))
+    old = facts.filter("superseded_at IS NOT NULL").join(after.hint("shuffle_merge"), ["subject", "superseded_by"], "left")
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("superseded_at"), F.desc("seq")))
+    old = old.withColumn("rank", rank).filter(F.col("rank") <= past).select("subject", "key", "claim", F.lit("superseded").alias("state"), "replaced_by", "later_withdrawn")
+    now = live(facts).select("subject", "key", "claim", F.lit("live").alias("state"), F.lit(None).cast("string").alias("replaced_by"), F.lit(None).cast("boolean").alias("later_withdrawn"))
+    return now.unionByName(old)
+
+
+def pending_view(pending: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest waiting entries."""
+    return pending.orderBy(F.desc("created_at"), F.desc("session_id")).limit(limit)

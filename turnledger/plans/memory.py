@@ -139,7 +139,28 @@ def p15_canonical_keys(spark, sf_dir):
     return ops.canonicalise(said, known)
 
 
-QUERIES = {f.__name__: f for f in (a1_reconcile_outcomes, a1_facts, a1_pending, w2_current, w3_history, a7_stats, a8_subjects, a9_waiting, a10_usage, a11_rereads, a14_links, a15_known_keys, j3_facts_as_of, j5_pairing, p15_canonical_keys)}
+def w4_recent(spark, sf_dir):
+    """The three newest events of each user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ops.recent(e, 3, "user_id", "ts", "event_id").select("user_id", "event_id", "rank")
+
+
+def w9_subject_view(spark, sf_dir):
+    return ops.subject_view(folded(spark, sf_dir).facts).select("subject", "key", "claim", "state", "replaced_by")
+
+
+def w10_pending(spark, sf_dir):
+    return ops.pending_view(folded(spark, sf_dir).pending).select("subject", "key", "session_id", "reason")
+
+
+def j6_orphans(spark, sf_dir):
+    """The fold against notes of which every third is gone and every fifth reads otherwise."""
+    n = F.col("session_id").cast("long")
+    notes = claims(spark, sf_dir).filter(n % 3 != 0).withColumns({"claim": F.when(n % 5 == 0, F.lit("other words")).otherwise(F.col("claim")), "key": F.when(n % 7 == 0, F.lit("elsewhere")).otherwise(F.col("key"))})
+    return ops.orphans(folded(spark, sf_dir).facts, notes).select("subject", "key", "session_id", "why")
+
+
+QUERIES = {f.__name__: f for f in (a1_reconcile_outcomes, a1_facts, a1_pending, w2_current, w3_history, a7_stats, a8_subjects, a9_waiting, a10_usage, a11_rereads, a14_links, a15_known_keys, j3_facts_as_of, j5_pairing, j6_orphans, p15_canonical_keys, w4_recent, w9_subject_view, w10_pending)}
 
 SQL = {
     "a1_reconcile_outcomes": _C + "SELECT subject, key, session_id, claim, outcome FROM f",
@@ -156,4 +177,12 @@ SQL = {
 SELECT least(p, q) AS a, greatest(p, q) AS b, relation, arg_min(session_id, (ts, session_id)) AS session_id FROM l WHERE p <> q GROUP BY 1, 2, 3""",
     "a15_known_keys": _C + "SELECT subject, key, min(created_at) AS first_seen FROM facts GROUP BY 1, 2",
     "j3_facts_as_of": _C + "SELECT p.session_id AS probe, p.subject, x.key, x.claim FROM k p JOIN facts x ON x.subject = p.subject AND x.created_at < p.date AND (x.superseded_at IS NULL OR x.superseded_at >= p.date) WHERE p.key = 'error'",
+    "w4_recent": "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 3",
+    "w9_subject_view": _C + """, x AS (SELECT *, lead(claim) OVER (PARTITION BY subject, key ORDER BY created_at, session_id) AS replaced_by FROM facts),
+o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY superseded_at DESC, created_at DESC, session_id DESC) AS rank FROM x WHERE superseded_at IS NOT NULL)
+SELECT subject, key, claim, 'live' AS state, NULL AS replaced_by FROM facts WHERE superseded_at IS NULL
+UNION ALL SELECT subject, key, claim, 'superseded', replaced_by FROM o WHERE rank <= 15""",
+    "w10_pending": _C + "SELECT subject, key, session_id, reason FROM pending ORDER BY created_at DESC, session_id DESC LIMIT 100",
+    "j6_orphans": _C + """SELECT subject, key, session_id, CASE WHEN CAST(session_id AS BIGINT) % 3 = 0 THEN 'no-note' WHEN CAST(session_id AS BIGINT) % 7 = 0 THEN 'not-claimed' ELSE 'reworded' END AS why
+FROM facts WHERE superseded_at IS NULL AND (CAST(session_id AS BIGINT) % 3 = 0 OR CAST(session_id AS BIGINT) % 7 = 0 OR CAST(session_id AS BIGINT) % 5 = 0)""",
 }
