@@ -157,29 +157,32 @@ def _stars(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return dealt.select("shingle", "salt", "set", "n").mapInArrow(run, "shingle long, salt long, set long, n long, rep long")
 
 
-def _arrays(docs: DataFrame, needed: DataFrame, k: int, text_col: str) -> DataFrame:
-    """set, shingles of the needed sets (set, d1, d2): texts are read again, and a Bloom filter keeps the
-    arrays of all others from being shuffled."""
-    needed = stored(needed)
-    bits = filter_bits(needed.count())
-    held = docs.sparkSession.sparkContext.broadcast(seen_filter(needed.select("d1"), bits))
+def _arrays(docs: DataFrame, needed: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """set, shingles of the needed sets (set, doc_id, d1, d2). Texts are read again; a Bloom filter over the ids
+    lets all but the needed ones pass by without being cut into shingles."""
+    hashed = F.xxhash64(F.col(id_col).cast("long"))
+    needed = stored(needed.withColumn("h", F.xxhash64("doc_id")))
+    held = docs.sparkSession.sparkContext.broadcast(seen_filter(needed.select("h"), filter_bits(needed.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [])
-            for t in batch.column(0):
-                s = shingle_hashes(t.as_py(), k)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                if len(s) and holds(held.value, digest[:1]).all():
-                    for c, v in zip(out, (digest[0], digest[1], s.view(np.int64)), strict=True):
-                        c.append(v)
+            if batch.num_rows:
+                may = holds(held.value, batch.column(0).to_numpy())
+                for t in batch.column(1).filter(pa.array(may)):
+                    s = shingle_hashes(t.as_py(), k)
+                    if len(s):
+                        digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+                        for c, v in zip(out, (digest[0], digest[1], s.view(np.int64)), strict=True):
+                            c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["d1", "d2", "shingles"])
 
-    found = _texts(docs, text_col).mapInArrow(run, "d1 long, d2 long, shingles array<long>").dropDuplicates(["d1", "d2"])
-    return stored(found.join(needed.hint("shuffle_merge"), ["d1", "d2"]).select("set", "shingles"))
+    texts = docs.select(hashed.alias("h"), text_bytes(text_col).alias("text"))
+    found = texts.mapInArrow(run, "d1 long, d2 long, shingles array<long>").dropDuplicates(["d1", "d2"])
+    return stored(found.join(needed.select("set", "d1", "d2").hint("shuffle_merge"), ["d1", "d2"]).select("set", "shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that are links. Signatures first, then shingle arrays."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +209,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     wide = pairs.join(side(sets, "a", "bits", "n"), "a").join(side(sets, "b", "bits", "n"), "b")
     close = stored(wide.select("a", "b", "bits_a", "bits_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(near, "a long, b long"))
     ends = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).distinct()
-    arrays = _arrays(docs, ends.join(sets.select("set", "d1", "d2").hint("shuffle_merge"), "set"), k, text_col)
+    arrays = _arrays(docs, ends.join(sets.select("set", "doc_id", "d1", "d2").hint("shuffle_merge"), "set"), k, id_col, text_col)
     full = close.join(side(arrays, "a", "shingles"), "a").join(side(arrays, "b", "shingles"), "b")
     return stored(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"))
 
@@ -295,8 +298,8 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, k, text_col))
     rows = stored(features(docs, k, percent, hot, id_col, text_col))
-    first = F.min(F.struct("row_id", "n", "bits", "prefix"))
-    sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.n", "f.bits", "f.prefix"))
+    first = F.min(F.struct("row_id", "doc_id", "n", "bits", "prefix"))
+    sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix"))
     heads = sets.select("set", "n", F.explode("prefix").alias("shingle"))
 
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +316,10 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     over = stored(_stars(tops.select("shingle", F.lit(0).cast("long").alias("salt"), "f.set", "f.n"), ["shingle"], percent))
     members = part.select("shingle", "set", "rep").unionByName(over.select("shingle", "set", "rep"))
     stars = stored(members.filter("set <> rep").select(F.least("set", "rep").alias("a"), F.greatest("set", "rep").alias("b")).distinct())
-    links = _verified(stars, sets, docs, k, percent, text_col)
+    links = _verified(stars, sets, docs, k, percent, id_col, text_col)
     comp = components(links)
     still = stored(_open_pairs(members, sets, comp, percent))
-    more = _verified(still, sets, docs, k, percent, text_col)
+    more = _verified(still, sets, docs, k, percent, id_col, text_col)
     comp = components(links.unionByName(more)) if not more.isEmpty() else comp
     of_set = stored(sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp")))
     placed = stored(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2").join(of_set.hint("shuffle_merge"), ["d1", "d2"]).select("row_id", "doc_id", "n", "comp"))
