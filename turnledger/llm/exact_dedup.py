@@ -160,7 +160,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, without later copies of a text.
 
-    What goes is joined back by id, so no text is shuffled. An id that repeats and has both a row that stays
+    What goes is dropped by an anti-join on the id, which shuffles the rows once. An id that repeats and has both a row that stays
     and one that goes is settled by (id, digest), one row each; null ids count as one such id."""
     k, sha = free_name(docs, "_key"), free_name(docs, "_sha")
     key = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
