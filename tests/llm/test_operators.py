@@ -184,27 +184,34 @@ def test_exact_groups(docs, none, bits):
     assert sorted(normal(r.text) for r in left.collect()) == sorted({normal(t) for _, t, *_ in ROWS})
 
 
-def test_ngram_components(spark, docs, none):
+def test_ngram_components(spark, docs, none, monkeypatch):
     def brute(rows, k, percent):
         sets, parent = [], list(range(len(rows)))
         for _, t, *_ in rows:
             w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
             sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+        near = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
         for _ in rows:
-            for a in range(len(rows)):
-                for b in range(len(rows)):
-                    if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                        parent[a] = parent[b] = min(parent[a], parent[b])
+            for a, b in near:
+                parent[a] = parent[b] = min(parent[a], parent[b])
         ids = {}
         for p, (i, *_) in zip(parent, rows, strict=True):
             ids.setdefault(p, []).append(i)
         return sorted([(i, len(s), min((x for x in ids[p] if x is not None), default=None)) for p, s, (i, *_) in zip(parent, sets, rows, strict=True)], key=key)
 
     chain = [(100 + i, " ".join(f"w{j}" for j in range(i, i + 60)), "en", "s") for i in range(40)]
-    rows = ROWS + chain
+    # each text edits a word of an earlier one: most links are not with the smallest set of a tile
+    rng, family = np.random.default_rng(5), [[f"f{j}" for j in range(120)]]
+    for i in range(150):
+        family.append(list(family[rng.integers(len(family))]))
+        family[-1][rng.integers(120)] = f"x{i}"
+    rows = ROWS + chain + [(1000 + i, " ".join(t), "en", "s") for i, t in enumerate(family)]
+    open_pairs, rounds = ngram_join._open_pairs, []
+    monkeypatch.setattr(ngram_join, "_open_pairs", lambda *a, **k: rounds.append(k) or open_pairs(*a, **k))
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n", F.lit("clash"))
     for k, percent in ((3, 90), (5, 80)):
         got = ngram_join.near_components(table, k, percent).drop("row_id").collect()
         assert sorted(map(tuple, got), key=key) == brute(rows, k, percent)
+    assert len(rounds) > 2  # closest partners alone did not do
     assert ngram_join.near_components(none).count() == 0
     assert sorted(ngram_join.one_of_each(docs, 3, 80).columns) == sorted(docs.columns)

@@ -5,7 +5,9 @@
 2. Sets that share a prefix shingle lie in one tile, sorted by size and cut into bands that a link can span.
    Each is tried against the smallest of its band; links found this way join most copies of a text.
 3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, as many as the set is large)
-   bound the overlap from above; pairs that pass are verified by intersecting the sorted shingle arrays.
+   bound the overlap from above; pairs that pass are verified by intersecting the sorted shingle arrays. A tile with more
+   such pairs than sets first offers each set's closest partner alone; what links is merged, and the open pairs are
+   sought anew. Once a round merges nothing, all that are left are verified.
 
 Every link between different texts is either verified or already implied by others.
 """
@@ -229,8 +231,11 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one tile whose sizes and signatures allow a link."""
+def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
+
+    Unless all_pairs is set, a block of a tile with more of them than sets gives each set's closest larger partner
+    alone and marks these rows as cut."""
     labelled = stored(
         members.select("shingle", "set").distinct()
         .join(comp.hint("shuffle_merge"), "set", "left")
@@ -242,13 +247,14 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "comp", "n", "bits")
 
-    def compare(rows_: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(rows_: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         rows_.sort(key=lambda r: (r[6], r[4]))
         own, one, comp_, n = (np.array([r[c] for r in rows_], np.int64) for c in (3, 4, 5, 6))
         width = np.array([len(r[7]) // 8 for r in rows_])  # grows with n, by a step of two at most within reach
         same_block = rows_[0][1] == rows_[0][2]
         ends = np.searchsorted(n, 100 * n // percent, "right")
-        level, base, bits = 0, 0, None
+        level, base, bits, total = 0, 0, None, 0
+        every, closest = [], []
         for r in range(len(rows_)):
             if width[r] != level:
                 level, base = int(width[r]), r
@@ -260,33 +266,44 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
             ok = comp_[part] != comp_[r]
             if not same_block:
                 ok &= own[part] != own[r]
-            if ok.any():
-                at = np.flatnonzero(ok) + r + 1
-                apart = np.bitwise_count(bits[at - base] ^ bits[r - base]).sum(axis=1).astype(np.int64)
-                for s in at[apart * (100 + percent) <= (100 - percent) * (n[at] + n[r])]:
-                    yield min(one[r], one[s]), max(one[r], one[s])
+            if not ok.any():
+                continue
+            at = np.flatnonzero(ok) + r + 1
+            apart = np.bitwise_count(bits[at - base] ^ bits[r - base]).sum(axis=1).astype(np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (n[at] + n[r])
+            at, apart = at[near], apart[near]
+            if not len(at):
+                continue
+            total += len(at)
+            if all_pairs:
+                yield np.full(len(at), one[r]), one[at], False
+                continue
+            best = at[np.argmin(apart / (n[at] + n[r]))]
+            closest.append((one[r], one[best]))
+            if total <= len(rows_):
+                every += [(one[r], x) for x in one[at]]
+        chosen = every if total <= len(rows_) else closest
+        if chosen:
+            yield *np.array(chosen, np.int64).T, total > len(rows_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            found: list[tuple[int, int]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    found += compare(held)
+                    yield from map(_pairs, compare(held))
                     held = []
                 held.append(row)
-            if found:
-                yield _pairs(found)
-        if held and (found := list(compare(held))):
-            yield _pairs(found)
+        if held:
+            yield from map(_pairs, compare(held))
 
     dealt = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    found = sorted(set(found))
-    return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _pairs(found: tuple[np.ndarray, np.ndarray, bool]) -> pa.RecordBatch:
+    x, y, cut = found
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), cut))], ["a", "b", "cut"])
 
 
 def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,9 +335,15 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     stars = stored(members.filter("set <> rep").select(F.least("set", "rep").alias("a"), F.greatest("set", "rep").alias("b")).distinct())
     links = _verified(stars, sets, docs, k, percent, id_col, text_col)
     comp = components(links)
-    still = stored(_open_pairs(members, sets, comp, percent))
-    more = _verified(still, sets, docs, k, percent, id_col, text_col)
-    comp = components(links.unionByName(more)) if not more.isEmpty() else comp
+    cut, merged = True, True
+    while cut:
+        still = stored(_open_pairs(members, sets, comp, percent, all_pairs=not merged))
+        cut = not still.filter("cut").isEmpty()
+        more = _verified(still.select("a", "b"), sets, docs, k, percent, id_col, text_col)
+        merged = not more.isEmpty()
+        if merged:
+            links = links.unionByName(more)
+            comp = components(links)
     of_set = stored(sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp")))
     placed = stored(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2").join(of_set.hint("shuffle_merge"), ["d1", "d2"]).select("row_id", "doc_id", "n", "comp"))
     names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
