@@ -232,10 +232,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
+    """shingle, a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
 
     Unless all_pairs is set, a block of a tile with more of them than sets gives each set's closest larger partner
-    alone and marks these rows as cut."""
+    alone and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
         members.select("shingle", "set").distinct()
         .join(comp.hint("shuffle_merge"), "set", "left")
@@ -247,7 +247,8 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "comp", "n", "bits")
 
-    def compare(rows_: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def compare(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        shingle = rows_[0][0]
         rows_.sort(key=lambda r: (r[6], r[4]))
         own, one, comp_, n = (np.array([r[c] for r in rows_], np.int64) for c in (3, 4, 5, 6))
         width = np.array([len(r[7]) // 8 for r in rows_])  # grows with n, by a step of two at most within reach
@@ -276,7 +277,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
                 continue
             total += len(at)
             if all_pairs:
-                yield np.full(len(at), one[r]), one[at], False
+                yield shingle, np.full(len(at), one[r]), one[at], False
                 continue
             best = at[np.argmin(apart / (n[at] + n[r]))]
             closest.append((one[r], one[best]))
@@ -284,7 +285,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
                 every += [(one[r], x) for x in one[at]]
         chosen = every if total <= len(rows_) else closest
         if chosen:
-            yield *np.array(chosen, np.int64).T, total > len(rows_)
+            yield shingle, *np.array(chosen, np.int64).T, total > len(rows_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -298,12 +299,13 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
             yield from map(_pairs, compare(held))
 
     dealt = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return stored(dealt.mapInArrow(run, "shingle long, a long, b long, cut boolean"))
 
 
-def _pairs(found: tuple[np.ndarray, np.ndarray, bool]) -> pa.RecordBatch:
-    x, y, cut = found
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.full(len(x), cut))], ["a", "b", "cut"])
+def _pairs(found: tuple[int, np.ndarray, np.ndarray, bool]) -> pa.RecordBatch:
+    shingle, x, y, cut = found
+    columns = np.full(len(x), shingle, np.int64), np.minimum(x, y), np.maximum(x, y), np.full(len(x), cut)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "a", "b", "cut"])
 
 
 def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,10 +339,13 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     comp = components(links)
     cut, merged = True, True
     while cut:
-        still = stored(_open_pairs(members, sets, comp, percent, all_pairs=not merged))
-        cut = not still.filter("cut").isEmpty()
-        more = _verified(still.select("a", "b"), sets, docs, k, percent, id_col, text_col)
+        found = _open_pairs(members, sets, comp, percent, all_pairs=not merged)
+        cut = not found.filter("cut").isEmpty()
+        more = _verified(stored(found.select("a", "b").distinct()), sets, docs, k, percent, id_col, text_col)
         merged = not more.isEmpty()
+        if cut:  # the pairs of all other tiles have been tried
+            again = found.filter("cut").select("shingle").distinct()
+            members = stored(members.select("shingle", "set").join(again.hint("shuffle_merge"), "shingle"))
         if merged:
             links = links.unionByName(more)
             comp = components(links)
