@@ -112,7 +112,9 @@ def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
 _FEATURES = "row_id long, doc_id long, n long, d1 long, d2 long, bits binary, prefix array<long>"
 
 
-def features(docs: DataFrame, k: int, percent: int, hot, id_col: str, text_col: str) -> DataFrame:
+def features(docs: DataFrame, k: int, percent: int, hot, id_col: str, text_col: str, digests: bool = False) -> DataFrame:
+    """One row per input row; with digests also the text's SHA-256 as digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, bits, heads = [], [], [], [], []
@@ -124,10 +126,14 @@ def features(docs: DataFrame, k: int, percent: int, hot, id_col: str, text_col:
                 d2.append(digest[1])
                 bits.append(parity_bits(s))
                 heads.append(prefix(s, hot.value, percent).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["row_id", "doc_id", "n", "d1", "d2", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64())), *batch.columns[3:]],
+                ["row_id", "doc_id", "n", "d1", "d2", "bits", "prefix", *batch.schema.names[3:]],
+            )
 
     rows = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")))
-    return rows.select("row_id", "doc_id", "text").mapInArrow(run, _FEATURES)
+    digest = [F.sha2("text", 256).alias("digest")] if digests else []
+    return rows.select("row_id", "doc_id", "text", *digest).mapInArrow(run, _FEATURES + ", digest string" * digests)
 
 
 def _stars(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -308,15 +314,11 @@ def _pairs(found: tuple[int, np.ndarray, np.ndarray, bool]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "a", "b", "cut"])
 
 
-def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: row_id, doc_id, n_shingles, component_id (the smallest doc_id reachable).
-
-    Two rows link when 100 * intersection >= percent * union. Null and empty texts have no shingles and link
-    with nothing; a null id never names a component that has another id. Repeated rows give rows each and
-    link; an empty table gives no rows; other columns are not read."""
+def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """row_id, doc_id, n, comp (and digest) of the rows with words, comp being one number a component; all rows' features."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_shingles(docs, k, text_col))
-    rows = stored(features(docs, k, percent, hot, id_col, text_col))
+    rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
     first = F.min(F.struct("row_id", "doc_id", "n", "bits", "prefix"))
     sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix"))
     heads = sets.select("set", "n", F.explode("prefix").alias("shingle"))
@@ -350,7 +352,18 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
             links = links.unionByName(more)
             comp = components(links)
     of_set = stored(sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp")))
-    placed = stored(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2").join(of_set.hint("shuffle_merge"), ["d1", "d2"]).select("row_id", "doc_id", "n", "comp"))
+    digest = ["digest"] * digests
+    placed = rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest).join(of_set.hint("shuffle_merge"), ["d1", "d2"])
+    return stored(placed.select("row_id", "doc_id", "n", "comp", *digest)), rows
+
+
+def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: row_id, doc_id, n_shingles, component_id (the smallest doc_id reachable).
+
+    Two rows link when 100 * intersection >= percent * union. Null and empty texts have no shingles and link
+    with nothing; a null id never names a component that has another id. Repeated rows give rows each and
+    link; an empty table gives no rows; other columns are not read."""
+    placed, rows = _placed(docs, k, percent, id_col, text_col)
     names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     named = placed.join(names.hint("shuffle_merge"), "comp").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("row_id", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -358,13 +371,23 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, less those whose component has a row of smaller id. Rows without words stay.
-    Of rows that repeat the smallest id all stay: they are told apart by nothing but their id."""
-    name = free_name(docs, "_key")
+    """One row, all columns, of each component: the one of smallest id, then smallest SHA-256 of its text; a null id counts as
+    the largest. Of rows that repeat id and text one stays. Rows without words stay."""
+    name, sha = free_name(docs, "_key"), free_name(docs, "_sha")
     key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")).alias(name)
-    found = near_components(docs, k, percent, id_col, text_col)
-    gone = stored(found.filter("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select(key("doc_id")).distinct())
-    return docs.withColumn(name, key(id_col)).join(gone.hint("shuffle_merge"), name, "left_anti").drop(name)
+    placed, _ = _placed(docs, k, percent, id_col, text_col, digests=True)
+    groups = stored(placed.groupBy("comp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    firsts = stored(groups.groupBy("comp").agg(first.alias("first")))
+    kept = (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept")
+    judged = stored(groups.join(firsts.hint("shuffle_merge"), "comp").select(key("doc_id"), F.col("digest").alias(sha), kept, "copies").filter("NOT kept OR copies > 1"))
+    gone, again = (judged.filter(c).select(name, sha) for c in ("NOT kept", "kept"))
+    docs = docs.withColumns({name: key(id_col), sha: F.sha2(text_bytes(text_col), 256)})
+    left = docs.join(gone.hint("shuffle_merge"), [name, sha], "left_anti")
+    if not again.isEmpty():
+        one = docs.join(again.hint("shuffle_merge"), [name, sha], "left_semi").dropDuplicates([name, sha])
+        left = left.join(again.hint("shuffle_merge"), [name, sha], "left_anti").unionByName(one)
+    return left.drop(name, sha)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
