@@ -47,7 +47,7 @@ STAGES = [
     ("tokens", tokens_stage),
 ]
 
-#: SQL cannot train the classifier; the stages are tested against brute force.
+#: SQL cannot train the classifier; tests/llm/test_pipeline.py holds the stages after quality to plain Python.
 ORACLE_SQL = None
 
 
