@@ -32,9 +32,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path under the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in local tests, a temporary folder of this machine serves."""
+    Where the setting is absent a temporary folder of this machine serves in local mode; a cluster needs the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("turnledger.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="turnledger-")
         spark.conf.set("turnledger.scratch", base)
     return f"{base.rstrip('/')}/turnledger/{uuid.uuid4().hex}"
@@ -53,6 +55,25 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: A key of more rows than both of these is hot.
+HOT_ROWS, HOT_SHARE = 1_000, 0.002
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how), how being inner or left, where a few keys may fill much of left and right has
+    one row a key. Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE rows and stay where they are."""
+    n = left.count()
+    plain = left.join(right.hint("shuffle_merge"), keys, how)
+    if n < HOT_ROWS:
+        return plain
+    hot = stored(left.groupBy(*keys).count().filter(F.col("count") >= max(HOT_ROWS, int(HOT_SHARE * n))).select(*keys))
+    if hot.isEmpty():
+        return plain
+    hot = F.broadcast(hot)
+    few = F.broadcast(stored(right.join(hot, keys, "left_semi")))
+    return left.join(hot, keys, "left_semi").join(few, keys, how).unionByName(left.join(hot, keys, "left_anti").join(right.hint("shuffle_merge"), keys, how))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of the frame has it."""
     taken = {c.lower() for c in df.columns}

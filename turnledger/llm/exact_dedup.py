@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stored, with_row_id
@@ -132,14 +132,18 @@ def probe(df: DataFrame, hash_col: str, bitmap: np.ndarray, flag: str = "maybe")
     return df.mapInArrow(check, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{flag}` boolean")
 
 
+def normal_text(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: its id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of ASCII white space becomes one space; null counts as
     empty. The row with the smallest id stays; of rows that repeat an id, one stays; a null id counts as
-    the largest. Other columns are not carried. An empty table gives no rows."""
-    normal = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = stored(with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normal.cast("binary"), 256).alias("text_sha256"))))
+    the largest. Other columns are not carried. An empty table gives no rows. Very long texts are hashed where
+    they lie and never shuffled."""
+    rows = stored(with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normal_text(text_col).cast("binary"), 256).alias("text_sha256"))))
     rows = rows.withColumn("h", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long"))
     n = rows.count()
     again = repeated_filter(rows.select("h"), filter_bits(n, max_bits))
@@ -157,21 +161,37 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(grouped)
 
 
+def row_key(id_col: str) -> Column:
+    """The id as a string that tells null from every id."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
+
+
+def without_rows(docs: DataFrame, judged: DataFrame, key: str, sha: str) -> DataFrame:
+    """The rows, all columns but key and sha, less those judged. judged: key, sha, kept, one row each, for every (key, sha) that
+    goes (kept false) or of which one of several rows stays (kept true). A Bloom filter over it lets all other rows
+    pass straight through; only what it holds is shuffled."""
+    n = judged.count()
+    if not n:
+        return docs.drop(key, sha)
+    h, maybe, kept = free_name(docs, "_h"), free_name(docs, "_maybe"), free_name(docs, "_kept")
+    hashed = F.xxhash64(key, sha)
+    bitmap = seen_filter(judged.select(hashed.alias(h)), filter_bits(n))
+    flagged = probe(docs.withColumn(h, hashed), h, bitmap, maybe)
+    met = flagged.filter(maybe).join(judged.select(key, sha, F.col("kept").alias(kept)).hint("shuffle_merge"), [key, sha], "left")
+    one = met.filter(F.col(kept)).dropDuplicates([key, sha])
+    every = flagged.filter(~F.col(maybe)).unionByName(met.filter(F.col(kept).isNull()).unionByName(one).drop(kept))
+    return every.select(*(c for c in docs.columns if c not in (key, sha)))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows, all columns, without later copies of a text.
 
-    What goes is dropped by an anti-join on the id, which shuffles the rows once. An id that repeats and has both a row that stays
-    and one that goes is settled by (id, digest), one row each; null ids count as one such id."""
+    What goes is told by id and digest of the normalised text; null ids count as one id, the largest. Of rows that repeat both one
+    stays. An empty table stays empty. Rows that no copy has are not shuffled."""
     k, sha = free_name(docs, "_key"), free_name(docs, "_sha")
-    key = F.coalesce(F.concat(F.lit("v"), F.col(id_col).cast("string")), F.lit("n"))
-    groups = stored(exact_groups(docs, id_col, text_col).withColumnRenamed("doc_id", id_col).select(key.alias(k), "kept", F.col("text_sha256").alias(sha)))
-    gone = stored(groups.filter("NOT kept").select(k).distinct())
-    both = stored(groups.filter("kept").join(gone.hint("merge"), k, "left_semi").select(k, sha))
-    docs = docs.withColumn(k, key)
-    normal = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    mixed = docs.join(both.select(k).distinct().hint("merge"), k, "left_semi").withColumn(sha, F.sha2(normal.cast("binary"), 256))
-    mixed = mixed.join(both.hint("merge"), [k, sha], "left_semi").dropDuplicates([k, sha]).drop(sha)
-    return docs.join(gone.hint("merge"), k, "left_anti").unionByName(mixed).drop(k)
+    groups = stored(exact_groups(docs, id_col, text_col).filter("group_size > 1").withColumnRenamed("doc_id", id_col).select(row_key(id_col).alias(k), "kept", F.col("text_sha256").alias(sha)))
+    judged = stored(groups.groupBy(k, sha).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("NOT kept OR copies > 1").drop("copies"))
+    return without_rows(docs.withColumns({k: row_key(id_col), sha: F.sha2(normal_text(text_col).cast("binary"), 256)}), judged, k, sha)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

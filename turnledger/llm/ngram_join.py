@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join over whole texts, reported as components of the link graph.
 
 1. Equal shingle sets become one. A set's necessary prefix is its first n - ceil(t n) + 1 shingles in one global
-   order (shingles that a sample finds frequent come last, else by hash): linked sets share a prefix shingle.
+   order (shingles that counts over all documents find frequent come last, else by hash): linked sets share a prefix shingle.
 2. Sets that share a prefix shingle lie in one tile, sorted by size and cut into bands that a link can span.
    Each is tried against the smallest of its band; links found this way join most copies of a text.
 3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, as many as the set is large)
@@ -22,15 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, spaced_words, stored, text_bytes, with_row_id
-from .exact_dedup import filter_bits, holds, seen_filter
-
-#: Documents that tell which shingles are frequent. This steers the order, never the result.
-SAMPLE_DOCS = 8_000
-#: A shingle of this many sampled documents is frequent; at most HOT_MAX of them are named.
-HOT_DOCS, HOT_MAX = 4, 200_000
-SALTS = 16
-TILE = 4_096
+from .common import free_name, skew_join, spaced_words, stored, text_bytes, with_row_id
+from .exact_dedup import filter_bits, holds, row_key, seen_filter, without_rows
+
+#: Counters of the shingle counts, by the upper bits of a shingle's hash. They steer the order, never the result.
+COUNTERS_LOG2 = 20
+#: A shingle is frequent if its counter exceeds the mean counter by so many of the documents, 4 at least.
+FREQUENT_SHARE = 1 / 2_000
+#: The tile of a frequent shingle is dealt over a task for every SALT_SETS sets of the corpus, LEAST_SALTS at least.
+SALT_SETS, LEAST_SALTS = 100_000, 16
+#: Sets of one block of a tile.
+TILE = 1_024
 CACHE_WORDS = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,34 +81,60 @@ def folded(signature: np.ndarray, words: int) -> np.ndarray:
     return signature
 
 
-def prefix(shingles: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+def frequent(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    return counters[(shingles >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
+
+
+def prefix(shingles: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
+    """The necessary prefix in the order (frequent or not, hash)."""
     n = len(shingles)
     length = n - -(-percent * n // 100) + 1
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-        late = hot[at] == shingles
-        shingles = np.concatenate([shingles[~late], shingles[late]])
-    return shingles[:length]
+    late = frequent(shingles, counters)
+    return np.concatenate([shingles[~late], shingles[late]])[:length]
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(text_bytes(text_col).alias("text"))
+def frequent_counters(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
+    """For each counter, whether its shingles count as frequent. Every shingle of every document is counted; a task hands over
+    one array of counters, cut into slices, and the sums reach the driver: 4 MB whatever the corpus."""
+    slices = 16
+    size = (1 << COUNTERS_LOG2) // slices
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(1 << COUNTERS_LOG2, np.int64), 0
+        for batch in batches:
+            for t in batch.column(0):
+                rows += 1
+                np.add.at(total, (shingle_hashes(t.as_py(), k) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(slices)], pa.int64()), pa.array([np.int64(rows).tobytes(), *(_packed(total[i * size : (i + 1) * size]) for i in range(slices))], pa.binary())], ["slice", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(sums, np.int64) if i < 0 else _unpacked(sums)
+                held[i] = held[i] + part if i in held else part
+        for i, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([sums.astype(np.int64).tobytes()], pa.binary())], ["slice", "sums"])
 
-def frequent_shingles(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """Sorted; at most HOT_MAX."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
+    parts = docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "slice long, sums binary").repartition(slices, "slice")
+    counters, n = np.zeros(1 << COUNTERS_LOG2, np.int64), 0
+    for r in parts.mapInArrow(add, "slice long, sums binary").collect():
+        if r["slice"] < 0:
+            n = int(np.frombuffer(r["sums"], np.int64)[0])
+        else:
+            counters[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["sums"], np.int64)
+    return counters >= counters.mean() + max(4, n * FREQUENT_SHARE)
+
+
+def _packed(sums: np.ndarray) -> bytes:
+    """The narrowest of 1, 2, 4 and 8 bytes a counter."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if sums.max() <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + sums.astype(kind).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.as_py(), k) for t in batch.column(0)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
 
-    sample = _texts(docs, text_col).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    counts = sample.mapInArrow(run, "s long").groupBy("s").count().filter(F.col("count") >= HOT_DOCS)
-    rows = counts.orderBy(F.desc("count"), "s").limit(HOT_MAX).select("s").toArrow().column(0).to_numpy()
-    return np.sort(rows.view(np.uint64))
+def _unpacked(sums: bytes) -> np.ndarray:
+    return np.frombuffer(sums, f"<u{sums[0]}", offset=1).astype(np.int64)
 
 
 _FEATURES = "row_id long, doc_id long, n long, d1 long, d2 long, bits binary, prefix array<long>"
@@ -224,14 +252,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
 
 def components(links: DataFrame) -> DataFrame:
     """(set, comp) for the sets that have a link: comp is the smallest set reachable. Each round takes the
-    smallest label next to a set and then that label's own; rounds end when nothing changes."""
+    smallest label next to a set and then that label's own; rounds end when nothing changes. The hub of a star of links, and
+    the label of a giant component, are hot keys and are broadcast."""
     both = stored(links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other"))).distinct())
     labels = stored(both.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp")))
     while True:
-        told = both.join(labels.withColumnRenamed("set", "other").hint("shuffle_merge"), "other").select("set", "comp")
+        told = skew_join(both, labels.withColumnRenamed("set", "other"), ["other"]).select("set", "comp")
         near = stored(told.unionByName(labels).groupBy("set").agg(F.min("comp").alias("comp")))
         up = near.select(F.col("set").alias("comp"), F.col("comp").alias("top"))
-        after = stored(near.join(up.hint("shuffle_merge"), "comp").select("set", F.col("top").alias("comp")))
+        after = stored(skew_join(near, up, ["comp"]).select("set", F.col("top").alias("comp")))
         if after.join(labels.withColumnRenamed("comp", "was").hint("shuffle_merge"), "set").filter("comp <> was").isEmpty():
             return after
         labels = after
@@ -240,17 +269,25 @@ def components(links: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """shingle, a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
 
-    Unless all_pairs is set, a block of a tile with more of them than sets gives each set's closest larger partner
-    alone and marks these rows as cut; all pairs of the other blocks are there."""
+    The sets of a tile's largest component and its other sets are dealt into blocks of their own, and two blocks of the largest
+    component never meet. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
+    partner alone and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
         members.select("shingle", "set").distinct()
         .join(comp.hint("shuffle_merge"), "set", "left")
         .withColumn("comp", F.coalesce("comp", "set"))
     )
-    mixed = stored(labelled.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("shingle", F.ceil(F.col("m") / TILE).cast("int").alias("blocks")))
-    rows = labelled.join(mixed.hint("shuffle_merge"), "shingle").join(sets.select("set", "n", "bits").hint("shuffle_merge"), "set")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_comp = labelled.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"))
+    tiles = by_comp.groupBy("shingle").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m")).filter("m > top.m")
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = stored(tiles.select("shingle", F.col("top.comp").alias("major"), blocks(F.col("top.m")).alias("majors"), blocks(F.col("m") - F.col("top.m")).alias("others")))
+    rows = skew_join(labelled, mixed, ["shingle"]).join(sets.select("set", "n", "bits").hint("shuffle_merge"), "set")
+    # blocks of the largest component are numbered -1, -2, ..., the other blocks 0, 1, ...
+    is_major = F.col("comp") == F.col("major")
+    rows = rows.withColumn("own", F.when(is_major, -1 - F.pmod(F.xxhash64("set"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("set"), F.col("others"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    meets = F.when(is_major, upto("others")).otherwise(F.concat(F.transform(upto("majors"), lambda x: -1 - x), upto("others")))
+    rows = rows.withColumn("other", F.explode(meets))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "comp", "n", "bits")
 
     def compare(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -317,18 +354,18 @@ def _pairs(found: tuple[int, np.ndarray, np.ndarray, bool]) -> pa.RecordBatch:
 def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, digests: bool = False) -> tuple[DataFrame, DataFrame]:
     """row_id, doc_id, n, comp (and digest) of the rows with words, comp being one number a component; all rows' features."""
     spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(frequent_shingles(docs, k, text_col))
+    hot = spark.sparkContext.broadcast(frequent_counters(docs, k, text_col))
     rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
     first = F.min(F.struct("row_id", "doc_id", "n", "bits", "prefix"))
     sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix"))
     heads = sets.select("set", "n", F.explode("prefix").alias("shingle"))
+    salts = max(LEAST_SALTS, sets.count() // SALT_SETS)
 
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A tile of a frequent shingle is dealt over several tasks."""
         for batch in batches:
             s, u = batch.column(2).to_numpy().view(np.uint64), batch.column(0).to_numpy()
-            late = hot.value[np.minimum(np.searchsorted(hot.value, s), len(hot.value) - 1)] == s if len(hot.value) and len(s) else np.zeros(len(s), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(late, u % SALTS + 1, 0))], ["set", "n", "shingle", "salt"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(frequent(s, hot.value), u % salts + 1, 0))], ["set", "n", "shingle", "salt"])
 
     heads = heads.mapInArrow(salted, "set long, n long, shingle long, salt long")
     part = stored(_stars(heads, ["shingle", "salt"], percent))
@@ -353,7 +390,7 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
             comp = components(links)
     of_set = stored(sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp")))
     digest = ["digest"] * digests
-    placed = rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest).join(of_set.hint("shuffle_merge"), ["d1", "d2"])
+    placed = skew_join(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest), of_set, ["d1", "d2"])
     return stored(placed.select("row_id", "doc_id", "n", "comp", *digest)), rows
 
 
@@ -365,7 +402,7 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     link; an empty table gives no rows; other columns are not read."""
     placed, rows = _placed(docs, k, percent, id_col, text_col)
     names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    named = placed.join(names.hint("shuffle_merge"), "comp").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = skew_join(placed, names, ["comp"]).select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("row_id", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(empty)
 
@@ -374,20 +411,14 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     """One row, all columns, of each component: the one of smallest id, then smallest SHA-256 of its text; a null id counts as
     the largest. Of rows that repeat id and text one stays. Rows without words stay."""
     name, sha = free_name(docs, "_key"), free_name(docs, "_sha")
-    key = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")).alias(name)
     placed, _ = _placed(docs, k, percent, id_col, text_col, digests=True)
     groups = stored(placed.groupBy("comp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     firsts = stored(groups.groupBy("comp").agg(first.alias("first")))
     kept = (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept")
-    judged = stored(groups.join(firsts.hint("shuffle_merge"), "comp").select(key("doc_id"), F.col("digest").alias(sha), kept, "copies").filter("NOT kept OR copies > 1"))
-    gone, again = (judged.filter(c).select(name, sha) for c in ("NOT kept", "kept"))
-    docs = docs.withColumns({name: key(id_col), sha: F.sha2(text_bytes(text_col), 256)})
-    left = docs.join(gone.hint("shuffle_merge"), [name, sha], "left_anti")
-    if not again.isEmpty():
-        one = docs.join(again.hint("shuffle_merge"), [name, sha], "left_semi").dropDuplicates([name, sha])
-        left = left.join(again.hint("shuffle_merge"), [name, sha], "left_anti").unionByName(one)
-    return left.drop(name, sha)
+    judged = skew_join(groups, firsts, ["comp"]).select(row_key("doc_id").alias(name), F.col("digest").alias(sha), kept, "copies")
+    judged = stored(judged.filter("NOT kept OR copies > 1").drop("copies"))
+    return without_rows(docs.withColumns({name: row_key(id_col), sha: F.sha2(text_bytes(text_col), 256)}), judged, name, sha)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
