@@ -16,11 +16,14 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _parts(text: Column, pattern: str) -> Column:
+    """g: what lies between the matches, h: the matches. One pass of the text each."""
+    return F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as an array of SPAN: code points, end exclusive, with up to CONTEXT
     characters of the text between the neighbouring matches on either side."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast(f"array<{SPAN}>")
     zero = F.lit(0).cast("long")
 
@@ -41,7 +44,7 @@ def located(text: Column, pattern: str) -> Column:
         chunks = F.sequence(F.lit(0), F.floor((F.size(parts["h"]) - 1) / CHUNK).cast("int"))
         return F.when(F.size(parts["h"]) > 0, F.flatten(F.aggregate(chunks, start, chunk)["all"])).otherwise(empty)
 
-    return bind(F.struct(gaps.alias("g"), hits.alias("h")), place)
+    return bind(_parts(text, pattern), place)
 
 
 def located_if(condition: Column, text: Column, pattern: str) -> Column:
@@ -49,6 +52,18 @@ def located_if(condition: Column, text: Column, pattern: str) -> Column:
     return F.when(condition, located(text, pattern)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def blanked(text: Column, pattern: str, passes) -> Column:
+    """The text with line feeds in place of each character of the matches that pass; all positions stay."""
+
+    def fill(parts: Column) -> Column:
+        def piece(gap: Column, i: Column) -> Column:
+            return bind(F.coalesce(F.get(parts["h"], i), F.lit("")), lambda h: F.concat(gap, F.when((h != "") & passes(h), F.repeat(F.lit("\n"), F.length(h))).otherwise(h)))
+
+        return F.when(F.size(parts["h"]) > 0, F.array_join(F.transform(parts["g"], piece), "")).otherwise(text)
+
+    return bind(_parts(text, pattern), fill)
+
+
 def spelled(spans: Column, kinds: tuple[str, ...]) -> Column:
     """kind:start:end, comma-joined, by start, then kind as listed. Spans are structs of start, end, kind."""
     order = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, kinds)), s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))
