@@ -5,6 +5,9 @@ are word pairs, ordered by how many documents hold them. A document can only hol
 window's rarest pair, so that pair is the whole necessary prefix; its place in the document fixes where the
 window would start, the length and positional bounds drop starts outside the text, and what is left is
 verified word by word.
+
+The windows are dealt into blocks of a fixed size. One block at a time is broadcast, looked for and let go of; of each
+block only the documents that hold one of its windows are written, so memory does not grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -17,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, text_bytes, words
+from .common import free_name, skew_join, stored, text_bytes, words
 
 WINDOW = 10
-#: Windows that one pass over the documents looks for (some 40 MB in a worker). More windows are dealt
-#: into blocks of about this size by their digest, each with its own pass.
+#: Windows that one pass over the documents looks for (some 40 MB in a worker).
 BLOCK_WINDOWS = 200_000
 
 
@@ -95,82 +97,108 @@ class Windows:
         return found
 
 
-def _blocks(docs: DataFrame, items: DataFrame, window: int, text_col: str) -> list:
-    """A broadcast Windows for each block. Every block holds at least one window."""
+def _blocks(docs: DataFrame, items: DataFrame, window: int, text_col: str) -> Iterator:
+    """A broadcast Windows for each block, one after the other: ask for the next when this one has been used. Every block holds
+    at least one window."""
     spark = docs.sparkSession
-    table = stored(benchmark_windows(items, window))
+    table = stored(benchmark_windows(items, window).withColumn("block", F.xxhash64("words")))
     n = max(1, -(-table.count() // BLOCK_WINDOWS))
-    out = []
     for k in range(n):
-        rows = [(r["item"], bytes(r["words"])) for r in table.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k).collect()]
+        rows = [(r["item"], bytes(r["words"])) for r in table.filter(F.pmod("block", F.lit(n)) == k).collect()]
         if rows:
             wanted = {p for _, text in rows for p in pairs(text.split(b" "))}
-            out.append(spark.sparkContext.broadcast(Windows(rows, pair_frequencies(docs, wanted, text_col))))
-    return out
+            yield n, spark.sparkContext.broadcast(Windows(rows, pair_frequencies(docs, wanted, text_col)))
 
 
 _SPANS = "starts array<long>, ends array<long>, items array<string>"
+_REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
 
+def _reported(n_words: int, found: list[tuple[int, int, list[str]]]) -> tuple:
+    """n_words, n_hit, n_items, items_sha256, contaminated."""
+    hit = upto = 0
+    for a, b in sorted((a, b) for a, b, _ in found):
+        hit += max(0, b - max(a, upto))
+        upto = max(upto, b)
+    items = sorted({x for _, _, names in found for x in names})
+    return n_words, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0
 
-def _mark(held):
-    """Adds the places of one block to those that came with the row: id, text, starts, ends, items."""
 
+def _report(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, text, *spans = batch.columns
-            spans = [c.to_pylist() for c in spans]
-            for k, t in enumerate(text):
-                found = held.value.places(words(t.as_py()))
-                spans[0][k] += [a for a, _, _ in found]
-                spans[1][k] += [b for _, b, _ in found]
-                spans[2][k] = sorted({*spans[2][k], *(x for _, _, items in found for x in items)})
-            arrays = [pa.array(c, pa.list_(kind)) for c, kind in zip(spans, (pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([doc, text, *arrays], batch.schema.names)
+            rows = []
+            for t in batch.column(1):
+                w = words(t.as_py())
+                rows.append(_reported(len(w), held.value.places(w) if held else []))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]])
 
     return run
 
 
-def _report(held):
+def _found(held):
+    """key, starts, ends, items of the rows (key, text) that hold a window of the block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            earlier = [c.to_pylist() for c in batch.columns[2:]] or None
-            for k, t in enumerate(batch.column(1)):
-                w = words(t.as_py())
-                found = held.value.places(w) if held else []
-                spans = [(a, b) for a, b, _ in found]
-                items = {x for _, _, names in found for x in names}
-                if earlier:
-                    spans += zip(earlier[0][k], earlier[1][k], strict=True)
-                    items.update(earlier[2][k])
-                hit = upto = 0
-                for a, b in sorted(spans):
-                    hit += max(0, b - max(a, upto))
-                    upto = max(upto, b)
-                for column, value in zip(out, (len(w), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), pa.array([h > 0 for h in out[1]])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            out: tuple[list, ...] = ([], [], [], [])
+            for key, t in zip(batch.column(0), batch.column(1), strict=True):
+                found = held.value.places(words(t.as_py()))
+                if found:
+                    row = key.as_py(), [a for a, _, _ in found], [b for _, b, _ in found], sorted({x for _, _, names in found for x in names})
+                    for c, v in zip(out, row, strict=True):
+                        c.append(v)
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["key", "starts", "ends", "items"])
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The report of each text from what all blocks found in it."""
+    for batch in batches:
+        rows = []
+        for key, starts, ends, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            spans = [(a, b, []) for part in zip(starts, ends, strict=True) for a, b in zip(*part, strict=True)]
+            rows.append((key, *_reported(0, [*spans, (0, 0, [x for part in items for x in part])])[1:]))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words and no hits; an empty benchmark hits nothing. Items that repeat an id
-    count once; items with a null id are left out. Documents are never shuffled; other columns are not read."""
-    blocks = _blocks(docs, items, window, text_col)
+    Null and empty texts have no words and no hits; an empty benchmark hits nothing; an empty table gives no rows. Repeated
+    rows give rows each, ids may be null. Items that repeat an id count once; items with a null id are left out. Texts are never
+    shuffled, however long; other columns are not read. With more windows than one block has, what each block finds is
+    written under the text's digest, and the reports meet their rows by it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    if len(blocks) > 1:
-        empty = [F.array().cast(kind).alias(name) for name, kind in (("starts", "array<bigint>"), ("ends", "array<bigint>"), ("items", "array<string>"))]
-        rows = rows.select("*", *empty)
-        for block in blocks[:-1]:
-            rows = rows.mapInArrow(_mark(block), f"doc_id long, text binary, {_SPANS}")
-    return rows.mapInArrow(_report(blocks[-1] if blocks else None), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = f"doc_id long, {_REPORT}"
+    keyed, parts = rows.select(F.sha2("text", 256).alias("key"), "text"), []
+    for n, block in _blocks(docs, items, window, text_col):
+        if n == 1:
+            return rows.mapInArrow(_report(block), schema)
+        parts.append(stored(keyed.mapInArrow(_found(block), f"key string, {_SPANS}")))
+        block.destroy()
+    if not parts:
+        return rows.mapInArrow(_report(None), schema)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    one = found.dropDuplicates(["key", "items", "starts", "ends"])  # equal texts are found alike
+    each = one.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.collect_list("items").alias("items"))
+    report = stored(each.mapInArrow(_merged, "key string, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
+    plain = stored(rows.withColumn("key", F.sha2("text", 256)).mapInArrow(_report(None), f"{schema}, key string").select("doc_id", "n_words", "key"))
+    met = skew_join(plain, report, ["key"], "left")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return met.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, whose text holds no window of the benchmark."""
+    """The rows, all columns, whose text holds no window of the benchmark; repeated rows stay repeated. Null and empty texts
+    stay. With more windows than one block has, each block's survivors are written before the next block."""
 
     name = free_name(docs, "_bytes")
 
@@ -184,8 +212,12 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text
         return run
 
     rows = docs.withColumn(name, text_bytes(text_col))
-    for block in _blocks(docs, items, window, text_col):
-        rows = rows.mapInArrow(keep(block), rows.schema)
+    for n, block in _blocks(docs, items, window, text_col):
+        left = rows.mapInArrow(keep(block), rows.schema)
+        if n == 1:
+            return left.drop(name)
+        rows = stored(left)
+        block.destroy()
     return rows.drop(name)
 
 
