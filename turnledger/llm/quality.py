@@ -8,6 +8,10 @@ in them with squared loss, so the non-negative unbiased risk
 needs nothing of the corpus but the second moments of the features over the trusted positives and over the
 unlabelled texts. Both are sums over all training rows, gathered in one pass; the minimiser itself is a small
 linear-algebra problem.
+
+The class prior is estimated from positives and unlabelled texts alone: above any score lie at least prior times the share of the
+positives there among the unlabelled, so the least ratio of the two shares bounds the prior from above. Labelled
+negatives are never read.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ MEASURES = ("log_bytes", "upper", "digit", "symbol", "bang", "pipe", "stop", "no
 QUANTILES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98)
 #: Ridge on the weights, in units of the mean squared feature.
 RIDGE = 1e-3
-#: What the prior is without a labelled row.
-DEFAULT_PRIOR = 0.7
+#: Where the search for the class prior starts, its rounds, and the bins of scores that it reads.
+FIRST_PRIOR, PRIOR_ROUNDS, BINS = 0.5, 3, 512
+#: The least share of the positives above a score at which the prior is read off.
+LEAST_POSITIVE_SHARE = 0.5
 
 _UPPER, _DIGIT = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 _PLAIN = bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)) + b" \t\r\n\x0b\x0c.,;:'\"-()?"
@@ -148,18 +154,58 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge:
     return best
 
 
+def squash(margin: np.ndarray) -> np.ndarray:
+    """A margin as a score from 0 to 1 that keeps its order; 0.5 is a margin of 0."""
+    return 1 / (1 + np.exp(-2 * np.clip(margin, -15, 15)))
+
+
+def estimate_prior(train: DataFrame, cuts: list[np.ndarray], weights: np.ndarray) -> float:
+    """Least ratio of unlabelled to positive shares above a score, each one standard error to the safe side, of scores that half
+    of the positives reach. train must not have taught the weights. Reads BINS pairs of counts, whatever the corpus."""
+    held = train.sparkSession.sparkContext.broadcast((cuts, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            positive = np.array(batch.column(0).to_pylist(), bool)
+            x = design(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]), held.value[0])
+            bins = np.minimum((squash(x @ held.value[1]) * BINS).astype(int), BINS - 1)
+            total[0] += np.bincount(bins[positive], minlength=BINS)
+            total[1] += np.bincount(bins, minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(total[0]), pa.array(total[1])], ["bin", "positives", "rows"])
+
+    counts = train.select("positive", *MEASURES).mapInArrow(run, "bin long, positives long, rows long").groupBy("bin").agg(F.sum("positives").alias("p"), F.sum("rows").alias("u")).collect()
+    table = np.zeros((2, BINS))
+    for r in counts:
+        table[:, r["bin"]] = r["p"], r["u"]
+    (n_positive, n), (above_p, above_u) = table.sum(axis=1), (np.cumsum(t[::-1])[::-1] for t in table)
+    if not n_positive:
+        return FIRST_PRIOR
+    p, u = above_p / n_positive, above_u / n
+    enough = p >= LEAST_POSITIVE_SHARE
+    low, high = p - np.sqrt(p * (1 - p) / n_positive), u + np.sqrt(u * (1 - u) / n)
+    return float(np.clip((high[enough] / np.maximum(low[enough], 1e-9)).min(), 0.01, 0.99))
+
+
 def fit(rows: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray]:
-    """Cut points and weights. A document's label is the largest of its labels; only rows that are not held out
-    teach. The class prior is the share of 1 among the labelled training rows, which should represent the rest:
-    a prior that is too high makes the risk's unlabelled part negative, and rejected texts are then let through."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).alias("label"))
-    train = stored(rows.filter("NOT held_out").join(known.hint("shuffle_merge"), "doc_id", "left").withColumn("positive", F.coalesce(F.col("label") == 1, F.lit(False))))
-    n, n_known, n_positive = train.agg(F.count(F.lit(1)), F.count("label"), F.sum(F.col("positive").cast("long"))).first()
+    """Cut points and weights. A document is a trusted positive if one of its labels is 1; all training rows are the
+    unlabelled ones; only rows that are not held out teach. The class prior is read off half of them, by scores that the other
+    half taught, in rounds; then all of them teach."""
+    known = labels.filter(F.col(id_col).isNotNull() & (F.col(label_col) == 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("positive")).distinct()
+    train = stored(rows.filter("NOT held_out").join(known.hint("shuffle_merge"), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))))
+    n, n_positive = train.agg(F.count(F.lit(1)), F.sum(F.col("positive").cast("long"))).first()
     cuts = cut_points(train) if n else [np.zeros(0)] * len(MEASURES)
     if not n_positive:
         return cuts, np.zeros(1 + sum(map(len, cuts)))
-    prior = min(0.99, n_positive / n_known if n_known > n_positive else DEFAULT_PRIOR)
-    sums = _moments(train, cuts)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    part, sums = _moments(train.filter(half), cuts), _moments(train, cuts)
+    prior = FIRST_PRIOR
+    for _ in range(PRIOR_ROUNDS if part[True][0, 0] else 0):
+        weights = minimise(part[True] / part[True][0, 0], part[False] / part[False][0, 0], prior)
+        found = estimate_prior(train.filter(~half), cuts, weights)
+        if abs(found - prior) < 0.01:
+            break
+        prior = found
     return cuts, minimise(sums[True] / n_positive, sums[False] / n, prior)
 
 
@@ -169,7 +215,7 @@ def score_rows(rows: DataFrame, cuts: list[np.ndarray], weights: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = design(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]), held.value[0])
-            score = np.clip((x @ held.value[1] + 1) / 2, 0, 1)
+            score = squash(x @ held.value[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.select("doc_id", "held_out", *MEASURES).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -178,14 +224,15 @@ def score_rows(rows: DataFrame, cuts: list[np.ndarray], weights: np.ndarray) ->
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted.
 
-    Null and empty texts are scored like any other. Without a positive label every score is 0.5. Repeated
-    rows give rows each; rows with a null id count as not held out."""
+    Null and empty texts are scored like any other, very long ones whole. Without a positive label every score is 0.5. Repeated
+    rows give rows each; rows with a null id count as not held out; an empty table gives no rows; other columns are not read."""
     rows = stored(measured(docs))
     return score_rows(rows, *fit(rows, labels))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that are predicted 1."""
+    """The rows, all columns, that are predicted 1, repeated rows each; null and empty texts are judged like any other. Without a
+    positive label every row stays."""
     cuts, weights = fit(stored(measured(docs)), labels)
     held = docs.sparkSession.sparkContext.broadcast((cuts, weights))
     name = free_name(docs, "_bytes")
@@ -194,7 +241,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(name))
             table = np.array([measures(t.as_py() or b"") for t in texts]).reshape(-1, len(MEASURES))
-            score = (design(table, held.value[0]) @ held.value[1] + 1) / 2
+            score = squash(design(table, held.value[0]) @ held.value[1])
             yield batch.filter(pa.array(score >= 0.5))
 
     rows = docs.withColumn(name, text_bytes(text_col))
