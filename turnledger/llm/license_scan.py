@@ -33,7 +33,51 @@ TEMPLATES = {
     "reserved": '<<beginOptional>>Copyright <<var;name="holder";original="";words="0..8">><<endOptional>> All rights reserved',
 }
 
-_MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
+#: Whole licence texts. What a licence lets its user fill in is replaceable; headings, numbering and clauses that versions of
+#: the text differ in are optional. The wording is the licences'.
+TEMPLATES |= {
+    "mit-text": """<<beginOptional>>The MIT License<<endOptional>> <<beginOptional>>(MIT)<<endOptional>>
+<<beginOptional>>Copyright (c) <<var;name="holder";original="<year> <holders>";words="1..24">><<endOptional>>
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software <<beginOptional>>and
+associated documentation files<<endOptional>> <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+<<var;name="copyrightHolder";original="THE AUTHORS OR COPYRIGHT HOLDERS";words="1..12">> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.""",
+    "isc-text": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var;name="holder";original="(c) <year> <holders>";words="1..24">><<endOptional>>
+Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that
+the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+<<var;name="disclaimer";original="THE AUTHOR";words="1..12">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL <<var;name="liable";original="THE AUTHOR";words="1..12">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. <<beginOptional>><<beginOptional>>3.<<endOptional>> Neither the name of
+<<var;name="organization";original="the copyright holder";words="1..12">> nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY <<var;name="provider";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";words="1..12">>
+"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from
+the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source
+versions must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var;name="file";original="this file";words="1..4">> except in compliance with the
+License. You may obtain a copy of the License at <<var;name="address";original="http://www.apache.org/licenses/LICENSE-2.0";words="1..10">> Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "gpl-notice": """<<var;name="program";original="This program";words="1..6">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
+<<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License as published by the Free Software Foundation<<beginOptional>>, either<<endOptional>>
+version <<var;name="version";original="3 of the License";words="1..5">><<beginOptional>>, or (at your option) any later version<<endOptional>>.""",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. <<beginOptional>>If a copy of the MPL was not distributed with this file, You can obtain one at<<endOptional>>",
+    "public-domain": "This is free and unencumbered software released into the public domain. <<beginOptional>>Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software<<endOptional>>",
+}
+
+_MARK = re.compile(r'<<(beginOptional|endOptional|var;name="[^"]*";original="[^"]*";words="\d+\.\.\d+")>>')
 
 
 @dataclass
@@ -171,7 +215,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base
     """One row per input row. score is 1 with an accepted template, 0.5 with base phrases alone, else 0.
 
     A null text is an empty one: no words, no labels, score 0. Repeated rows and null ids give rows of their
-    own; an empty table gives none; other columns are not read."""
+    own; an empty table gives none; other columns are not read. Of templates that are accepted at one place all count; of the ends
+    that one template has at one place the last counts. A text's time grows with its length and with the places of the
+    templates' longest words, times the words that may stand before them."""
     templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
     Scanner(templates, base)  # broken markup fails here, not in a task
 
