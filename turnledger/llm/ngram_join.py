@@ -15,6 +15,7 @@ Every link between different texts is either verified or already implied by othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, skew_join, spaced_words, stored, text_bytes, with_row_id
+from .common import free_name, skew_join, small_batches, spaced_words, stored, text_bytes, with_row_id
 from .exact_dedup import filter_bits, holds, row_key, seen_filter, without_rows
 
 #: Counters of the shingle counts, by the upper bits of a shingle's hash. They steer the order, never the result.
 COUNTERS_LOG2 = 20
-#: A shingle is frequent if its counter exceeds the mean counter by so many of the documents, 4 at least.
-FREQUENT_SHARE = 1 / 2_000
+#: A shingle is frequent if its counter stands out of the median counter by so many standard deviations of a Poisson count.
+FREQUENT_SIGMAS = 6
+#: Bytes of text whose shingles are counted at once.
+COUNT_BYTES = 1 << 20
 #: The tile of a frequent shingle is dealt over a task for every SALT_SETS sets of the corpus, LEAST_SALTS at least.
 SALT_SETS, LEAST_SALTS = 100_000, 16
 #: Sets of one block of a tile.
 TILE = 1_024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,12 +60,16 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
-    size = min(k, len(w))
+    return np.unique(_shingled(w, min(k, len(w))))
+
+
+def _shingled(w: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
     out = np.full(len(w) - size + 1, size, np.uint64)
     for j in range(size):
         out = (out ^ w[j : len(w) - size + 1 + j]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -94,37 +101,51 @@ def prefix(shingles: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarr
 
 
 def frequent_counters(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
-    """For each counter, whether its shingles count as frequent. Every shingle of every document is counted; a task hands over
-    one array of counters, cut into slices, and the sums reach the driver: 4 MB whatever the corpus."""
+    """For each counter, whether its shingles count as frequent. Every shingle of every document is counted, as often as it
+    occurs; a task hands over one array of counters, cut into slices, and the sums reach the driver: 8 MB whatever the corpus."""
     slices = 16
     size = (1 << COUNTERS_LOG2) // slices
 
+    def counted(texts: list[bytes]) -> np.ndarray:
+        """Counts of all k-word shingles of some texts, hashed at one go; no shingle crosses from one text to the next."""
+        split = [w for w in map(spaced_words, texts) if w]
+        w = np.fromiter(map(_ids.__getitem__, chain.from_iterable(split)), np.uint64, sum(map(len, split)))
+        if len(w) < k:
+            return np.zeros(1 << COUNTERS_LOG2, np.int64)
+        ends = np.cumsum([len(x) for x in split])
+        starts = np.concatenate([np.arange(max(a, b - k + 1), b) for a, b in zip(ends - [len(x) for x in split], ends, strict=True)])
+        whole = np.ones(len(w), bool)
+        whole[starts] = False
+        hashes = _shingled(w, k)[whole[: len(w) - k + 1]]
+        return np.bincount((hashes >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), minlength=1 << COUNTERS_LOG2)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << COUNTERS_LOG2, np.int64), 0
+        total, held, weight = np.zeros(1 << COUNTERS_LOG2, np.int64), [], 0
         for batch in batches:
             for t in batch.column(0):
-                rows += 1
-                np.add.at(total, (shingle_hashes(t.as_py(), k) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), 1)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(slices)], pa.int64()), pa.array([np.int64(rows).tobytes(), *(_packed(total[i * size : (i + 1) * size]) for i in range(slices))], pa.binary())], ["slice", "sums"])
+                held.append(t.as_py() or b"")
+                weight += len(held[-1])
+                if weight >= COUNT_BYTES:
+                    total += counted(held)
+                    held, weight = [], 0
+        total += counted(held)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int64()), pa.array([_packed(total[i * size : (i + 1) * size]) for i in range(slices)], pa.binary())], ["slice", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(sums, np.int64) if i < 0 else _unpacked(sums)
-                held[i] = held[i] + part if i in held else part
+                held[i] = held[i] + _unpacked(sums) if i in held else _unpacked(sums)
         for i, sums in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([sums.astype(np.int64).tobytes()], pa.binary())], ["slice", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["slice", "sums"])
 
     parts = docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "slice long, sums binary").repartition(slices, "slice")
-    counters, n = np.zeros(1 << COUNTERS_LOG2, np.int64), 0
-    for r in parts.mapInArrow(add, "slice long, sums binary").collect():
-        if r["slice"] < 0:
-            n = int(np.frombuffer(r["sums"], np.int64)[0])
-        else:
+    counters = np.zeros(1 << COUNTERS_LOG2, np.int64)
+    with small_batches(docs.sparkSession, 1_000):
+        for r in parts.mapInArrow(add, "slice long, sums binary").collect():
             counters[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["sums"], np.int64)
-    return counters >= counters.mean() + max(4, n * FREQUENT_SHARE)
+    middle = float(np.median(counters))
+    return counters > middle + FREQUENT_SIGMAS * max(1.0, middle) ** 0.5
 
 
 def _packed(sums: np.ndarray) -> bytes:
@@ -247,7 +268,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     ends = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).distinct()
     arrays = _arrays(docs, ends.join(sets.select("set", "doc_id", "d1", "d2").hint("shuffle_merge"), "set"), k, id_col, text_col)
     full = close.join(side(arrays, "a", "shingles"), "a").join(side(arrays, "b", "shingles"), "b")
-    return stored(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"))
+    with small_batches(docs.sparkSession, 500):
+        return stored(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,8 +291,8 @@ def components(links: DataFrame) -> DataFrame:
 def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """shingle, a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
 
-    The sets of a tile's largest component and its other sets are dealt into blocks of their own, and two blocks of the largest
-    component never meet. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
+    A tile of more than TILE sets is dealt into blocks: the sets of its largest component and its other sets have blocks of their
+    own, and two blocks of the largest component never meet. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
     partner alone and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
         members.select("shingle", "set").distinct()
@@ -279,15 +301,16 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     )
     by_comp = labelled.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"))
     tiles = by_comp.groupBy("shingle").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m")).filter("m > top.m")
+    large, top = F.col("m") > TILE, F.col("top.m")
     blocks = lambda n: F.ceil(n / TILE).cast("int")
-    mixed = stored(tiles.select("shingle", F.col("top.comp").alias("major"), blocks(F.col("top.m")).alias("majors"), blocks(F.col("m") - F.col("top.m")).alias("others")))
+    mixed = stored(tiles.select("shingle", F.when(large, F.col("top.comp")).alias("major"), F.when(large, blocks(top)).otherwise(0).alias("majors"), F.when(large, blocks(F.col("m") - top)).otherwise(1).alias("others")))
     rows = skew_join(labelled, mixed, ["shingle"]).join(sets.select("set", "n", "bits").hint("shuffle_merge"), "set")
     # blocks of the largest component are numbered -1, -2, ..., the other blocks 0, 1, ...
-    is_major = F.col("comp") == F.col("major")
-    rows = rows.withColumn("own", F.when(is_major, -1 - F.pmod(F.xxhash64("set"), F.col("majors"))).otherwise(F.pmod(F.xxhash64("set"), F.col("others"))).cast("int"))
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    meets = F.when(is_major, upto("others")).otherwise(F.concat(F.transform(upto("majors"), lambda x: -1 - x), upto("others")))
-    rows = rows.withColumn("other", F.explode(meets))
+    is_major = F.col("comp").eqNullSafe(F.col("major"))
+    rows = rows.withColumn("own", F.when(is_major, -1 - F.pmod(F.xxhash64("set"), F.greatest("majors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("set"), F.col("others"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("others") - 1)
+    majors = F.when(F.col("majors") > 0, F.transform(F.sequence(F.lit(1), F.greatest("majors", F.lit(1))), lambda x: -x)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("other", F.explode(F.when(is_major, others).otherwise(F.concat(majors, others))))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "comp", "n", "bits")
 
     def compare(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -355,7 +378,8 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
     """row_id, doc_id, n, comp (and digest) of the rows with words, comp being one number a component; all rows' features."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_counters(docs, k, text_col))
-    rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
+    with small_batches(spark, 2_000):
+        rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
     first = F.min(F.struct("row_id", "doc_id", "n", "bits", "prefix"))
     sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix"))
     heads = sets.select("set", "n", F.explode("prefix").alias("shingle"))
