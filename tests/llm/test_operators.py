@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,19 +116,43 @@ def test_decontamination_brute(spark, docs, none):
 
 
 def test_quality_learns_from_positives(spark, docs, none):
-    # every second row has a label: the class prior is taken from labelled rows, which must represent the rest
-    good = [(i, " ".join(A.split()[i % 7 :]) + f" number {i}.") for i in range(120)]
-    bad = [(200 + i, "$$$ ### " * (5 + i % 9)) for i in range(60)]
-    labels = spark.createDataFrame([(i, 1) for i, _ in good[::2]] + [(i, 0) for i, _ in bad[::2]] + [(None, 1), (5, None)], "doc_id long, quality int")
-    rows = spark.createDataFrame(good + bad, "doc_id long, text string")
+    # every second good row is a trusted positive; labelled zeros are not read
+    good = [(i, " ".join(A.split()[i % 7 :]) + f" number {i}.") for i in range(240)]
+    bad = [(1000 + i, "$$$ ### " * (5 + i % 9)) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[::2]] + [(None, 1), (5, None)], "doc_id long, quality int")
+    rows = spark.createDataFrame(good + bad, "doc_id long, text string").withColumn("quality", F.lit("clash"))
     out = quality.quality_scores(rows, labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
-    assert np.mean([(r.predicted == 1) == (r.doc_id < 200) for r in out]) > 0.97
+    held = [r for r in out if r.held_out]  # none of them has taught
+    assert len(held) > 60 and np.mean([(r.predicted == 1) == (r.doc_id < 1000) for r in held]) > 0.97
+    assert {r.doc_id for r in quality.good_documents(rows, labels).collect()} == {r.doc_id for r in out if r.predicted}
+    zeros = labels.unionByName(spark.createDataFrame([(i, 0) for i, _ in bad], "doc_id long, quality int"))
+    assert sorted(map(tuple, quality.quality_scores(rows, zeros).collect())) == sorted(map(tuple, out))
     assert quality.quality_scores(docs, labels.filter("false")).count() == len(ROWS)
+    assert {r.score for r in quality.quality_scores(docs, labels.filter("false")).collect()} == {0.5}
     assert quality.quality_scores(none, labels).count() == 0
     assert quality.good_documents(docs, labels).columns == docs.columns
 
 
+def test_quality_minimiser_against_descent():
+    """The minimiser against plain gradient descent on the risk itself."""
+    rng = np.random.default_rng(3)
+    x = np.hstack([np.ones((400, 1)), rng.normal(size=(400, 3))])
+    positive = x[x[:, 1] + 0.3 * rng.normal(size=400) > 0.4]
+    bp, bu = positive.T @ positive / len(positive), x.T @ x / len(x)
+    prior = len(positive) / len(x)
+
+    def risk(w):
+        g, u = positive @ w, x @ w
+        return prior * ((1 - g) ** 2).mean() / 4 + max(0.0, ((1 + u) ** 2).mean() / 4 - prior * ((1 + g) ** 2).mean() / 4)
+
+    w = np.zeros(4)
+    for _ in range(4000):
+        slope = np.array([(risk(w + d) - risk(w - d)) / 2e-5 for d in 1e-5 * np.eye(4)])
+        w = w - 0.1 * slope
+    assert risk(quality.minimise(bp, bu, prior, ridge=1e-9)) <= risk(w) + 1e-4
+
+
 def test_url_rules_and_collisions(spark, tmp_path, monkeypatch):
     urls = ["http://A.Example.net/en/x?q", "http://net", "http://b.net/", "http://x.org/fr/1#f", "http://x.org/de/", "http://example.com/de/a", "http://my-casino.com/", "no mark", None, "http://notnet.io/a"]
     want = [("example.net/en/", "allow"), (None, "allow"), ("net/", "block"), ("org/fr/", "allow"), (None, "allow"), ("example.com/de/", "block"), (None, "block"), (None, "block"), (None, "block"), (None, "allow")]
@@ -136,8 +161,25 @@ def test_url_rules_and_collisions(spark, tmp_path, monkeypatch):
     assert [got[i] for i in range(len(urls))] == want
     assert url_filter.judged(pages.filter("false")).count() == 0
     monkeypatch.setattr(url_filter, "_key", lambda text: len(text))
-    url_filter.build_index(str(tmp_path / "x"), [(b"aa", 1), (b"bb", 2), (b"c", 3)])
+    block = lambda keys, values, texts: (np.array(keys), np.array(values), pa.array(texts, pa.binary()))
+    url_filter.write_array(str(tmp_path / "x"), [block([1], [3], [b"c"]), block([2, 2], [1, 2], [b"aa", b"bb"])], 3)
     assert url_filter.DigestArray(str(tmp_path / "x")).find([b"bb", b"dd", b"c", b"aa"]) == [2, -1, 3, 1]
+    url_filter.write_array(str(tmp_path / "none"), [], 0)
+    assert url_filter.DigestArray(str(tmp_path / "none")).find([b"bb"]) == [-1]
+
+
+def test_url_list_in_blocks(spark, monkeypatch):
+    """A list of many blocks against a dictionary."""
+    monkeypatch.setattr(url_filter, "BLOCK_STRINGS", 500)
+    addresses = [(f"h{i % 97}.example.edu/p{i}", int(i % 3 == 0)) for i in range(3000)]
+    listed = spark.createDataFrame(addresses, "text string, value long")
+    urls = [f"http://h{i % 97}.Example.edu/p{i}?q={i}" for i in range(0, 4000, 7)] + ["http://poker.example.edu/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = {a: "block" if v else "allow" for a, v in addresses}
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages, listed=listed).collect()}
+    assert got == {i: known.get("".join(url_filter.split_url(u)), "block" if "poker" in u else "allow") for i, u in enumerate(urls)}
+    html = spark.createDataFrame([("http://a.io/x?1", "fine"), ("https://A.io/x#2", "best CASINO here"), ("http://a.io/y", None), (None, "casino"), ("http://b.io/spam", "")], "url string, html string")
+    assert {tuple(r) for r in url_filter.page_list(html).collect()} == {("a.io/x", 1), ("a.io/y", 0), ("b.io/spam", 0)}
 
 
 def test_shards(spark, docs, none):
