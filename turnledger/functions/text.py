@@ -32,12 +32,16 @@ def _compose(text: Column) -> Column:
     return F.pandas_udf(_composed, "string")(text)
 
 
+#: What folding can change: marks, folded letters and digits all lie in this block.
+_FOLDABLE = "[\u0600-\u06FF]"
+
+
 def normalised(text: Column, compose: bool = True) -> Column:
     """Composed, without marks, letters and digits folded, lower case. Only rows that hold combining
-    characters leave the JVM; with compose=False none do."""
+    characters leave the JVM; with compose=False none do. Texts without a letter that folds are lowered alone."""
     if compose:
         text = F.when(text.rlike(_COMBINING), _compose(F.when(text.rlike(_COMBINING), text))).otherwise(text)
-    return F.lower(F.translate(F.regexp_replace(text, f"[{MARKS}]", ""), FOLD_FROM, FOLD_TO))
+    return F.lower(F.when(text.rlike(_FOLDABLE), F.translate(F.regexp_replace(text, f"[{MARKS}]", ""), FOLD_FROM, FOLD_TO)).otherwise(text))
 
 
 def normalise(text: str) -> str:
@@ -47,11 +51,19 @@ def normalise(text: str) -> str:
     return _MARKS.sub("", unicodedata.normalize("NFC", text)).translate(_TABLE).lower()
 
 
+#: What parts search terms, and what they are made of.
+BETWEEN_TERMS, TERM = r"[^\p{L}\p{N}_]+", r"[\p{L}\p{N}_]+"
+
+
+def bare(word: Column) -> Column:
+    """A word without the article, if it has more than four characters."""
+    return F.when((F.length(word) > 4) & word.startswith(ARTICLE), F.substring(word, 3, 1 << 30)).otherwise(word)
+
+
 def terms(text: Column, compose: bool = False) -> Column:
     """Search terms: runs of letters, digits and underscores of the normalised text, the article stripped from
     words of more than four characters."""
-    words = F.filter(F.split(normalised(text, compose), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when((F.length(w) > 4) & w.startswith(ARTICLE), F.substring(w, 3, 1 << 30)).otherwise(w))
+    return F.transform(F.filter(F.split(normalised(text, compose), BETWEEN_TERMS), lambda w: w != ""), bare)
 
 
 def claim_form(text: Column) -> Column:

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..sources.scratch import written
 
 FLOOR, MARGIN = 0.75, 0.1
 
@@ -139,7 +140,8 @@ def replay(events: DataFrame, floor: float = FLOOR, margin: float = MARGIN) -> F
         F.col("confidence").cast("double").alias("confidence"), "created_at", "reason",
     ).filter("subject <> '' AND key <> '' AND trim(claim) <> ''")
     order = ["subject", "date", "session_id", "rank", "ord"]
-    rows = clean.repartition("subject").sortWithinPartitions(*order).mapInArrow(_fold(floor, margin), _OUT)
+    # written once: facts, queue and outcomes are three readings of one fold
+    rows = written(clean.repartition("subject").sortWithinPartitions(*order).mapInArrow(_fold(floor, margin), _OUT))
     fact = ["subject", "seq", "key", "subject_kind", "claim", "confidence", "session_id", "created_at", "superseded_by", "superseded_at", "retracted_at"]
     return Folded(
         rows.filter("row = 'fact'").select(*fact),
@@ -178,6 +180,20 @@ def history(facts: DataFrame) -> DataFrame:
 
 
 def facts_as_of(facts: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes: subject, date. Facts that were live strictly before the date."""
-    f = facts.withColumn("closed", F.least("superseded_at", "retracted_at"))
-    return probes.join(f.hint("shuffle_merge"), "subject").filter("created_at < date AND (closed IS NULL OR closed >= date)")
+    """probes: subject, date and what else they carry, the pair (subject, date) being a probe's key. Facts that were live strictly
+    before the date.
+
+    Facts and probes of a slot are read in one sorted stream: what a probe meets is the last fact opened before it. Withdrawn
+    facts, which need not stand in a slot's sequence, are few and meet their subject's probes."""
+    when = probes.select("subject", "date").distinct()
+    sequence = facts.filter("retracted_at IS NULL")
+    slots = sequence.select("subject", "key").distinct()
+    asked = when.join(slots.hint("shuffle_merge"), "subject").select("subject", "key", F.col("date").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"))
+    opened = sequence.select("subject", "key", F.col("created_at").alias("at"), F.lit(1).alias("kind"), "seq")
+    # at equal dates the probe comes first: a fact of the same date is not yet known
+    order = Window.partitionBy("subject", "key").orderBy("at", "kind", "seq")
+    met = asked.unionByName(opened).withColumn("last", F.last("seq", ignorenulls=True).over(order)).filter("kind = 0 AND last IS NOT NULL")
+    chain = met.select("subject", F.col("at").alias("date"), F.col("last").alias("seq")).join(sequence.hint("shuffle_merge"), ["subject", "seq"]).filter("superseded_at IS NULL OR superseded_at >= date")
+    gone = facts.filter("retracted_at IS NOT NULL").join(when.hint("shuffle_merge"), "subject").filter("created_at < date AND least(superseded_at, retracted_at) >= date")
+    live_then = chain.unionByName(gone)
+    return probes.join(live_then.hint("shuffle_merge"), ["subject", "date"])

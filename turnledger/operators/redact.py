@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import once
 
@@ -26,9 +27,9 @@ RULES = (
     ("bearer", r"\b(?:Bearer|Authorization:\s*Bearer)\s+[A-Za-z0-9._\-]{20,}", True, "Bearer [REDACTED-TOKEN]"),
     ("assigned-secret", r"\b([A-Z0-9_]*(?:PASSWORD|PASSWD|SECRET|TOKEN|API[_-]?KEY|PRIVATE[_-]?KEY|ACCESS[_-]?KEY)[A-Z0-9_]*)\s*[:=]\s*[\"']?([^\s\"'`,;]{6,})", True, "$1=[REDACTED-SECRET]"),
     ("ssh-key", r"\bssh-(?:rsa|ed25519|dss)\s+[A-Za-z0-9+/=]{40,}", False, "[REDACTED-SSH-KEY]"),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}[ ]?(?:[A-Z0-9][ ]?){11,30}\b", False, "[REDACTED-IBAN]"),
-    ("national-id", r"(?<![0-9.])[0-9]{9}(?![0-9])(?!\.[0-9])", False, "[REDACTED-ID]"),
-    ("credit-card", r"\b(?:[0-9][ -]?){13,19}\b", False, "[REDACTED-CARD]"),
+    ("iban", r"\b[A-Z]{2}\d{2}[ ]?(?:[A-Z0-9][ ]?){11,30}\b", False, "[REDACTED-IBAN]"),
+    ("national-id", r"(?<![\d.])\d{9}(?!\d)(?!\.\d)", False, "[REDACTED-ID]"),
+    ("credit-card", r"\b(?:\d[ -]?){13,19}\b", False, "[REDACTED-CARD]"),
 )
 UNVERIFIED = ("national-id", "credit-card", "iban")
 
@@ -60,9 +61,9 @@ def needed(kind: str, text: Column) -> Column:
     return out
 
 
-def redact(df: DataFrame, col: str = "text", rules=RULES) -> DataFrame:
+def redact(df: DataFrame, col: str = "text", rules=RULES, verify=None) -> DataFrame:
     """The column redacted, findings ARRAY<STRUCT<kind,count>> and safe. Each rule sees the text once; null stays
-    null and is safe."""
+    null and is safe. What is left is verified against the rules, or those of `verify`; survivors names the kinds that still match."""
 
     def step(kind: str, pattern: str, any_case: bool, to: str):
         p = F.lit(java_pattern(pattern, any_case))
@@ -81,7 +82,7 @@ def redact(df: DataFrame, col: str = "text", rules=RULES) -> DataFrame:
         state = once(state, step(*rule))
     df = df.withColumn("_s", state).withColumns({"_t": F.col("_s.t"), "_f": F.col("_s.f")}).drop("_s")
     probe = F.regexp_replace("_t", r"\[REDACTED-[A-Z-]+\]", "·")
-    left = [F.when(needed(k, F.col("_t")) & probe.rlike(java_pattern(p, i)), k) for k, p, i, _ in rules if k not in UNVERIFIED]
+    left = [F.when(needed(k, F.col("_t")) & probe.rlike(java_pattern(p, i)), k) for k, p, i, _ in (rules if verify is None else verify) if k not in UNVERIFIED]
     survivors = F.array_compact(F.array(*left)) if left else F.array().cast("array<string>")
     return df.withColumns({col: F.col("_t"), "findings": F.col("_f"), "survivors": F.when(F.col("_t").isNotNull(), survivors).otherwise(F.array().cast("array<string>"))}).withColumn("safe", F.size("survivors") == 0).drop("_t", "_f")
 
@@ -93,19 +94,27 @@ def findings(redacted: DataFrame, *by: str) -> DataFrame:
 
 
 def split_quarantine(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    reason = F.array_join(F.transform("findings", lambda f: F.concat(f["kind"], F.lit("×"), f["count"].cast("string"))), ",")
+    """What is safe, and what leaves the flow with its reason: the findings, then the kinds that survived."""
+    found = F.transform("findings", lambda f: F.concat(f["kind"], F.lit("×"), f["count"].cast("string")))
+    reason = F.array_join(F.concat(found, F.transform("survivors", lambda k: F.concat(F.lit("survived:"), k))), ", ")
     return redacted.filter("safe"), redacted.filter("NOT safe").withColumn("reason", reason)
 
 
 def scrub(notes: DataFrame, rules=RULES) -> DataFrame:
-    """Redaction of every string column and every string of string arrays."""
+    """Redaction of every string in the rows, in structs and arrays however deep."""
 
     def cleaned(text: Column) -> Column:
         for _, pattern, any_case, to in rules:
             text = F.regexp_replace(text, java_pattern(pattern, any_case), to)
         return text
 
-    kinds = {f.name: f.dataType.simpleString() for f in notes.schema}
-    texts = {n: cleaned(F.col(n)) for n, k in kinds.items() if k == "string"}
-    lists = {n: F.transform(n, cleaned) for n, k in kinds.items() if k == "array<string>"}
-    return notes.withColumns(texts | lists) if texts or lists else notes
+    def inside(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return cleaned(value)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: inside(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*(inside(value[f.name], f.dataType).alias(f.name) for f in kind)))
+        return value
+
+    return notes.select(*(inside(F.col(f.name), f.dataType).alias(f.name) for f in notes.schema))

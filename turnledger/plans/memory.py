@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import facts as ops
@@ -27,16 +27,20 @@ def folded(spark: SparkSession, sf_dir: str) -> fold.Folded:
     return fold.replay(fold.events(claims(spark, sf_dir)))
 
 
-_C = """WITH RECURSIVE k AS (
-  SELECT 'u' || user_id AS subject, event_type AS key, event_type || ' value is ' || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) AS claim,
+CLAIMS_SQL = """SELECT 'u' || user_id AS subject, event_type AS key, event_type || ' value is ' || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) AS claim,
     CAST(CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 60 THEN 0.95 WHEN CAST(json_extract_string(props, '$.k') AS INT) >= 30 THEN 0.85 ELSE 0.6 END AS DOUBLE) AS confidence,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS date, CAST(event_id AS VARCHAR) AS session_id FROM events
-), c AS (SELECT *, row_number() OVER (PARTITION BY subject, key ORDER BY date, session_id) AS rn FROM k),
-f AS (
-  SELECT c.*, CASE WHEN confidence >= 0.75 THEN 'added' ELSE 'queued' END AS outcome,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS date, CAST(event_id AS VARCHAR) AS session_id FROM events"""
+
+
+def fold_sql(source: str, p: str = "", where: str = "true") -> str:
+    """The fold as common table expressions {p}c, {p}f, {p}facts, {p}pending over claims of one key a slot: no twins under other keys,
+    no withdrawals."""
+    return f"""{p}c AS (SELECT *, row_number() OVER (PARTITION BY subject, key ORDER BY date, session_id) AS rn FROM {source} WHERE {where}),
+{p}f AS (
+  SELECT {p}c.*, CASE WHEN confidence >= 0.75 THEN 'added' ELSE 'queued' END AS outcome,
     CASE WHEN confidence >= 0.75 THEN claim END AS held, CASE WHEN confidence >= 0.75 THEN confidence END AS held_conf,
     CAST('below-confidence-floor' AS VARCHAR) AS why
-  FROM c WHERE rn = 1
+  FROM {p}c WHERE rn = 1
   UNION ALL
   SELECT s.subject, s.key, s.claim, s.confidence, s.date, s.session_id, s.rn, s.outcome,
     CASE WHEN s.outcome IN ('added', 'superseded') THEN s.claim ELSE s.held END,
@@ -47,15 +51,60 @@ f AS (
       CASE WHEN f.held IS NULL THEN CASE WHEN c.confidence >= 0.75 THEN 'added' ELSE 'queued' END
         WHEN c.claim = f.held OR (length(c.claim) > 12 AND length(f.held) > 12 AND (contains(c.claim, f.held) OR contains(f.held, c.claim))) THEN 'unchanged'
         WHEN c.confidence >= 0.75 AND c.confidence >= f.held_conf - CAST(0.1 AS DOUBLE) THEN 'superseded' ELSE 'queued' END AS outcome
-    FROM f JOIN c ON c.subject = f.subject AND c.key = f.key AND c.rn = f.rn + 1
+    FROM {p}f f JOIN {p}c c ON c.subject = f.subject AND c.key = f.key AND c.rn = f.rn + 1
   ) s
-), facts AS (
+), {p}facts AS (
   SELECT subject, key, claim, confidence, session_id, date AS created_at, lead(date) OVER (PARTITION BY subject, key ORDER BY rn) AS superseded_at
-  FROM f WHERE outcome IN ('added', 'superseded')
-), pending AS (SELECT subject, key, claim, confidence, session_id, date AS created_at, why AS reason FROM f WHERE outcome = 'queued')
+  FROM {p}f WHERE outcome IN ('added', 'superseded')
+), {p}pending AS (SELECT subject, key, claim, confidence, session_id, date AS created_at, why AS reason FROM {p}f WHERE outcome = 'queued')
 """
 
 
+_C = f"WITH RECURSIVE k AS ({CLAIMS_SQL}), {fold_sql('k')}"
+
+#: Of notes with k % 10 = 7: the user's claim of this kind before is withdrawn by the note itself, with 3 by a note of the same date that
+#: says nothing else.
+WITHDRAWALS_SQL = """w AS (SELECT * FROM (
+  SELECT 'u' || user_id AS subject, event_type AS key, lag(event_type || ' value is ' || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR)) OVER o AS claim, CAST(0.9 AS DOUBLE) AS confidence,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS date, CAST(event_id AS VARCHAR) || CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 = 3 THEN 'w' ELSE '' END AS session_id, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS d
+  FROM events WINDOW o AS (PARTITION BY user_id, event_type ORDER BY ts, CAST(event_id AS VARCHAR))) WHERE claim IS NOT NULL AND d IN (3, 7)),
+v AS (SELECT subject, key, claim, confidence, date, session_id, 1 AS kind FROM k UNION ALL SELECT subject, key, claim, confidence, date, session_id, 0 FROM w),
+e AS (SELECT *, row_number() OVER (PARTITION BY subject, key ORDER BY date, session_id, kind) AS rn FROM v),
+s AS (
+  SELECT subject, key, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS DOUBLE) AS held_conf, CAST(NULL AS BIGINT) AS held_rn, CAST('none' AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS ends
+  FROM (SELECT DISTINCT subject, key FROM e)
+  UNION ALL
+  SELECT subject, key, rn,
+    CASE outcome WHEN 'took' THEN claim WHEN 'withdrew-held' THEN NULL WHEN 'withdrawn-over' THEN NULL ELSE held END,
+    CASE outcome WHEN 'took' THEN confidence WHEN 'withdrew-held' THEN NULL WHEN 'withdrawn-over' THEN NULL ELSE held_conf END,
+    CASE outcome WHEN 'took' THEN rn WHEN 'withdrew-held' THEN NULL WHEN 'withdrawn-over' THEN NULL ELSE held_rn END,
+    outcome, CASE WHEN outcome IN ('took', 'withdrew-held', 'withdrawn-over') THEN held_rn END
+  FROM (
+    SELECT e.*, s.held, s.held_conf, s.held_rn, CASE
+      WHEN kind = 0 AND held IS NOT NULL AND same THEN 'withdrew-held'
+      WHEN kind = 0 AND held IS NOT NULL AND e.confidence >= 0.75 AND e.confidence >= held_conf - CAST(0.1 AS DOUBLE) THEN 'withdrawn-over'
+      WHEN kind = 0 THEN 'withdrawn-new'
+      WHEN held IS NULL THEN CASE WHEN e.confidence >= 0.75 THEN 'took' ELSE 'queued' END
+      WHEN same THEN 'unchanged'
+      WHEN e.confidence >= 0.75 AND e.confidence >= held_conf - CAST(0.1 AS DOUBLE) THEN 'took' ELSE 'queued' END AS outcome
+    FROM s JOIN e ON e.subject = s.subject AND e.key = s.key AND e.rn = s.rn + 1,
+      LATERAL (SELECT e.claim = held OR (length(e.claim) > 12 AND length(held) > 12 AND (contains(e.claim, held) OR contains(held, e.claim))) AS same)
+  )
+),
+made AS (SELECT e.*, s.outcome FROM s JOIN e USING (subject, key, rn) WHERE s.outcome IN ('took', 'withdrawn-new', 'withdrawn-over')),
+ended AS (SELECT s.subject, s.key, s.ends AS rn, s.outcome AS how, e.date AS ended_at, e.session_id AS ended_by FROM s JOIN e USING (subject, key, rn) WHERE s.ends IS NOT NULL),
+took AS (SELECT subject, key, date, session_id FROM made WHERE outcome = 'took'),
+history AS (
+  SELECT m.subject, m.key, m.claim, m.confidence, m.session_id,
+    -- what a note withdrew from a slot that its own claim then took was replaced
+    CASE WHEN m.kind = 0 THEN CASE WHEN r.session_id IS NULL THEN 'retracted' ELSE 'superseded' END
+      WHEN x.how IS NULL THEN 'live' WHEN x.how = 'withdrew-held' AND q.session_id IS NULL THEN 'retracted' ELSE 'superseded' END AS state
+  FROM made m LEFT JOIN ended x USING (subject, key, rn)
+  LEFT JOIN took r ON m.kind = 0 AND r.subject = m.subject AND r.key = m.key AND r.date = m.date AND r.session_id = m.session_id
+  LEFT JOIN took q ON q.subject = m.subject AND q.key = m.key AND q.date = x.ended_at AND q.session_id = x.ended_by
+)"""
+
+
 def a1_reconcile_outcomes(spark, sf_dir):
     return folded(spark, sf_dir).outcomes.select("subject", "key", "session_id", "claim", "outcome")
 
@@ -107,8 +156,42 @@ def j5_pairing(spark, sf_dir):
     return ops.changes(new, old).groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def j5_changes(spark, sf_dir):
+    """The rows behind j5_pairing."""
+    log = claims(spark, sf_dir)
+    new, old = fold.replay(fold.events(log)).facts, fold.replay(fold.events(log.filter("cast(session_id as long) % 2 = 0"))).facts
+    return ops.changes(new, old).select("session_id", "subject", "key", "change")
+
+
+def withdrawals(spark, sf_dir):
+    """See WITHDRAWALS_SQL."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    d = F.get_json_object("props", "$.k").cast("int") % 10
+    said = F.concat("event_type", F.lit(" value is "), F.floor(F.col("value") * 100).cast("string"))
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", F.col("event_id").cast("string"))
+    date = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = e.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject"), F.lit("person").alias("subject_kind"), F.col("event_type").alias("key"), F.lag(said).over(order).alias("claim"),
+        F.lit(0.9).alias("confidence"), date.alias("date"), F.concat(F.col("event_id").cast("string"), F.when(d == 3, "w").otherwise("")).alias("session_id"), F.lit(0).cast("long").alias("ord"),
+        date.alias("created_at"), date.alias("retracted_at"), d.alias("d"),
+    )
+    return rows.filter("claim IS NOT NULL AND d IN (3, 7)").drop("d")
+
+
+def a2_withdrawals(spark, sf_dir):
+    """The state of every fact where notes withdraw earlier wordings, some of them to replace them."""
+    facts = fold.replay(fold.events(claims(spark, sf_dir), withdrawals(spark, sf_dir))).facts
+    return fold.history(facts).select("subject", "key", "claim", "confidence", "session_id", "state")
+
+
+def a3_replaced(spark, sf_dir):
+    """Facts by state, with withdrawals."""
+    facts = fold.replay(fold.events(claims(spark, sf_dir), withdrawals(spark, sf_dir))).facts
+    return fold.history(facts).groupBy("subject", "state").agg(F.count(F.lit(1)).alias("facts"))
+
+
 def a14_links(spark, sf_dir):
-    """Users linked by errors of one hour."""
+    """Every user linked with one other, by kind of event; the first event names the link."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     links = e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a"), F.concat(F.lit("u"), (F.col("user_id") * 7 % 50).cast("string")).alias("b"),
@@ -160,9 +243,24 @@ def j6_orphans(spark, sf_dir):
     return ops.orphans(folded(spark, sf_dir).facts, notes).select("subject", "key", "session_id", "why")
 
 
-QUERIES = {f.__name__: f for f in (a1_reconcile_outcomes, a1_facts, a1_pending, w2_current, w3_history, a7_stats, a8_subjects, a9_waiting, a10_usage, a11_rereads, a14_links, a15_known_keys, j3_facts_as_of, j5_pairing, j6_orphans, p15_canonical_keys, w4_recent, w9_subject_view, w10_pending)}
+QUERIES = {f.__name__: f for f in (a1_reconcile_outcomes, a1_facts, a1_pending, w2_current, w3_history, a7_stats, a8_subjects, a9_waiting, a10_usage, a11_rereads, a14_links, a15_known_keys, a2_withdrawals, a3_replaced, j3_facts_as_of, j5_changes, j5_pairing, j6_orphans, p15_canonical_keys, w4_recent, w9_subject_view, w10_pending)}
+
+_PAIRED = f"""WITH RECURSIVE k AS ({CLAIMS_SQL}), {fold_sql("k")}, {fold_sql("k", "o", "CAST(session_id AS BIGINT) % 2 = 0")},
+ch AS (SELECT session_id, subject, key, CASE WHEN o.claim IS NULL THEN 'inserted' WHEN n.claim IS NULL THEN 'removed' WHEN n.superseded_at IS NOT NULL AND o.superseded_at IS NULL THEN 'superseded'
+  WHEN n.superseded_at IS NULL AND o.superseded_at IS NOT NULL THEN 'restored' END AS change FROM facts n FULL JOIN ofacts o USING (session_id, subject, key, claim, confidence))"""
+
+#: What makes spellings of the part keys one: every word without its plural ending.
+_PART_FORM = "list_transform(string_split(replace({}, '_', '-'), '-'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END)"
 
 SQL = {
+    "a2_withdrawals": f"WITH RECURSIVE k AS ({CLAIMS_SQL}), {WITHDRAWALS_SQL} SELECT * FROM history",
+    "a3_replaced": f"WITH RECURSIVE k AS ({CLAIMS_SQL}), {WITHDRAWALS_SQL} SELECT subject, state, count(*) AS facts FROM history GROUP BY 1, 2",
+    "j5_changes": _PAIRED + " SELECT * FROM ch WHERE change IS NOT NULL",
+    "j5_pairing": _PAIRED + " SELECT change, count(*) AS rows FROM ch WHERE change IS NOT NULL GROUP BY 1",
+    "p15_canonical_keys": f"""WITH n AS (SELECT p_brand AS subject, lower(replace(p_type, ' ', '-')) AS key, min(p_partkey) AS seen FROM part GROUP BY 1, 2),
+c AS (SELECT DISTINCT p_brand AS subject, replace(p_type, ' ', '_') || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS key FROM part)
+SELECT subject, c.key, coalesce(max(n.key) FILTER (n.key = c.key), arg_min(n.key, (seen, n.key)), c.key) AS canonical_key FROM c LEFT JOIN n USING (subject)
+WHERE n.key IS NULL OR n.key = c.key OR {_PART_FORM.format("lower(c.key)")} = {_PART_FORM.format("n.key")} GROUP BY 1, 2""",
     "a1_reconcile_outcomes": _C + "SELECT subject, key, session_id, claim, outcome FROM f",
     "a1_facts": _C + "SELECT * FROM facts",
     "a1_pending": _C + "SELECT subject, key, claim, confidence, reason, session_id, created_at FROM pending",
