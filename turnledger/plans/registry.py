@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import memory, sessions, texts
+from . import briefs, memory, sessions, texts
 
-QUERIES: dict = memory.QUERIES | sessions.QUERIES | texts.QUERIES
-SQL: dict = memory.SQL | sessions.SQL | texts.SQL
+_PARTS = (memory, sessions, texts, briefs)
+
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict = {name: text for part in _PARTS for name, text in part.SQL.items()}
