@@ -43,24 +43,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/turnledger/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write the rows to the shared scratch folder and read them back: lineage ends here, the files
-    outlive a lost executor, and the size that the planner sees is real."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch where rows hold whole texts or long arrays.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """No Arrow batch of the session has more rows than this: a worker's memory follows the batch, not the default of 10,000."""
+    spark.conf.set(_BATCH, min(rows, int(spark.conf.get(_BATCH))))
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of so many rows for what runs inside: for rows that hold whole texts or long arrays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """The same for what runs inside."""
+    old = spark.conf.get(_BATCH)
+    bounded_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        spark.conf.set(_BATCH, old)
+
+
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write the rows to the shared scratch folder and read them back: lineage ends here, the files
+    outlive a lost executor, and the size that the planner sees is real."""
+    path = scratch_dir(df.sparkSession)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -69,22 +79,20 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 #: A key of more rows than both of these is hot.
-HOT_ROWS, HOT_SHARE = 1_000, 0.002
+HOT_ROWS, HOT_SHARE = 5_000, 0.002
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left.join(right, keys, how), how being inner or left, where a few keys may fill much of left and right has
-    one row a key. Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE rows and stay where they are."""
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """left.join(right, keys) where a few keys may fill much of left. right is stored and has one row a key; its column `weight`, which
+    is dropped, tells how many rows of left have the key. Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE rows and
+    stay where they are."""
     n = left.count()
-    plain = left.join(right.hint("shuffle_merge"), keys, how)
-    if n < HOT_ROWS:
-        return plain
-    hot = stored(left.groupBy(*keys).count().filter(F.col("count") >= max(HOT_ROWS, int(HOT_SHARE * n))).select(*keys))
-    if hot.isEmpty():
-        return plain
-    hot = F.broadcast(hot)
-    few = F.broadcast(stored(right.join(hot, keys, "left_semi")))
-    return left.join(hot, keys, "left_semi").join(few, keys, how).unionByName(left.join(hot, keys, "left_anti").join(right.hint("shuffle_merge"), keys, how))
+    few = right.filter(F.col(weight) >= max(HOT_ROWS, int(HOT_SHARE * n)))
+    right = right.drop(weight)
+    if n < HOT_ROWS or few.isEmpty():
+        return left.join(right.hint("shuffle_merge"), keys)
+    few = F.broadcast(few.drop(weight))
+    return left.join(few, keys).unionByName(left.join(few.select(*keys), keys, "left_anti").join(right.hint("shuffle_merge"), keys))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, skew_join, stored, text_bytes, words
+from .common import free_name, stored, text_bytes, words
+from .exact_dedup import filter_bits, probe, seen_filter
 
 WINDOW = 10
 #: Windows that one pass over the documents looks for (some 40 MB in a worker).
@@ -190,10 +191,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     one = found.dropDuplicates(["key", "items", "starts", "ends"])  # equal texts are found alike
     each = one.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.collect_list("items").alias("items"))
     report = stored(each.mapInArrow(_merged, "key string, n_hit long, n_items long, items_sha256 string, contaminated boolean"))
-    plain = stored(rows.withColumn("key", F.sha2("text", 256)).mapInArrow(_report(None), f"{schema}, key string").select("doc_id", "n_words", "key"))
-    met = skew_join(plain, report, ["key"], "left")
-    none = F.lit(hashlib.sha256(b"").hexdigest())
-    return met.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
+    plain = stored(rows.withColumn("key", F.sha2("text", 256)).mapInArrow(_report(None), f"{schema}, key string").withColumn("h", F.xxhash64("key")))
+    found_columns = ("n_hit", "n_items", "items_sha256")
+    # rows without a find pass a Bloom filter by; only the others meet the reports
+    held = seen_filter(report.select(F.xxhash64("key").alias("h")), filter_bits(report.count()))
+    flagged = probe(plain, "h", held)
+    met = flagged.filter("maybe").drop("contaminated").join(report.select("key", *(F.col(c).alias(f"r_{c}") for c in found_columns)).hint("shuffle_merge"), "key", "left").select("doc_id", "n_words", *(F.coalesce(f"r_{c}", c).alias(c) for c in found_columns))
+    return met.unionByName(flagged.filter("NOT maybe").select(*met.columns)).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:

@@ -141,7 +141,7 @@ def frequent_counters(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
 
     parts = docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "slice long, sums binary").repartition(slices, "slice")
     counters = np.zeros(1 << COUNTERS_LOG2, np.int64)
-    with small_batches(docs.sparkSession, 1_000):
+    with small_batches(docs.sparkSession):
         for r in parts.mapInArrow(add, "slice long, sums binary").collect():
             counters[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["sums"], np.int64)
     middle = float(np.median(counters))
@@ -277,14 +277,15 @@ def components(links: DataFrame) -> DataFrame:
     smallest label next to a set and then that label's own; rounds end when nothing changes. The hub of a star of links, and
     the label of a giant component, are hot keys and are broadcast."""
     both = stored(links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other"))).distinct())
-    labels = stored(both.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp")))
+    labels = stored(both.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp"), F.count(F.lit(1)).alias("degree")))
     while True:
-        told = skew_join(both, labels.withColumnRenamed("set", "other"), ["other"]).select("set", "comp")
-        near = stored(told.unionByName(labels).groupBy("set").agg(F.min("comp").alias("comp")))
-        up = near.select(F.col("set").alias("comp"), F.col("comp").alias("top"))
-        after = stored(skew_join(near, up, ["comp"]).select("set", F.col("top").alias("comp")))
-        if after.join(labels.withColumnRenamed("comp", "was").hint("shuffle_merge"), "set").filter("comp <> was").isEmpty():
-            return after
+        told = skew_join(both, labels.withColumnRenamed("set", "other"), ["other"], "degree").select("set", "comp", F.lit(0).cast("long").alias("degree"))
+        near = stored(told.unionByName(labels).groupBy("set").agg(F.min("comp").alias("comp"), F.max("degree").alias("degree")))
+        sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        up = stored(near.select(F.col("set").alias("comp"), F.col("comp").alias("top")).join(sizes.hint("shuffle_merge"), "comp"))
+        after = stored(skew_join(near, up, ["comp"], "size").select("set", F.col("top").alias("comp"), "degree"))
+        if after.join(labels.select("set", F.col("comp").alias("was")).hint("shuffle_merge"), "set").filter("comp <> was").isEmpty():
+            return after.drop("degree")
         labels = after
 
 
@@ -303,8 +304,8 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     tiles = by_comp.groupBy("shingle").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m")).filter("m > top.m")
     large, top = F.col("m") > TILE, F.col("top.m")
     blocks = lambda n: F.ceil(n / TILE).cast("int")
-    mixed = stored(tiles.select("shingle", F.when(large, F.col("top.comp")).alias("major"), F.when(large, blocks(top)).otherwise(0).alias("majors"), F.when(large, blocks(F.col("m") - top)).otherwise(1).alias("others")))
-    rows = skew_join(labelled, mixed, ["shingle"]).join(sets.select("set", "n", "bits").hint("shuffle_merge"), "set")
+    mixed = stored(tiles.select("shingle", F.when(large, F.col("top.comp")).alias("major"), F.when(large, blocks(top)).otherwise(0).alias("majors"), F.when(large, blocks(F.col("m") - top)).otherwise(1).alias("others"), "m"))
+    rows = skew_join(labelled, mixed, ["shingle"], "m").join(sets.select("set", "n", "bits").hint("shuffle_merge"), "set")
     # blocks of the largest component are numbered -1, -2, ..., the other blocks 0, 1, ...
     is_major = F.col("comp").eqNullSafe(F.col("major"))
     rows = rows.withColumn("own", F.when(is_major, -1 - F.pmod(F.xxhash64("set"), F.greatest("majors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("set"), F.col("others"))).cast("int"))
@@ -378,10 +379,9 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
     """row_id, doc_id, n, comp (and digest) of the rows with words, comp being one number a component; all rows' features."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(frequent_counters(docs, k, text_col))
-    with small_batches(spark, 2_000):
-        rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
+    rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
     first = F.min(F.struct("row_id", "doc_id", "n", "bits", "prefix"))
-    sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix"))
+    sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix", "copies"))
     heads = sets.select("set", "n", F.explode("prefix").alias("shingle"))
     salts = max(LEAST_SALTS, sets.count() // SALT_SETS)
 
@@ -412,9 +412,9 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
         if merged:
             links = links.unionByName(more)
             comp = components(links)
-    of_set = stored(sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp")))
+    of_set = stored(sets.select("d1", "d2", "set", "copies").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp"), "copies"))
     digest = ["digest"] * digests
-    placed = skew_join(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest), of_set, ["d1", "d2"])
+    placed = skew_join(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest), of_set, ["d1", "d2"], "copies")
     return stored(placed.select("row_id", "doc_id", "n", "comp", *digest)), rows
 
 
@@ -425,8 +425,8 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     with nothing; a null id never names a component that has another id. Repeated rows give rows each and
     link; an empty table gives no rows; other columns are not read."""
     placed, rows = _placed(docs, k, percent, id_col, text_col)
-    names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    named = skew_join(placed, names, ["comp"]).select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
+    named = skew_join(placed, names, ["comp"], "size").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("row_id", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(empty)
 
@@ -438,9 +438,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     placed, _ = _placed(docs, k, percent, id_col, text_col, digests=True)
     groups = stored(placed.groupBy("comp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    firsts = stored(groups.groupBy("comp").agg(first.alias("first")))
+    firsts = stored(groups.groupBy("comp").agg(first.alias("first"), F.count(F.lit(1)).alias("size")))
     kept = (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept")
-    judged = skew_join(groups, firsts, ["comp"]).select(row_key("doc_id").alias(name), F.col("digest").alias(sha), kept, "copies")
+    judged = skew_join(groups, firsts, ["comp"], "size").select(row_key("doc_id").alias(name), F.col("digest").alias(sha), kept, "copies")
     judged = stored(judged.filter("NOT kept OR copies > 1").drop("copies"))
     return without_rows(docs.withColumns({name: row_key(id_col), sha: F.sha2(text_bytes(text_col), 256)}), judged, name, sha)
 

@@ -92,10 +92,10 @@ def secret_spans(
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
     rows = stored(candidates(docs, id_col, text_col, owner, repository))
-    counts = stored(ownership(rows).select("hash", "owners", "repositories", ((F.col("owners") >= shared_by) | (F.col("owners") >= 2) & (F.col("repositories") >= spread_over)).alias("example")))
+    counts = stored(ownership(rows).select("hash", "owners", "repositories", "places", ((F.col("owners") >= shared_by) | (F.col("owners") >= 2) & (F.col("repositories") >= spread_over)).alias("example")))
     single = stored(rows.filter(F.size("found") > 0).select("row_id", "doc_id", F.explode("found").alias("s")).select("row_id", "doc_id", "s.*"))
     # one value may fill much of the corpus: its rows meet a broadcast of bounded size
-    marked = skew_join(single, counts, ["hash"])
+    marked = skew_join(single, counts, ["hash"], "places")
     some = marked.groupBy("row_id", "doc_id").agg(F.collect_list(F.struct("start", "end", "kind", "example")).alias("s"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,example:boolean>>").alias("s")
     none = rows.filter(F.size("found") == 0).select("row_id", "doc_id", nothing, F.lit(None).cast("long").alias("most_owners"), F.lit(None).cast("long").alias("most_repositories"))
