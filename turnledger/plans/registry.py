@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import briefs, memory, sessions, texts
+from . import briefs, memory, sessions, subjects, texts
 
-_PARTS = (memory, sessions, texts, briefs)
+_PARTS = (memory, sessions, texts, briefs, subjects)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL: dict = {name: text for part in _PARTS for name, text in part.SQL.items()}
