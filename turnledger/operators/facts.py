@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import claim_form, equivalent, key_forms, terms
-from .reconcile import live
+from ..functions.text import claim_form, equivalent, key_forms
+from ..sources.scratch import written
+from .reconcile import current, live
 
 
-def stats(facts: DataFrame, pending: DataFrame) -> DataFrame:
-    """One row: live, superseded and retracted facts, live subjects, waiting entries."""
+def stats(facts: DataFrame, pending: DataFrame, sessions: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """One row: live, superseded and retracted facts, live subjects, waiting entries; with sessions (status) those that were read, wait or were
+    set aside, with links their number."""
     alive = F.col("superseded_at").isNull() & F.col("retracted_at").isNull()
     counts = facts.agg(
         F.count_if(alive).alias("live"),
@@ -18,7 +20,15 @@ def stats(facts: DataFrame, pending: DataFrame) -> DataFrame:
         F.count_if(F.col("retracted_at").isNotNull()).alias("retracted"),
         F.count_distinct(F.when(alive, F.col("subject"))).alias("subjects"),
     )
-    return counts.crossJoin(F.broadcast(pending.agg(F.count(F.lit(1)).alias("waiting"))))  # one row each
+    more = [pending.agg(F.count(F.lit(1)).alias("waiting"))]
+    if sessions is not None:
+        kinds = {"ok": "read", "pending-extraction": "pending_sessions", "quarantined": "quarantined", "empty": "empty", "skipped": "skipped"}
+        more.append(sessions.agg(*(F.count_if(F.col("status") == k).alias(v) for k, v in kinds.items())))
+    if links is not None:
+        more.append(links.agg(F.count(F.lit(1)).alias("links")))
+    for one in more:  # one row each
+        counts = counts.crossJoin(F.broadcast(one))
+    return counts
 
 
 def subjects(facts: DataFrame) -> DataFrame:
@@ -56,45 +66,42 @@ def canonicalise(claims: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def retract_unconfirmed(facts: DataFrame, reread: DataFrame) -> DataFrame:
-    """Live claims of re-read sessions (below confidence 1) that no new claim of the subject repeats.
-    reread: session_id, subject, key, claim."""
+    """Live facts of sessions read again (below confidence 1) that no new claim of the subject repeats. reread: session_id, subject, key,
+    claim, of model readings only. withdrawn is false where the new reading fills the same slot: the wording was replaced."""
     old = live(facts).join(reread.select("session_id").distinct().hint("shuffle_merge"), "session_id", "left_semi").filter("confidence < 1").withColumn("form", claim_form(F.col("claim")))
-    new = reread.select("session_id", "subject", claim_form(F.col("claim")).alias("new_form")).distinct()
-    gone = old.join(new.select("session_id", "subject", F.col("new_form").alias("form")).hint("shuffle_merge"), ["session_id", "subject", "form"], "left_anti")
+    said = reread.select("session_id", F.trim("subject").alias("subject"), F.trim("key").alias("key"), claim_form(F.col("claim")).alias("new_form"))
+    new = said.select("session_id", "subject", "new_form").distinct()
+    gone = old.join(new.withColumnRenamed("new_form", "form").hint("shuffle_merge"), ["session_id", "subject", "form"], "left_anti")
     contained = gone.join(new.hint("shuffle_merge"), ["session_id", "subject"]).filter(equivalent(F.col("form"), F.col("new_form"))).select("subject", "seq").distinct()
-    return gone.join(contained.hint("shuffle_merge"), ["subject", "seq"], "left_anti").drop("form")
+    missing = gone.join(contained.hint("shuffle_merge"), ["subject", "seq"], "left_anti").drop("form")
+    slots = said.select("session_id", "subject", "key", F.lit(False).alias("withdrawn")).distinct()
+    return missing.join(slots.hint("shuffle_merge"), ["session_id", "subject", "key"], "left").withColumn("withdrawn", F.coalesce("withdrawn", F.lit(True)))
+
+
+def apply_retractions(requests: DataFrame, facts: DataFrame, sessions: DataFrame, claims: DataFrame) -> DataFrame:
+    """requests: session_id, subject, key, reason. sessions: session_id, date. claims: session_id, subject, key. The current fact of each named slot is
+    withdrawn, if it is below confidence 1 and no newer session made it; withdrawn is false where the session's own claims fill the slot."""
+    asked = requests.select("session_id", F.trim("subject").alias("subject"), F.trim("key").alias("key"), "reason").filter("subject <> '' AND key <> ''")
+    held = current(facts).filter("confidence < 1").select("subject", "key", "subject_kind", "claim", "confidence", "created_at", F.col("session_id").alias("made_by"))
+    dates = sessions.select("session_id", "date")
+    j = asked.join(held.hint("shuffle_merge"), ["subject", "key"]).join(dates.hint("shuffle_merge"), "session_id", "left")
+    j = j.join(dates.select(F.col("session_id").alias("made_by"), F.col("date").alias("made_on")).hint("shuffle_merge"), "made_by", "left").filter("NOT coalesce(made_on > date, false)")
+    slots = claims.select("session_id", F.trim("subject").alias("subject"), F.trim("key").alias("key"), F.lit(False).alias("withdrawn")).distinct()
+    out = j.join(slots.hint("shuffle_merge"), ["session_id", "subject", "key"], "left")
+    return out.select("session_id", "subject", "key", "claim", "confidence", "made_by", F.coalesce("withdrawn", F.lit(True)).alias("withdrawn"), F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.concat(F.lit("سحبته جلسة "), "session_id")).alias("reason"))
 
 
 def orphans(facts: DataFrame, claims: DataFrame) -> DataFrame:
-    """Live facts against the claims of their session: no-note, not-claimed or reworded; others are left out."""
+    """Live facts against the claims of their session: no-note, not-claimed or reworded (its note fills the slot with a claim that is not
+    equivalent); others are left out."""
     sessions = claims.select("session_id").distinct().withColumn("has_note", F.lit(True))
     slots = claims.groupBy("session_id", "subject", "key").agg(F.collect_set("claim").alias("said"))
     j = live(facts).join(sessions.hint("shuffle_merge"), "session_id", "left").join(slots.hint("shuffle_merge"), ["session_id", "subject", "key"], "left")
-    why = F.when(F.col("has_note").isNull(), "no-note").when(F.col("said").isNull(), "not-claimed").when(~F.array_contains("said", F.col("claim")), "reworded")
+    same = F.exists("said", lambda c: equivalent(claim_form(c), claim_form(F.col("claim"))))
+    why = F.when(F.col("has_note").isNull(), "no-note").when(F.col("said").isNull(), "not-claimed").when(~same, "reworded")
     return j.withColumn("why", why).filter("why IS NOT NULL").select("subject", "key", "claim", "session_id", "why")
 
 
-def near_keys(facts: DataFrame) -> DataFrame:
-    """Pairs of live keys of a subject whose claims share four words or more of four letters or more, and a
-    third of the shorter claim's. Pairs arise from shared words, weighed before they are kept."""
-    words = live(facts).select("subject", "key", F.array_distinct(F.filter(terms(F.col("claim")), lambda w: F.length(w) >= 4)).alias("words"))
-    words = words.filter("size(words) >= 4").withColumn("n", F.size("words"))
-    one = words.select("subject", "key", "n", F.explode("words").alias("word"))
-    a, b = one.alias("a"), one.alias("b")
-    shared = a.join(b.hint("shuffle_merge"), (F.col("a.subject") == F.col("b.subject")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.key") < F.col("b.key")))
-    pairs = shared.groupBy(F.col("a.subject").alias("subject"), F.col("a.key").alias("key"), F.col("b.key").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.least(F.first("a.n"), F.first("b.n")).alias("shorter"))
-    return pairs.filter("shared >= 4 AND 3 * shared >= shorter").select("subject", "key", "other", "shared")
-
-
-def stale(facts: DataFrame, restated: DataFrame, newest: DataFrame, now: str, days: int = 60) -> DataFrame:
-    """Live facts below confidence 1 not restated for `days`, of projects that are alive.
-    restated: subject, key, last_said. newest: project, last_session; facts carry project."""
-    age = lambda c: F.floor((F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(F.col(c).cast("timestamp"))) / 86_400_000)
-    j = live(facts).filter("confidence < 1").join(restated.hint("shuffle_merge"), ["subject", "key"], "left").join(newest.hint("shuffle_merge"), "project", "left")
-    j = j.withColumn("said", F.coalesce("last_said", "created_at")).withColumns({"age": age("said"), "project_age": age("last_session")})
-    return j.filter((F.col("age") >= days) & (F.col("project_age") <= days)).select("subject", "key", "project", "said", "age")
-
-
 def changes(replayed: DataFrame, existing: DataFrame) -> DataFrame:
     """Replay against the table, row by row (session, subject, key, claim, confidence and rank among equals):
     inserted, superseded, retracted, restored or removed."""
@@ -120,15 +127,48 @@ def recent(sessions: DataFrame, k: int, by: str = "project", at: str = "started_
 
 
 def subject_view(facts: DataFrame, past: int = 15) -> DataFrame:
-    """Live facts, and of each subject the newest `past` superseded ones with the words that replaced them."""
+    """Live facts, and of each subject the newest `past` that were superseded, with the words that replaced them, or withdrawn."""
     after = facts.select("subject", F.col("seq").alias("superseded_by"), F.col("claim").alias("replaced_by"), F.col("retracted_at").isNotNull().alias("later_withdrawn"))
-    old = facts.filter("superseded_at IS NOT NULL").join(after.hint("shuffle_merge"), ["subject", "superseded_by"], "left")
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("superseded_at"), F.desc("seq")))
-    old = old.withColumn("rank", rank).filter(F.col("rank") <= past).select("subject", "key", "claim", F.lit("superseded").alias("state"), "replaced_by", "later_withdrawn")
+    old = facts.filter("superseded_at IS NOT NULL OR retracted_at IS NOT NULL").join(after.hint("shuffle_merge"), ["subject", "superseded_by"], "left")
+    old = old.withColumns({"state": F.when(F.col("superseded_at").isNotNull(), "superseded").otherwise("retracted"), "ended": F.coalesce("superseded_at", "retracted_at")})
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("ended"), F.desc("seq")))
+    old = old.withColumn("rank", rank).filter(F.col("rank") <= past).select("subject", "key", "claim", "state", "replaced_by", "later_withdrawn")
     now = live(facts).select("subject", "key", "claim", F.lit("live").alias("state"), F.lit(None).cast("string").alias("replaced_by"), F.lit(None).cast("boolean").alias("later_withdrawn"))
     return now.unionByName(old)
 
 
+def near_names(subjects: DataFrame, names: DataFrame) -> DataFrame:
+    """For each name (name) that is no subject: the subjects that hold it or that it holds, case aside. names is a small question: it is
+    written out and broadcast up to 10,000 rows, beyond which it has to be asked in parts."""
+    wanted = written(names.select("name").distinct().join(subjects.select(F.col("subject").alias("name")).hint("shuffle_merge"), "name", "left_anti"))
+    if wanted.count() > 10_000:
+        raise ValueError("more than 10,000 names at once")
+    a, b = F.lower("subject"), F.lower("name")
+    return subjects.select("subject").distinct().join(F.broadcast(wanted), a.contains(b) | b.contains(a)).select("name", "subject")
+
+
 def pending_view(pending: DataFrame, limit: int = 100) -> DataFrame:
     """The newest waiting entries."""
     return pending.orderBy(F.desc("created_at"), F.desc("session_id")).limit(limit)
+
+
+def inbox(pending: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """What waits for a decision, what waits for an answer, and what waits in vain: section, provider, entries. sessions: session_id, agent, status,
+    source_file; files: path."""
+    there = files.select(F.col("path").alias("source_file"), F.lit(True).alias("there")).distinct()
+    waits = sessions.filter("status = 'pending-extraction'").join(there.hint("shuffle_merge"), "source_file", "left")
+    by_agent = waits.groupBy(F.when(F.col("there"), "waiting").otherwise("gone").alias("section"), F.col("agent").alias("provider")).agg(F.count(F.lit(1)).alias("entries"))
+    return pending.groupBy(F.lit("pending").alias("section"), F.regexp_replace("reason", ":.*", "").alias("provider")).agg(F.count(F.lit(1)).alias("entries")).unionByName(by_agent)
+
+
+def usage(rows: DataFrame) -> DataFrame:
+    """rows: provider, tokens, cost. Calls, tokens and cost by provider; a provider of which no call has a price has no cost, not a cost of
+    nothing, and unpriced counts the calls without one."""
+    return rows.groupBy("provider").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").cast("long").alias("tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.count_if(F.col("cost").isNull()).alias("unpriced"))
+
+
+def rereads(readings: DataFrame, now: str | None = None, days: int = 7, over: int = 3) -> DataFrame:
+    """readings: note, at, kind. Notes that scans read more than `over` times in the last `days`, up to now or the newest reading."""
+    last = readings.agg(F.coalesce(F.lit(now).cast("timestamp"), F.max("at")).alias("now"))
+    recent_ = readings.filter("kind = 'scan'").crossJoin(F.broadcast(last)).filter(F.col("at") > F.col("now") - F.expr(f"INTERVAL {days} DAYS"))  # one row
+    return recent_.groupBy("note").agg(F.count(F.lit(1)).alias("readings")).filter(F.col("readings") > over)

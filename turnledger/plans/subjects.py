@@ -86,7 +86,7 @@ _WHY = """CASE WHEN regexp_matches(subject, '[/\\\\]') THEN 'file' WHEN subject_
   WHEN regexp_matches(subject, '^[A-Z][A-Za-z0-9]*$') AND regexp_matches(subject, '[a-z]') AND regexp_matches(subject, '^.[^A-Z]*[A-Z]') THEN 'class'
   WHEN (project, """ + _FORM.format("subject") + ") IN (" + ", ".join(f"('{p}', '{f.lower().replace(' ', '').replace('-', '').replace('_', '')}')" for p, f in _FOLDERS) + ") THEN 'folder' END"
 _WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')"
-_J8 = f"WITH {_P}, f AS (SELECT * FROM s WHERE n % 7 > 0 AND subject <> project)"
+_J8 = f"WITH {_P}, lf AS (SELECT * FROM s WHERE n % 7 > 0 AND subject <> project)"
 
 SQL = {
     "p13_guard": f"WITH {_P} SELECT session_id, subject, {_WHY} AS why FROM s",
@@ -103,6 +103,6 @@ SELECT session_id, subject, key, CASE WHEN key <> 'k1' OR b % 4 <> 1 THEN subjec
 c AS (SELECT session_id, claim, true AS carried FROM o WHERE confidence >= 1 AND NOT EXISTS (SELECT 1 FROM nw WHERE nw.session_id = o.session_id AND (nw.claim = o.claim OR (length(nw.claim) > 12 AND length(o.claim) > 12 AND (contains(nw.claim, o.claim) OR contains(o.claim, nw.claim)))))
   UNION ALL SELECT session_id, claim, false FROM nw)
 SELECT session_id, claim, carried, count(*) AS rows FROM c GROUP BY 1, 2, 3""",
-    "j8_rejected": _J8 + f", g AS (SELECT subject, project, arg_min(subject_kind, n) AS subject_kind, count(*) AS facts FROM f GROUP BY 1, 2), h AS (SELECT *, {_WHY} AS why FROM g) SELECT subject, subject_kind, project, facts, why FROM h WHERE why IS NOT NULL",
-    "j8_undefined": _J8 + " SELECT subject, count(*) AS facts, string_agg(DISTINCT project, ',' ORDER BY project) AS projects FROM f WHERE subject_kind = 'tool' AND subject <> 'Brand#1' AND NOT regexp_matches(subject, '[/\\\\]') GROUP BY 1",
+    "j8_rejected": _J8 + f", g AS (SELECT subject, project, arg_min(subject_kind, n) AS subject_kind, count(*) AS facts FROM lf GROUP BY 1, 2), h AS (SELECT *, {_WHY} AS why FROM g) SELECT subject, subject_kind, project, facts, why FROM h WHERE why IS NOT NULL",
+    "j8_undefined": _J8 + " SELECT subject, count(*) AS facts, string_agg(DISTINCT project, ',' ORDER BY project) AS projects FROM lf WHERE subject_kind = 'tool' AND subject <> 'Brand#1' AND NOT regexp_matches(subject, '[/\\\\]') GROUP BY 1",
 }
