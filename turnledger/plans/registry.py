@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, briefs, memory, sessions, subjects, texts
+from . import audits, briefs, decisions, memory, sessions, subjects, texts
 
-_PARTS = (memory, sessions, texts, briefs, subjects, audits)
+_PARTS = (memory, sessions, texts, briefs, subjects, audits, decisions)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL: dict = {name: text for part in _PARTS for name, text in part.SQL.items()}
