@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # The labels of a distilled session.
 USER, ASSISTANT = "المستخدم", "الوكيل"
 SESSION, FOLDER, UNKNOWN, START, TOOLS = "# جلسة ", "المجلد: ", "غير معروف", "البداية: ", "أدوات: "
 CUT, DROPPED = "\n[…قُصّ…]\n", ("### […حُذف ", " دوراً من المنتصف…]")
 
+# Fixed value: folders that no session picks up from.
+RESUME_SKIP = r"/temp/|/tmp/|/scratchpad/|/\.claude/projects/[^/]+/memory/"
+
 #: turns: session_id, seq, role, text
 
 
@@ -38,10 +43,12 @@ def tool_markers(turns: DataFrame) -> DataFrame:
 
 
 def session_stats(turns: DataFrame) -> DataFrame:
-    """Characters of the user's turns (unclipped), blocks, sorted tool names."""
+    """Characters of the user's turns (unclipped) and blocks; with a tools column also the distinct sorted tool names."""
+    tools = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tools")))), ",").alias("tool_names")] if "tools" in turns.columns else []
     return turns.groupBy("session_id").agg(
         F.coalesce(F.sum(F.when(F.col("role") == "user", F.length("text"))), F.lit(0)).cast("long").alias("user_chars"),
         F.count_if(F.col("role").isin("user", "assistant")).alias("blocks"),
+        *tools,
     )
 
 
@@ -124,11 +131,106 @@ def changed_files(files: DataFrame, ledger: DataFrame, min_user_chars: int = 200
     return j.withColumn("verdict", verdict).drop("was", "status", "threshold")
 
 
-def select_candidates(files: DataFrame, limit: int = 100) -> DataFrame:
-    """The oldest `limit` files are taken, the rest counted as left; filters come before this."""
-    rank = F.row_number().over(Window.orderBy("mtime", "path"))
-    first = files.orderBy("mtime", "path").limit(limit).withColumn("rank", rank)
-    return first
+def select_candidates(files: DataFrame, limit: int = 100, project: str | None = None, agent: str | None = None) -> DataFrame:
+    """files: path, mtime, project, agent. The filters come first, then the oldest `limit` files are taken. Adds rank (null: left for the next
+    run) and left, how many those are. Only `limit` rows are ever ranked."""
+    if project is not None:
+        files = files.filter(F.col("project") == project)
+    if agent is not None:
+        files = files.filter(F.col("agent") == agent)
+    first = written(files.orderBy("mtime", "path").limit(limit).select("path", "mtime"))
+    ranked = F.broadcast(first.withColumn("rank", F.row_number().over(Window.orderBy("mtime", "path"))).select("path", "rank"))  # at most `limit` rows
+    total = F.broadcast(files.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("left")))  # one row
+    return files.join(ranked, "path", "left").crossJoin(total)
+
+
+def drop_self(sessions: DataFrame, folder: str) -> DataFrame:
+    """Without the extractor's own sessions: those whose cwd is its folder."""
+    tidy = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\\\\", "/"), "/+$", ""))
+    return sessions.filter(~F.coalesce(tidy(F.col("cwd")) == tidy(F.lit(folder)), F.lit(False)))
+
+
+def record_unread(ledger: DataFrame, judged: DataFrame, min_user_chars: int = 200) -> DataFrame:
+    """ledger: session_id, fingerprint, status, min_user_chars. judged: session_id (null: the file yields none), agent, path, fingerprint, kind (tiny, self or
+    none), user_chars. The ledger with what was read and set aside; a row that says more than that is never overwritten."""
+    new = judged.filter("fingerprint IS NOT NULL").select(
+        F.coalesce("session_id", F.concat_ws(":", "agent", "path")).alias("session_id"), "fingerprint",
+        F.when(F.col("kind") == "self", "skipped").otherwise("empty").alias("status"),
+        F.when((F.col("kind") == "tiny") & F.col("user_chars").isNotNull(), min_user_chars).cast("int").alias("min_user_chars"),
+    )
+    row = lambda side: F.struct(*(F.col(f"{side}.{c}") for c in ("fingerprint", "status", "min_user_chars")))
+    keep = F.col("l.session_id").isNotNull() & (F.col("n.session_id").isNull() | ~F.col("l.status").isin("empty", "skipped"))
+    j = ledger.alias("l").join(new.alias("n").hint("shuffle_merge"), F.col("l.session_id") == F.col("n.session_id"), "full_outer")
+    return j.select(F.coalesce("l.session_id", "n.session_id").alias("session_id"), F.when(keep, row("l")).otherwise(row("n")).alias("r")).select("session_id", "r.*")
+
+
+def offered_facts(facts: DataFrame, sessions: DataFrame, readers: DataFrame, tools: DataFrame) -> DataFrame:
+    """readers: reader, project, agent (null: only the project's own). sessions: session_id, project, agent. tools: subject. For each reader the live
+    facts of its project, and those of defined tools that the same agent filed elsewhere."""
+    f = facts.filter("superseded_at IS NULL AND retracted_at IS NULL").join(sessions.select("session_id", "project", "agent").hint("shuffle_merge"), "session_id")
+    f = f.select("subject", "key", "claim", "session_id", "seq", "project", "agent")
+    own = readers.select("reader", "project").join(f.drop("agent").hint("shuffle_merge"), "project").drop("project")
+    known = f.join(tools.select("subject").distinct().hint("shuffle_merge"), "subject", "left_semi")
+    others = readers.select("reader", "agent", F.col("project").alias("ours")).join(known.hint("shuffle_merge"), "agent").filter("project <> ours").drop("agent", "project", "ours")
+    return own.unionByName(others)
+
+
+#: A reading's commit follows its row within this many milliseconds, and may precede it by a minute.
+READING_SPAN, SLACK = 12 * 3_600_000, 60_000
+
+
+def infer_digests(notes: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
+    """notes: note, session_id, processed_at, fingerprint, path, of model notes without a digest. commits: note, at, kind (scan, revert or other). files: path, size,
+    parsed_id. Adds skipped: null if the digest of what the file distils to now may stand for the text that was read, else why not."""
+    scans = commits.groupBy("note").agg(F.max(F.when(F.col("kind") == "scan", F.col("at"))).alias("scan_at"), F.max(F.when(F.col("kind") == "revert", F.col("at"))).alias("revert_at"))
+    j = notes.join(scans.hint("shuffle_merge"), "note", "left").join(files.hint("shuffle_merge"), "path", "left")
+    late = F.unix_millis(F.col("scan_at").cast("timestamp")) - F.unix_millis(F.col("processed_at").cast("timestamp"))
+    recorded = F.regexp_extract("fingerprint", r"^(\d+):\d+$", 1)
+    why = (
+        F.when(F.col("scan_at").isNull(), "no reading")
+        .when(F.col("revert_at") > F.col("scan_at"), "reverted since")
+        .when(~((late >= -SLACK) & (late <= READING_SPAN)), "another reading's row")
+        .when(recorded == "", "not a reading's fingerprint")
+        .when(F.col("size").isNull(), "no file")
+        .when(F.col("size").cast("string") != recorded, "file grew")
+        .when(~F.col("parsed_id").eqNullSafe(F.col("session_id")), "another session")
+    )
+    return j.select("note", "session_id", why.alias("skipped"))
+
+
+def tally(candidates: DataFrame) -> DataFrame:
+    """candidates: outcome. How many of each, and in all."""
+    return candidates.groupingSets([["outcome"], []], "outcome").agg(F.coalesce("outcome", F.lit("discovered")).alias("what"), F.count(F.lit(1)).alias("files")).select("what", "files")
+
+
+def open_report(active: DataFrame, files: DataFrame, now, quiet: str = "2 minutes", busy: str = "6 hours") -> DataFrame:
+    """active: key, at, busy. files: key, mtime. Sessions that are still open, and why: busy, quiet for too short, or only their file was touched."""
+    j = close_sessions(active, now, quiet, busy).join(files.hint("shuffle_merge"), "key", "full_outer")
+    touched = F.coalesce(F.col("mtime") + F.expr(f"INTERVAL {quiet}") > now, F.lit(False))
+    why = F.when(F.col("open") & F.col("busy"), "busy").when(F.col("open"), "quiet").when(touched, "mtime")
+    return j.withColumn("why", why).filter("why IS NOT NULL").select("key", "why")
+
+
+def retry(sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """Files (path) of sessions (session_id, source_file, status) that had no answer or were unsafe: they enter every run."""
+    again = sessions.filter(F.col("status").isin("pending-extraction", "quarantined")).select("session_id", "status", F.col("source_file").alias("path"))
+    return files.join(again.hint("shuffle_merge"), "path")
+
+
+def kept_notes(previous: DataFrame, new: DataFrame) -> DataFrame:
+    """Both: session_id, text. A reading that failed (null text) leaves the note before it, as does a session that was not read."""
+    j = previous.select("session_id", F.col("text").alias("was")).join(new.select("session_id", F.col("text").alias("now")).hint("shuffle_merge"), "session_id", "full_outer")
+    return j.select("session_id", F.coalesce("now", "was").alias("text"))
+
+
+def resume_files(files: DataFrame, stats: DataFrame, most: int = 15) -> DataFrame:
+    """files: session_id, pos, path. stats: path, mtime. Paths worth coming back to: scratch folders are out; up to `most` keep their order, of more the newest
+    stay. rank orders them."""
+    slashed = F.concat(F.lit("/"), F.lower(F.regexp_replace("path", r"\\\\", "/")), F.lit("/"))
+    kept = files.filter(~slashed.rlike(RESUME_SKIP)).join(stats.hint("shuffle_merge"), "path", "left").withColumn("mtime", F.coalesce("mtime", F.lit(0)))
+    by = Window.partitionBy("session_id")
+    kept = kept.withColumns({"n": F.count(F.lit(1)).over(by), "newest": F.row_number().over(by.orderBy(F.desc("mtime"), "pos")), "first": F.row_number().over(by.orderBy("pos"))})
+    return kept.withColumn("rank", F.when(F.col("n") <= most, F.col("first")).otherwise(F.col("newest"))).filter(F.col("rank") <= most).select("session_id", "path", "rank")
 
 
 def islands(events: DataFrame, quiet: str = "2 minutes", busy: str = "6 hours") -> DataFrame:
