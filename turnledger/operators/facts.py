@@ -137,6 +137,21 @@ def subject_view(facts: DataFrame, past: int = 15) -> DataFrame:
     return now.unionByName(old)
 
 
+def subject_lines(facts: DataFrame) -> DataFrame:
+    """subject, section (1 live, 2 superseded, 3 withdrawn), text: the lines of each subject's document, one row a line however many a subject has."""
+    day = lambda c: F.substring(c, 1, 10)
+    after = facts.select("subject", F.col("seq").alias("superseded_by"), F.concat(F.lit(" → "), "claim", F.when(F.col("retracted_at").isNotNull(), " (سُحب لاحقاً)").otherwise("")).alias("arrow"))
+    j = facts.join(after.hint("shuffle_merge"), ["subject", "superseded_by"], "left")
+    what = F.concat(F.lit("**"), "key", F.lit("** — "), "claim")
+    section = F.when(F.col("retracted_at").isNotNull(), 3).when(F.col("superseded_at").isNotNull(), 2).otherwise(1)
+    text = (
+        F.when(section == 1, F.concat(F.lit("- "), what, F.lit("  <sub>"), day("created_at"), F.lit(" · "), "session_id", F.lit("</sub>")))
+        .when(section == 2, F.concat(F.lit("- ~~"), what, F.lit("~~"), F.coalesce("arrow", F.lit("")), F.lit("  <sub>حتى "), day("superseded_at"), F.lit("</sub>")))
+        .otherwise(F.concat(F.lit("- ~~"), what, F.lit("~~  <sub>سُحب "), day("retracted_at"), F.lit(" · "), "session_id", F.lit("</sub>")))
+    )
+    return j.select("subject", section.alias("section"), text.alias("text"))
+
+
 def near_names(subjects: DataFrame, names: DataFrame) -> DataFrame:
     """For each name (name) that is no subject: the subjects that hold it or that it holds, case aside. names is a small question: it is
     written out and broadcast up to 10,000 rows, beyond which it has to be asked in parts."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Where each dialect keeps its sessions, and what opens a turn that is not the user's own.
@@ -68,6 +68,34 @@ def tool_names(content: Column) -> Column:
     return F.coalesce(F.filter(names, lambda n: n.isNotNull()), F.array().cast("array<string>"))
 
 
+# The argument names that say which file, and how a patch names one.
+FILE_KEYS = ("file_path", "path", "absolute_path", "notebook_path", "filePath")
+PATCHED = r"(?m)^\*\*\* (?:Update|Add|Delete) File: (.+)$"
+MOST_FILES = 200
+
+
+def _named_files(call: Column) -> Column:
+    """The paths that one tool call's arguments name: an object, or a string that is a patch or holds JSON."""
+    text = F.try_variant_get(call, "$", "string")
+    is_text = F.schema_of_variant(call) == "STRING"
+    obj = F.when(is_text, F.try_parse_json(text)).otherwise(call)
+    fields = F.array(*(F.when(F.schema_of_variant(F.try_variant_get(obj, f"$.{k}", "variant")) == "STRING", F.trim(F.try_variant_get(obj, f"$.{k}", "string"))) for k in FILE_KEYS))
+    patched = lambda t: F.coalesce(F.transform(F.regexp_extract_all(t, F.lit(PATCHED), F.lit(1)), F.trim), F.array().cast("array<string>"))
+    return F.concat(F.when(is_text, patched(text)).otherwise(F.array().cast("array<string>")), F.filter(fields, lambda f: f != ""), *(patched(F.try_variant_get(obj, f"$.{k}", "string")) for k in ("input", "patch")))
+
+
+def touched_files(records: DataFrame) -> DataFrame:
+    """path, line_ord, files: what each record's tool calls name, distinct in first-seen order, MOST_FILES of one content at most."""
+    blocks = F.coalesce(F.try_variant_get("v", "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+    calls = F.transform(F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_use"), lambda b: F.try_variant_get(b, "$.input", "variant"))
+    payload = F.coalesce(F.try_variant_get("v", "$.payload", "variant"), F.col("v"))
+    own = [F.try_variant_get(payload, f"$.{k}", "variant") for k in ("arguments", "input")]
+    is_call = F.coalesce(F.try_variant_get(payload, "$.type", "string").isin("function_call", "custom_tool_call"), F.lit(False))
+    args = F.filter(F.concat(calls, F.when(is_call, F.array(*own)).otherwise(F.array().cast("array<variant>"))), lambda c: c.isNotNull())
+    files = F.slice(F.array_distinct(F.flatten(F.transform(args, _named_files))), 1, MOST_FILES)
+    return records.select("path", "line_ord", files.alias("files")).filter(F.size("files") > 0)
+
+
 TURN = ("session_id", "path", "line_ord", "role", "text", "ts", "tools", "cwd")
 
 
@@ -90,11 +118,9 @@ def parse_codex(records: DataFrame) -> DataFrame:
     rows = records.filter(~F.coalesce(_get("$.type"), F.lit("")).isin("compacted", "turn_context", "event_msg")).withColumn("p", at)
     field = lambda name: F.try_variant_get("p", f"$.{name}", "string")
     meta = _get("$.type") == "session_meta"
-    whole = Window.partitionBy("path")
-    rows = rows.withColumns({
-        "meta_id": F.first(F.when(meta, field("id")), ignorenulls=True).over(whole),
-        "cwd": F.first(F.when(meta, field("cwd")), ignorenulls=True).over(whole),
-    }).filter(~meta)
+    # a file has few meta records: they are gathered and meet its other records, whose payloads are never sorted
+    about = rows.filter(meta).groupBy("path").agg(F.min_by(field("id"), F.when(field("id").isNotNull(), F.col("line_ord"))).alias("meta_id"), F.min_by(field("cwd"), F.when(field("cwd").isNotNull(), F.col("line_ord"))).alias("cwd"))
+    rows = rows.filter(~F.coalesce(meta, F.lit(False))).join(about.hint("shuffle_hash"), "path", "left")
     session = F.coalesce(F.nullif(F.regexp_extract("path", UUID, 1), F.lit("")), F.col("meta_id"))
     call = field("type") == "function_call"
     rows = rows.select(
