@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.jsonl import parsed, with_order
+from ..operators.turns import changed_files
+from ..sources.jsonl import discover, parsed, read_lines, with_order
+from ..sources.scratch import written
 
 
 def ingest_stream(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -26,6 +28,21 @@ def start_ingest(stream: DataFrame, batch: Callable[[DataFrame, int], None], che
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def ingest_file(spark: SparkSession, path: str) -> DataFrame:
+    """The records of one named file, as when its session has just ended: no gate, no wait."""
+    return parsed(read_lines(spark, path))
+
+
+def ingest_changed(spark: SparkSession, roots: dict[str, list[str]], ledger: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The batch leg for files that a file stream has seen and that grew since. ledger: path, fingerprint, status, min_user_chars. The oldest `limit` files
+    that are new or changed (with verdict and fingerprint), and their records. At most `limit` paths reach the driver."""
+    todo = changed_files(discover(spark, roots), ledger).filter("verdict <> 'unchanged'")
+    taken = written(todo.orderBy("mtime", "path").limit(limit))
+    paths = [r["path"] for r in taken.select("path").collect()]
+    records = parsed(read_lines(spark, *paths)) if paths else spark.createDataFrame([], "path string, line_ord struct<block:bigint,line:bigint>, v variant")
+    return taken, records
+
+
 class Closer(StatefulProcessor):
     """Per session the time of its last record and whether that leaves a turn running; a timer closes it."""
 
