@@ -251,7 +251,8 @@ def test_ngram_components(spark, docs, none, monkeypatch):
     open_pairs, rounds = ngram_join._open_pairs, []
     monkeypatch.setattr(ngram_join, "_open_pairs", lambda *a, **k: rounds.append(k) or open_pairs(*a, **k))
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n", F.lit("clash"))
-    for k, percent in ((3, 90), (5, 80)):
+    for k, percent, few in ((3, 90, ngram_join.FEW_SETS), (5, 80, 0)):
+        monkeypatch.setattr(ngram_join, "FEW_SETS", few)  # 0: all tiles are compared with arrays
         got = ngram_join.near_components(table, k, percent).drop("row_id").collect()
         assert sorted(map(tuple, got), key=key) == brute(rows, k, percent)
     assert len(rounds) > 2  # closest partners alone did not do

@@ -34,8 +34,10 @@ FREQUENT_SIGMAS = 6
 COUNT_BYTES = 1 << 20
 #: The tile of a frequent shingle is dealt over a task for every SALT_SETS sets of the corpus, LEAST_SALTS at least.
 SALT_SETS, LEAST_SALTS = 100_000, 16
-#: Sets of one block of a tile.
-TILE = 1_024
+#: Sets of one block of a tile, and 64-bit words of signatures that are compared at once.
+TILE, PAIR_WORDS = 1_024, 1 << 20
+#: Tiles up to this size are compared without arrays.
+FEW_SETS = 24
 CACHE_WORDS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,6 +90,14 @@ def folded(signature: np.ndarray, words: int) -> np.ndarray:
     return signature
 
 
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits two signatures differ, the longer folded to the shorter."""
+    while len(x) < len(y):
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half]) ^ int.from_bytes(y[half:])).to_bytes(half)
+    return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
 def frequent(shingles: np.ndarray, counters: np.ndarray) -> np.ndarray:
     return counters[(shingles >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
 
@@ -194,7 +204,13 @@ def _stars(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
         rep_n = 0
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            shingle, salt, one, size = (c.to_pylist() for c in batch.columns)
+            if not batch.num_rows:
+                continue
+            # tiles of one row, which are most, are passed over unless they may go on in another batch
+            new = np.r_[True, np.logical_or(*(np.diff(batch.column(i).to_numpy()) != 0 for i in (0, 1))), True]
+            single = new[:-1] & new[1:]
+            single[[0, -1]] = False
+            shingle, salt, one, size = (c.to_pylist() for c in batch.filter(pa.array(~single)).columns)
             for s, x, u, n in zip(shingle, salt, one, size, strict=True):
                 if (s, x) != tile:
                     tile, pending, rep, rep_n = (s, x), (s, x, u, n, u), u, n
@@ -314,45 +330,67 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     rows = rows.withColumn("other", F.explode(F.when(is_major, others).otherwise(F.concat(majors, others))))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "comp", "n", "bits")
 
+    def compare_few(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """The same without arrays, which cost more than they save in a tile of a few sets."""
+        same_block, every, closest = rows_[0][1] == rows_[0][2], [], []
+        for i, (shingle, _, _, own, one, comp_, n, bits) in enumerate(rows_):
+            near = []
+            for q in rows_[i + 1 :]:
+                if percent * q[6] > 100 * n:
+                    break
+                if q[5] != comp_ and (same_block or q[3] != own):
+                    apart = bits_apart(bits, q[7])
+                    if apart * (100 + percent) <= (100 - percent) * (n + q[6]):
+                        near.append((apart / (n + q[6]), q[6], q[4]))
+            if near:
+                every += [(one, x) for *_, x in near]
+                closest.append((one, min(near)[2]))
+        cut = len(every) > len(rows_) and not all_pairs
+        if every:
+            yield rows_[0][0], *np.array(closest if cut else every, np.int64).T, cut
+
     def compare(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-        shingle = rows_[0][0]
+        shingle, m = rows_[0][0], len(rows_)
         rows_.sort(key=lambda r: (r[6], r[4]))
+        if m <= FEW_SETS:
+            yield from compare_few(rows_)
+            return
         own, one, comp_, n = (np.array([r[c] for r in rows_], np.int64) for c in (3, 4, 5, 6))
         width = np.array([len(r[7]) // 8 for r in rows_])  # grows with n, by a step of two at most within reach
         same_block = rows_[0][1] == rows_[0][2]
-        ends = np.searchsorted(n, 100 * n // percent, "right")
-        level, base, bits, total = 0, 0, None, 0
-        every, closest = [], []
-        for r in range(len(rows_)):
-            if width[r] != level:
-                level, base = int(width[r]), r
-                reach = rows_[base : np.searchsorted(width, 2 * level, "right")]
-                bits = np.stack([folded(np.frombuffer(x[7], np.uint64), level) for x in reach])
-            part = slice(r + 1, ends[r])
-            if part.start >= part.stop:
-                continue
-            ok = comp_[part] != comp_[r]
-            if not same_block:
-                ok &= own[part] != own[r]
-            if not ok.any():
-                continue
-            at = np.flatnonzero(ok) + r + 1
-            apart = np.bitwise_count(bits[at - base] ^ bits[r - base]).sum(axis=1).astype(np.int64)
-            near = apart * (100 + percent) <= (100 - percent) * (n[at] + n[r])
-            at, apart = at[near], apart[near]
-            if not len(at):
-                continue
-            total += len(at)
-            if all_pairs:
-                yield shingle, np.full(len(at), one[r]), one[at], False
-                continue
-            best = at[np.argmin(apart / (n[at] + n[r]))]
-            closest.append((one[r], one[best]))
-            if total <= len(rows_):
-                every += [(one[r], x) for x in one[at]]
-        chosen = every if total <= len(rows_) else closest
+        partners = np.maximum(np.searchsorted(n, 100 * n // percent, "right") - np.arange(m) - 1, 0)
+        total, every, closest = 0, [], []
+        for level in map(int, np.unique(width)):
+            r, stop, reach = (int(np.searchsorted(width, w, side)) for w, side in ((level, "left"), (level, "right"), (2 * level, "right")))
+            base, bits = r, np.stack([folded(np.frombuffer(x[7], np.uint64), level) for x in rows_[r:reach]])
+            while r < stop:
+                # as many rows as have PAIR_WORDS words of signatures to compare with
+                take = max(1, int(np.searchsorted(np.cumsum(partners[r:stop]) * level, PAIR_WORDS, "right")))
+                count = partners[r : r + take]
+                a = np.repeat(np.arange(r, r + take), count)
+                b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + a + 1
+                r += take
+                ok = comp_[a] != comp_[b]
+                if not same_block:
+                    ok &= own[a] != own[b]
+                a, b = a[ok], b[ok]
+                apart = np.bitwise_count(bits[a - base] ^ bits[b - base]).sum(axis=1).astype(np.int64)
+                near = apart * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+                a, b, apart = a[near], b[near], apart[near]
+                if not len(a):
+                    continue
+                total += len(a)
+                if all_pairs:
+                    yield shingle, one[a], one[b], False
+                    continue
+                order = np.lexsort((b, apart / (n[a] + n[b]), a))
+                first = order[np.r_[True, a[order][1:] != a[order][:-1]]]
+                closest.append((one[a[first]], one[b[first]]))
+                if total <= m:
+                    every.append((one[a], one[b]))
+        chosen = every if total <= m else closest
         if chosen:
-            yield shingle, *np.array(chosen, np.int64).T, total > len(rows_)
+            yield shingle, *(np.concatenate(c) for c in zip(*chosen, strict=True)), total > m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
