@@ -118,7 +118,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit, null unless keep_ids),
     ids_sha256, decoded_sha256. decoded_sha256 is taken from the bytes that the ids decode to.
 
-    Null and empty texts have no tokens. Repeated rows give rows each. The rank file is read by the driver
+    Null and empty texts have no tokens. Repeated rows give rows each; ids are whole numbers or null; an empty table gives no rows; other columns are
+    not read. A very long text is encoded whole, its pieces one by one. The rank file is read by the driver
     and sent to the workers once: its size is that of the vocabulary, whatever the table's."""
     ranks = load_ranks(ranks_path)
     held = docs.sparkSession.sparkContext.broadcast(ranks)

@@ -172,7 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits; an empty benchmark hits nothing; an empty table gives no rows. Repeated
-    rows give rows each, ids may be null. Items that repeat an id count once; items with a null id are left out. Texts are never
+    rows give rows each, ids are whole numbers or null. Items that repeat an id count once; items with a null id are left out. Texts are never
     shuffled, however long; other columns are not read. With more windows than one block has, what each block finds is
     written under the text's digest, and the reports meet their rows by it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))

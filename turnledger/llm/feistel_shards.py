@@ -82,7 +82,8 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     """One row per input row: doc_id, size, text_crc32, row_number, law, shard, slot, grown_shard.
 
     Null text has no bytes (size 1, crc of nothing) and sorts by its digests like any other; repeated ids and
-    equal rows get numbers of their own. An empty table gives no rows. Other columns are not carried."""
+    equal rows get numbers of their own. An empty table gives no rows. Other columns are not carried. Very long texts are measured where they lie
+    and never shuffled."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     narrow = docs.select(
         F.col(id_col).alias("doc_id"),

@@ -214,7 +214,7 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row. score is 1 with an accepted template, 0.5 with base phrases alone, else 0.
 
-    A null text is an empty one: no words, no labels, score 0. Repeated rows and null ids give rows of their
+    A null text is an empty one: no words, no labels, score 0. Ids are whole numbers. Repeated rows and null ids give rows of their
     own; an empty table gives none; other columns are not read. Of templates that are accepted at one place all count; of the ends
     that one template has at one place the last counts. A text's time grows with its length and with the places of the
     templates' longest words, times the words that may stand before them."""

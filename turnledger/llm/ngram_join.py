@@ -460,7 +460,7 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     """One row per input row: row_id, doc_id, n_shingles, component_id (the smallest doc_id reachable).
 
     Two rows link when 100 * intersection >= percent * union. Null and empty texts have no shingles and link
-    with nothing; a null id never names a component that has another id. Repeated rows give rows each and
+    with nothing; ids are whole numbers, and a null id never names a component that has another id. Very long texts count whole. Repeated rows give rows each and
     link; an empty table gives no rows; other columns are not read."""
     placed, rows = _placed(docs, k, percent, id_col, text_col)
     names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")))

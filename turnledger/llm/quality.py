@@ -225,7 +225,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted.
 
     Null and empty texts are scored like any other, very long ones whole. Without a positive label every score is 0.5. Repeated
-    rows give rows each; rows with a null id count as not held out; an empty table gives no rows; other columns are not read."""
+    rows give rows each; ids are whole numbers; rows with a null id count as not held out; an empty table gives no rows; other columns are not read."""
     rows = stored(measured(docs))
     return score_rows(rows, *fit(rows, labels))
 

@@ -170,7 +170,7 @@ def judged(pages: DataFrame, rules=RULES, bad_names=BAD_NAMES, listed: DataFrame
     The longest rule that fits decides; of equal rules block wins. Without a rule the list (text: host and path, value: 1 blocks) decides;
     what it does not hold is blocked if the host is empty (a null url, or one without "://") or its name has a bad word, else
     allowed. Rules and bad names are few and written by hand; the list may be of any size. Repeated rows and
-    null ids give rows each; an empty table gives none; very long urls are judged whole. Only the two columns are read."""
+    null ids give rows each, other ids are whole numbers; an empty table gives none; very long urls are judged whole. Only the two columns are read."""
     lengths = sorted({len(path) for _, _, path in rules})
     entries = [(("r" + host + path).encode(), int(action == "block")) for action, host, path in rules]
     entries += [(b"n" + name.encode(), 1) for name in bad_names]
