@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, skew_join, small_batches, spaced_words, stored, text_bytes, with_row_id
@@ -312,7 +312,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     own, and two blocks of the largest component never meet. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
     partner alone and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
-        members.select("shingle", "set").distinct()
+        members.select("shingle", "set", "n").distinct()
         .join(comp.hint("shuffle_merge"), "set", "left")
         .withColumn("comp", F.coalesce("comp", "set"))
     )
@@ -321,7 +321,12 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     large, top = F.col("m") > TILE, F.col("top.m")
     blocks = lambda n: F.ceil(n / TILE).cast("int")
     mixed = stored(tiles.select("shingle", F.when(large, F.col("top.comp")).alias("major"), F.when(large, blocks(top)).otherwise(0).alias("majors"), F.when(large, blocks(F.col("m") - top)).otherwise(1).alias("others"), "m"))
-    rows = skew_join(labelled, mixed, ["shingle"], "m").join(sets.select("set", "n", "bits").hint("shuffle_merge"), "set")
+    rows = skew_join(labelled, mixed, ["shingle"], "m")
+    # in a tile of one block a set without a neighbour in size within reach has no partner, and its signature stays where it is
+    by_size = Window.partitionBy("shingle").orderBy("n", "set")
+    near = F.coalesce(percent * F.col("n") <= 100 * F.lag("n").over(by_size), F.lit(False)) | F.coalesce(percent * F.lead("n").over(by_size) <= 100 * F.col("n"), F.lit(False))
+    small = rows.filter("majors = 0").withColumn("near", near).filter("near").drop("near")
+    rows = small.unionByName(rows.filter("majors > 0")).join(sets.select("set", "bits").hint("shuffle_merge"), "set")
     # blocks of the largest component are numbered -1, -2, ..., the other blocks 0, 1, ...
     is_major = F.col("comp").eqNullSafe(F.col("major"))
     rows = rows.withColumn("own", F.when(is_major, -1 - F.pmod(F.xxhash64("set"), F.greatest("majors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("set"), F.col("others"))).cast("int"))
@@ -434,7 +439,7 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
     # a salted tile of one is a tile all the same; its rows and the smallest of each band meet once more
     tops = heads.filter("salt > 0").groupBy("shingle", "salt", F.floor(F.log2(F.col("n") + 0.5) * 4)).agg(F.min(F.struct("n", "set")).alias("f"))
     over = stored(_stars(tops.select("shingle", F.lit(0).cast("long").alias("salt"), "f.set", "f.n"), ["shingle"], percent))
-    members = part.select("shingle", "set", "rep").unionByName(over.select("shingle", "set", "rep"))
+    members = part.select("shingle", "set", "n", "rep").unionByName(over.select("shingle", "set", "n", "rep"))
     stars = stored(members.filter("set <> rep").select(F.least("set", "rep").alias("a"), F.greatest("set", "rep").alias("b")).distinct())
     links = _verified(stars, sets, docs, k, percent, id_col, text_col)
     comp = components(links)
@@ -446,7 +451,7 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
         merged = not more.isEmpty()
         if cut:  # the pairs of all other tiles have been tried
             again = found.filter("cut").select("shingle").distinct()
-            members = stored(members.select("shingle", "set").join(again.hint("shuffle_merge"), "shingle"))
+            members = stored(members.select("shingle", "set", "n").join(again.hint("shuffle_merge"), "shingle"))
         if merged:
             links = links.unionByName(more)
             comp = components(links)
