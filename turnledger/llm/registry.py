@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, exact_dedup, feistel_shards, license_scan, ngram_join, pii, quality, reply_trees, secret_scan, url_filter
+from . import byte_bpe, decontamination, exact_dedup, feistel_shards, license_scan, ngram_join, pii, quality, reply_trees, secret_scan, structure_repair, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_reply_trees": reply_trees.op11_reply_trees,
+    "op12_structure_repair": structure_repair.op12_structure_repair,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_reply_trees": reply_trees.OP11_SQL,
+    "op12_structure_repair": structure_repair.OP12_SQL,
 }
