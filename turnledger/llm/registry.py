@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, exact_dedup, feistel_shards, license_scan, ngram_join, pii, quality, reply_trees, secret_scan, structure_repair, url_filter
+from . import byte_bpe, decontamination, exact_dedup, feistel_shards, hard_negatives, license_scan, ngram_join, pii, quality, reply_trees, secret_scan, structure_repair, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_reply_trees": reply_trees.op11_reply_trees,
     "op12_structure_repair": structure_repair.op12_structure_repair,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_reply_trees": reply_trees.OP11_SQL,
     "op12_structure_repair": structure_repair.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
