@@ -4,7 +4,7 @@
    order (shingles that counts over all documents find frequent come last, else by hash): linked sets share a prefix shingle.
 2. Sets that share a prefix shingle lie in one tile, sorted by size and cut into bands that a link can span.
    Each is tried against the smallest of its band; links found this way join most copies of a text.
-3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, as many as the set is large)
+3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, in proportion to the set's size)
    bound the overlap from above; pairs that pass are verified by intersecting the sorted shingle arrays. A tile with more
    such pairs than sets first offers each set's closest partner alone; what links is merged, and the open pairs are
    sought anew. Once a round merges nothing, all that are left are verified.
@@ -14,6 +14,7 @@ Every link between different texts is either verified or already implied by othe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,6 +35,8 @@ FREQUENT_SIGMAS = 6
 COUNT_BYTES = 1 << 20
 #: The tile of a frequent shingle is dealt over a task for every SALT_SETS sets of the corpus, LEAST_SALTS at least.
 SALT_SETS, LEAST_SALTS = 100_000, 16
+#: The fewest bits of a signature.
+LEAST_BITS = 128
 #: Sets of one block of a tile, and 64-bit words of signatures that are compared at once.
 TILE, PAIR_WORDS = 1_024, 1 << 20
 #: Tiles up to this size are compared without arrays.
@@ -74,10 +77,15 @@ def _shingled(w: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def parity_bits(shingles: np.ndarray) -> bytes:
-    """A power of two of bits, 512 or the set's size at least; each shingle flips one. Two signatures differ in
-    no more bits than the sets in shingles, and a longer one folds to the length of a shorter one."""
-    bits = max(512, 1 << max(0, len(shingles) - 1).bit_length())
+def signature_bits(n: int, percent: int) -> int:
+    """How many bits the signature of n shingles has: a power of two, so many that two strangers are expected to differ in twice as many as a link allows."""
+    return max(LEAST_BITS, 1 << max(0, -(-8 * (100 - percent) * n // (100 + percent)) - 1).bit_length())
+
+
+def parity_bits(shingles: np.ndarray, percent: int) -> bytes:
+    """Each shingle flips one of signature_bits bits. Two signatures differ in no more bits than the sets in shingles, and a longer
+    one folds to the length of a shorter one."""
+    bits = signature_bits(len(shingles), percent)
     at = (shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
     return np.packbits((np.bincount((at & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -183,7 +191,7 @@ def features(docs: DataFrame, k: int, percent: int, hot, id_col: str, text_col:
                 n.append(len(s))
                 d1.append(digest[0])
                 d2.append(digest[1])
-                bits.append(parity_bits(s))
+                bits.append(parity_bits(s, percent))
                 heads.append(prefix(s, hot.value, percent).view(np.int64) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64())), *batch.columns[3:]],
@@ -291,25 +299,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
 def components(links: DataFrame) -> DataFrame:
     """(set, comp) for the sets that have a link: comp is the smallest set reachable. Each round takes the
     smallest label next to a set and then that label's own; rounds end when nothing changes. The hub of a star of links, and
-    the label of a giant component, are hot keys and are broadcast."""
+    the label of a giant component, are hot keys of plain joins, which adaptive execution splits."""
     both = stored(links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other"))).distinct())
-    labels = stored(both.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp"), F.count(F.lit(1)).alias("degree")))
+    labels = stored(both.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp")))
     while True:
-        told = skew_join(both, labels.withColumnRenamed("set", "other"), ["other"], "degree").select("set", "comp", F.lit(0).cast("long").alias("degree"))
-        near = stored(told.unionByName(labels).groupBy("set").agg(F.min("comp").alias("comp"), F.max("degree").alias("degree")))
-        sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        up = stored(near.select(F.col("set").alias("comp"), F.col("comp").alias("top")).join(sizes.hint("shuffle_merge"), "comp"))
-        after = stored(skew_join(near, up, ["comp"], "size").select("set", F.col("top").alias("comp"), "degree"))
-        if after.join(labels.select("set", F.col("comp").alias("was")).hint("shuffle_merge"), "set").filter("comp <> was").isEmpty():
-            return after.drop("degree")
-        labels = after
+        told = both.join(labels.select(F.col("set").alias("other"), "comp").hint("shuffle_merge"), "other").select("set", "comp", F.lit(None).cast("long").alias("was"))
+        near = stored(told.unionByName(labels.withColumn("was", F.col("comp"))).groupBy("set").agg(F.min("comp").alias("comp"), F.max("was").alias("was")))
+        up = near.select(F.col("set").alias("comp"), F.col("comp").alias("top"))
+        after = stored(near.join(up.hint("shuffle_merge"), "comp").select("set", F.col("top").alias("comp"), "was"))
+        if after.filter("comp <> was").isEmpty():
+            return after.drop("was")
+        labels = after.drop("was")
+
+
+def _size_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: shingle, set, comp, n, major of large tiles. Adds own, the row's block, and others, the blocks that it has to meet.
+
+    Sets of a tile fall into bands of sizes: a link joins sets of one band or of neighbouring ones. Each band is dealt into blocks of about TILE sets, those of the tile's largest
+    component apart from the rest; two blocks of the largest component never meet."""
+    # a little wider than the reach of a link, so that rounding never puts a band between two linked sets
+    width = max(0.01, math.log(100 / percent) * (1 + 1e-9))
+    band = F.floor(F.log(F.col("n")) / width).cast("long")
+    rows = rows.withColumns({"band": band, "is_major": F.col("comp").eqNullSafe(F.col("major"))})
+    blocks = lambda c: F.ceil(F.count_if(c) / TILE).cast("long")
+    sizes = rows.groupBy("shingle", "band").agg(blocks(F.col("is_major")).alias("majors"), blocks(~F.col("is_major")).alias("minors"))
+    held = F.struct("band", "majors", "minors")
+    by_band = Window.partitionBy("shingle").orderBy("band")
+    sizes = stored(sizes.select("shingle", "band", "majors", "minors", F.lag(held).over(by_band).alias("below"), F.lead(held).over(by_band).alias("above")))
+    rows = rows.join(sizes.hint("shuffle_merge"), ["shingle", "band"])
+    code = lambda band, kind, part: F.shiftleft(band * 2 + kind, 32) + part
+    none = F.array().cast("array<bigint>")
+
+    def numbered(band, kind: int, parts):
+        return F.when(parts > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1), lambda x: code(band, kind, x))).otherwise(none)
+
+    def of(band, majors, minors):
+        return F.concat(numbered(band, 0, minors), F.when(F.col("is_major"), none).otherwise(numbered(band, 1, majors)))
+
+    near = [F.when(F.col(c)["band"] == F.col("band") + d, of(F.col(c)["band"], F.col(c)["majors"], F.col(c)["minors"])).otherwise(none) for c, d in (("below", -1), ("above", 1))]
+    part = F.pmod(F.xxhash64("set"), F.greatest(F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors")), F.lit(1)))
+    own = code(F.col("band"), F.col("is_major").cast("long"), part)
+    return rows.select("shingle", "set", "comp", "n", own.alias("own"), F.concat(of(F.col("band"), F.col("majors"), F.col("minors")), *near).alias("others"))
 
 
 def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """shingle, a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
 
-    A tile of more than TILE sets is dealt into blocks: the sets of its largest component and its other sets have blocks of their
-    own, and two blocks of the largest component never meet. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
+    A tile of more than TILE sets is dealt into blocks, see _size_blocks. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
     partner alone and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
         members.select("shingle", "set", "n").distinct()
@@ -318,21 +354,16 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
     )
     by_comp = labelled.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"))
     tiles = by_comp.groupBy("shingle").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m")).filter("m > top.m")
-    large, top = F.col("m") > TILE, F.col("top.m")
-    blocks = lambda n: F.ceil(n / TILE).cast("int")
-    mixed = stored(tiles.select("shingle", F.when(large, F.col("top.comp")).alias("major"), F.when(large, blocks(top)).otherwise(0).alias("majors"), F.when(large, blocks(F.col("m") - top)).otherwise(1).alias("others"), "m"))
+    mixed = stored(tiles.select("shingle", F.when(F.col("m") > TILE, F.col("top.comp")).alias("major"), "m"))
     rows = skew_join(labelled, mixed, ["shingle"], "m")
     # in a tile of one block a set without a neighbour in size within reach has no partner, and its signature stays where it is
     by_size = Window.partitionBy("shingle").orderBy("n", "set")
     near = F.coalesce(percent * F.col("n") <= 100 * F.lag("n").over(by_size), F.lit(False)) | F.coalesce(percent * F.lead("n").over(by_size) <= 100 * F.col("n"), F.lit(False))
-    small = rows.filter("majors = 0").withColumn("near", near).filter("near").drop("near")
-    rows = small.unionByName(rows.filter("majors > 0")).join(sets.select("set", "bits").hint("shuffle_merge"), "set")
-    # blocks of the largest component are numbered -1, -2, ..., the other blocks 0, 1, ...
-    is_major = F.col("comp").eqNullSafe(F.col("major"))
-    rows = rows.withColumn("own", F.when(is_major, -1 - F.pmod(F.xxhash64("set"), F.greatest("majors", F.lit(1)))).otherwise(F.pmod(F.xxhash64("set"), F.col("others"))).cast("int"))
-    others = F.sequence(F.lit(0), F.col("others") - 1)
-    majors = F.when(F.col("majors") > 0, F.transform(F.sequence(F.lit(1), F.greatest("majors", F.lit(1))), lambda x: -x)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("other", F.explode(F.when(is_major, others).otherwise(F.concat(majors, others))))
+    zero = F.lit(0).cast("long")
+    dealt = rows.filter("major IS NULL").withColumn("near", near).filter("near").select("shingle", "set", "comp", "n", zero.alias("own"), F.array(zero).alias("others"))
+    if not mixed.filter("major IS NOT NULL").isEmpty():
+        dealt = dealt.unionByName(_size_blocks(rows.filter("major IS NOT NULL"), percent))
+    rows = dealt.join(sets.select("set", "bits").hint("shuffle_merge"), "set").withColumn("other", F.explode("others"))
     rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "comp", "n", "bits")
 
     def compare_few(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -424,7 +455,7 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
     hot = spark.sparkContext.broadcast(frequent_counters(docs, k, text_col))
     rows = stored(features(docs, k, percent, hot, id_col, text_col, digests))
     first = F.min(F.struct("row_id", "doc_id", "n", "bits", "prefix"))
-    sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix", "copies"))
+    sets = stored(rows.filter("n > 0").groupBy("d1", "d2").agg(first.alias("f")).select("d1", "d2", F.col("f.row_id").alias("set"), "f.doc_id", "f.n", "f.bits", "f.prefix"))
     heads = sets.select("set", "n", F.explode("prefix").alias("shingle"))
     salts = max(LEAST_SALTS, sets.count() // SALT_SETS)
 
@@ -455,9 +486,9 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
         if merged:
             links = links.unionByName(more)
             comp = components(links)
-    of_set = stored(sets.select("d1", "d2", "set", "copies").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp"), "copies"))
+    of_set = sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp"))
     digest = ["digest"] * digests
-    placed = skew_join(rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest), of_set, ["d1", "d2"], "copies")
+    placed = rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest).join(of_set.hint("shuffle_merge"), ["d1", "d2"])
     return stored(placed.select("row_id", "doc_id", "n", "comp", *digest)), rows
 
 
@@ -468,8 +499,8 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     with nothing; ids are whole numbers, and a null id never names a component that has another id. Very long texts count whole. Repeated rows give rows each and
     link; an empty table gives no rows; other columns are not read."""
     placed, rows = _placed(docs, k, percent, id_col, text_col)
-    names = stored(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
-    named = skew_join(placed, names, ["comp"], "size").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    names = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(names.hint("shuffle_merge"), "comp").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("row_id", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(empty)
 
@@ -481,9 +512,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     placed, _ = _placed(docs, k, percent, id_col, text_col, digests=True)
     groups = stored(placed.groupBy("comp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
-    firsts = stored(groups.groupBy("comp").agg(first.alias("first"), F.count(F.lit(1)).alias("size")))
+    firsts = groups.groupBy("comp").agg(first.alias("first"))
     kept = (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("kept")
-    judged = skew_join(groups, firsts, ["comp"], "size").select(row_key("doc_id").alias(name), F.col("digest").alias(sha), kept, "copies")
+    judged = groups.join(firsts.hint("shuffle_merge"), "comp").select(row_key("doc_id").alias(name), F.col("digest").alias(sha), kept, "copies")
     judged = stored(judged.filter("NOT kept OR copies > 1").drop("copies"))
     return without_rows(docs.withColumns({name: row_key(id_col), sha: F.sha2(text_bytes(text_col), 256)}), judged, name, sha)
 
