@@ -90,8 +90,14 @@ def design(table: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.hstack([np.ones((len(table), 1)), *((table[:, [k]] > c[None, :]).astype(float) for k, c in enumerate(cuts))])
 
 
-def _moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[bool, np.ndarray]:
-    """Sums of x x^T over the positives and over all rows: two small matrices."""
+#: In how many pieces a matrix of moments is summed over tasks.
+SLICES = 8
+_SUMS = "positive boolean, slice long, sums binary"
+
+
+def _partial_moments(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Sums of x x^T over the positives and over all rows, in SLICES pieces each: a task hands over its own sums, and pieces of one place are added up
+    before anything reaches the driver. The sums are of zeros and ones, so their order does not matter."""
     held = rows.sparkSession.sparkContext.broadcast(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +107,32 @@ def _moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[bool, np.ndarray]:
             x = design(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]), held.value)
             for part, rows_ in ((True, x[positive]), (False, x)):
                 total[part] = total.get(part, 0) + rows_.T @ rows_
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.bool_()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["positive", "sums"])
+        for part, m in total.items():
+            yield _pieces({(part, k): piece for k, piece in enumerate(np.array_split(m, SLICES))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for part, k, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[part, k] = held.get((part, k), 0) + np.frombuffer(sums)
+        if held:
+            yield _pieces(held)
 
+    parts = rows.select("positive", *MEASURES).mapInArrow(run, _SUMS)
+    return parts.repartition(2 * SLICES, "positive", "slice").mapInArrow(add, _SUMS)
+
+
+def _pieces(sums: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array([part for part, _ in sums], pa.bool_()), pa.array([k for _, k in sums], pa.int64()), pa.array([m.tobytes() for m in sums.values()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["positive", "slice", "sums"])
+
+
+def _moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[bool, np.ndarray]:
+    """The two matrices of moments; 2 * SLICES rows reach the driver, however many tasks there are."""
     size = 1 + sum(map(len, cuts))
     out = {True: np.zeros((size, size)), False: np.zeros((size, size))}
-    for r in rows.select("positive", *MEASURES).mapInArrow(run, "positive boolean, sums binary").collect():
-        out[r["positive"]] += np.frombuffer(r["sums"]).reshape(size, size)
+    for r in _partial_moments(rows, cuts).collect():
+        np.array_split(out[r["positive"]], SLICES)[r["slice"]][:] = np.frombuffer(r["sums"]).reshape(-1, size)
     return out
 
 
