@@ -43,25 +43,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/turnledger/{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch where rows hold whole texts or long arrays.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """No Arrow batch of the session has more rows than this: a worker's memory follows the batch, not the default of 10,000."""
-    spark.conf.set(_BATCH, min(rows, int(spark.conf.get(_BATCH))))
+#: Rows and bytes of an Arrow batch where rows hold whole texts or long arrays. The session's own bound of bytes (64 MiB unless set
+#: otherwise) holds where an operator hands out a lazy frame.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """The same for what runs inside."""
-    old = spark.conf.get(_BATCH)
-    bounded_batches(spark, rows)
+    """No Arrow batch that is made inside has more rows or bytes: a worker's memory follows the batch. The session's settings come back afterwards."""
+    old = {k: spark.conf.get(k) for k in (_ROWS, _BYTES)}
+    spark.conf.set(_ROWS, min(rows, int(old[_ROWS])))
+    spark.conf.set(_BYTES, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
