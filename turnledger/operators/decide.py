@@ -5,8 +5,10 @@ A slot is a subject and a key, trimmed. Tables go in and tables come out; nothin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,35 +136,122 @@ def move_preview(before: Notes, after: Notes, plan: DataFrame) -> tuple[DataFram
     return counts[0].unionByName(counts[1]), plan.select(F.trim("subject").alias("subject")).distinct().join(still.hint("shuffle_merge"), "subject", "left_anti")
 
 
-def rebase(existing: DataFrame, notes: Notes, touched: DataFrame, accepts: DataFrame | None = None) -> DataFrame:
-    """Facts, where the touched subjects (subject) are derived anew from all their notes and the rest stay as they are. As a subject depends on its own
-    claims alone this equals deriving all, in whatever order sessions arrived; it costs what the touched subjects' notes cost."""
+#: What makes a replayed row and one of the table the same row; of several such rows the first pairs with the first.
+SAME_ROW = ("subject", "session_id", "key", "claim", "confidence")
+_ENDS = ("superseded_by", "superseded_at", "retracted_at", "created_at")
+
+
+def _nth(df: DataFrame) -> DataFrame:
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*SAME_ROW).orderBy("seq")))
+
+
+def lay_onto(replayed: DataFrame, existing: DataFrame, at: str) -> DataFrame:
+    """The table (facts, whose seq names a row of its subject for good) with the replay of the same subjects laid onto it. No row ever disappears.
+
+    Rows that pair keep their seq and take their history from the replay; replayed rows without a partner get the next free seq of their subject. A live row that the replay
+    does not have any more is superseded by an equivalent live wording of its own session and key, the first, else withdrawn at `at`. Rows that were accepted (confidence 1) and withdrawn by hand are
+    never touched; a replayed row that is the like, withdrawn too, is taken for that row, so that laying twice changes nothing. Adds was_superseded and was_retracted, how a row stood before, and is_new."""
+    shielded = (F.col("confidence") >= 1) & F.col("retracted_at").isNotNull()
+    table = written(existing.select("subject", *(c for c in existing.columns if c != "subject")).withColumn("shielded", shielded))
+    old = _nth(table.filter("NOT shielded"))
+    safe_ids = _nth(table.filter("shielded")).select(*SAME_ROW, "nth", F.col("seq").alias("safe"))
+    like = _nth(replayed.filter(shielded)).join(safe_ids.hint("shuffle_merge"), [*SAME_ROW, "nth"], "left").drop("nth")
+    like = written(replayed.filter(~shielded).withColumn("safe", F.lit(None).cast("long")).unionByName(like))
+    new = _nth(like.filter("safe IS NULL"))
+    held = old.select(*SAME_ROW, "nth", F.col("seq").alias("id"), F.struct("superseded_at", "retracted_at").alias("was"))
+    last = table.groupBy("subject").agg(F.max("seq").alias("last"))
+    met = new.join(held.hint("shuffle_merge"), [*SAME_ROW, "nth"], "left").join(last.hint("shuffle_merge"), "subject", "left")
+    fresh = F.sum(F.when(F.col("id").isNull(), 1).otherwise(0)).over(Window.partitionBy("subject").orderBy("seq"))
+    met = written(met.withColumns({"is_new": F.col("id").isNull(), "id": F.coalesce("id", F.coalesce("last", F.lit(0)) + fresh)}))
+    # what supersedes a row is named by its place in the replay; the table knows it by its own number
+    ids = met.select("subject", "seq", "id").unionByName(like.filter("safe IS NOT NULL").select("subject", "seq", F.col("safe").alias("id")))
+    ids = ids.select("subject", F.col("seq").alias("superseded_by"), F.col("id").alias("successor"))
+    now = met.join(ids.hint("shuffle_merge"), ["subject", "superseded_by"], "left")
+    base = ["subject", "key", "subject_kind", "claim", "confidence", "session_id"]
+    out = now.select(*base, F.col("id").alias("seq"), F.col("successor").alias("superseded_by"), "superseded_at", "retracted_at", "created_at", F.col("was.superseded_at").alias("was_superseded"), F.col("was.retracted_at").alias("was_retracted"), "is_new")
+    kept = met.select("subject", F.col("id").alias("seq")).filter("NOT is_new")
+    left = written(old.drop("nth").join(kept.hint("shuffle_merge"), ["subject", "seq"], "left_anti"))
+    alive = F.col("superseded_at").isNull() & F.col("retracted_at").isNull()
+    wording = met.filter(alive).select("subject", "session_id", "key", F.struct(F.col("seq").alias("place"), F.col("id").alias("id"), F.col("created_at").alias("at")).alias("heir"), claim_form(F.col("claim")).alias("form"))
+    near = left.filter(alive).select("subject", "session_id", "key", "seq", claim_form(F.col("claim")).alias("old_form")).join(wording.hint("shuffle_merge"), ["subject", "session_id", "key"])
+    heirs = near.filter(equivalent(F.col("form"), F.col("old_form"))).groupBy("subject", "seq").agg(F.min("heir").alias("heir"))
+    rest = left.join(heirs.hint("shuffle_merge"), ["subject", "seq"], "left")
+    was = [F.col("superseded_at").alias("was_superseded"), F.col("retracted_at").alias("was_retracted"), F.lit(False).alias("is_new")]
+    gone = alive & F.col("heir").isNull()
+    rest = rest.select(*base, "seq", F.coalesce("superseded_by", F.when(alive, F.col("heir.id"))).alias("superseded_by"), F.coalesce("superseded_at", F.when(alive, F.col("heir.at"))).alias("superseded_at"),
+        F.coalesce("retracted_at", F.when(gone, F.lit(at))).alias("retracted_at"), "created_at", *was)
+    safe = table.filter("shielded").select(*base, "seq", *_ENDS, *was)
+    return out.unionByName(rest).unionByName(safe)
+
+
+def changes_of(laid: DataFrame) -> DataFrame:
+    """What lay_onto did, one row a change: inserted, superseded, retracted or restored, with the row's subject, seq, session_id, key, claim and confidence."""
+    ended, was_ended = F.col("superseded_at").isNotNull(), F.col("was_superseded").isNotNull()
+    gone, was_gone = F.col("retracted_at").isNotNull(), F.col("was_retracted").isNotNull()
+    kinds = {"inserted": F.col("is_new"), "superseded": ended & ~was_ended, "retracted": gone & ~was_gone, "restored": ~F.col("is_new") & ((was_ended & ~ended) | (was_gone & ~gone))}
+    found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())), lambda c: c.isNotNull())
+    return laid.withColumn("change", F.explode(found)).select("subject", "seq", "session_id", "key", "claim", "confidence", "change")
+
+
+def rebase(existing: DataFrame, notes: Notes, touched: DataFrame, at: str, accepts: DataFrame | None = None) -> DataFrame:
+    """Facts, where the touched subjects (subject) are derived anew from all their notes and laid onto what is there; the rest stay as they are. As a
+    subject depends on its own claims alone, what is live then equals deriving all, in whatever order sessions arrived; it costs what the touched subjects' notes cost."""
     which = touched.select(F.trim("subject").alias("_s")).distinct().hint("shuffle_merge")
     ours = lambda df: df.withColumn("_s", F.trim("subject")).join(which, "_s", "left_semi").drop("_s")
     new = derived(Notes(ours(notes.claims), ours(notes.withdrawals)), None if accepts is None else ours(accepts)).facts
     kept = existing.withColumn("_s", F.trim("subject")).join(which, "_s", "left_anti").drop("_s")
-    return kept.unionByName(new)
+    return kept.unionByName(lay_onto(new, ours(existing), at).select(*existing.columns))
+
+
+_QUEUE = ("session_id", "subject", "key", "subject_kind", "claim", "confidence", "reason", "created_at", "status")
+
+
+def _first_free(raised: list[tuple[str, str]], queue: list[tuple[str, str]]) -> dict[int, int]:
+    """raised and queue: claims and their forms, in order. Which entry each raised claim meets: verbatim first, then equivalent, each time the first free entry."""
+    paired: dict[int, int] = {}
+    for same in (lambda a, b: a[0] == b[0], lambda a, b: reconcile.same_claim(a[1], b[1])):
+        for i, r in enumerate(raised):
+            if i not in paired:
+                free = (j for j, q in enumerate(queue) if j not in paired.values() and same(r, q))
+                if (hit := next(free, None)) is not None:
+                    paired[i] = hit
+    return paired
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slot, entries of the queue before raised ones, each in order. A slot is one session's word on one key, and held as a whole."""
+
+    def close(rows: list[dict]) -> Iterator[dict]:
+        queue, raised = [r for r in rows if not r["raised"]], [r for r in rows if r["raised"]]
+        met = _first_free([(r["claim"], r["form"]) for r in raised], [(q["claim"], q["form"]) for q in queue])
+        still = set(met.values())
+        for j, q in enumerate(queue):
+            was = q["status"]
+            yield q | {"status": "waiting" if j in still and was == "obsolete" else "obsolete" if j not in still and was == "waiting" else was}
+        yield from (r | {"status": "waiting"} for i, r in enumerate(raised) if i not in met)
+
+    held: list[dict] = []
+    schema = pa.schema([(c, pa.float64() if c == "confidence" else pa.string()) for c in _QUEUE])
+    for batch in batches:
+        out: list[dict] = []
+        for r in batch.to_pylist():
+            if held and any(r[c] != held[0][c] for c in _QUEUE[:3]):
+                out += close(held)
+                held = []
+            held.append(r)
+        if out:
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in _QUEUE} for r in out], schema=schema)
+    if held:
+        yield pa.RecordBatch.from_pylist([{c: r[c] for c in _QUEUE} for r in close(held)], schema=schema)
 
 
 def settle_queue(raised: DataFrame, queue: DataFrame) -> DataFrame:
     """raised: what a replay queues now; queue: what is there, with status. Both: session_id, subject, subject_kind, key, claim, confidence, reason, created_at. A verdict
-    stays with its claim however it is worded now; what is raised no more is obsolete, what was obsolete and is raised again waits."""
-    slot = ["session_id", "subject", "key"]
-    form = lambda df: df.withColumn("form", claim_form(F.col("claim")))
-    nth = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*slot, *by).orderBy("created_at", "claim")))
-    new, old = written(nth(form(raised), "claim", "confidence")), written(nth(form(queue), "claim", "confidence"))
-    exact = [*slot, "claim", "confidence", "nth"]
-    kept = old.join(new.select(*exact).hint("shuffle_merge"), exact, "left_semi").withColumn("still", F.lit(True))
-    old_left, new_left = (written(x.join(y.select(*exact).hint("shuffle_merge"), exact, "left_anti").drop("nth")) for x, y in ((old, new), (new, old)))
-    # of those left, equal wordings pair off one to one in order
-    pair = old_left.withColumnsRenamed({"form": "old_form", "claim": "old_claim", "created_at": "old_at"}).join(new_left.select(*slot, "form", F.col("claim").alias("new_claim"), F.col("created_at").alias("new_at")).hint("shuffle_merge"), slot)
-    pair = pair.filter(equivalent(F.col("old_form"), F.col("form")))
-    by_old, by_new = Window.partitionBy(*slot, "old_claim", "old_at").orderBy("new_at", "new_claim"), Window.partitionBy(*slot, "new_claim", "new_at").orderBy("old_at", "old_claim")
-    pair = written(pair.withColumns({"a": F.row_number().over(by_old), "b": F.row_number().over(by_new)}).filter("a = 1 AND b = 1").select(*slot, "old_claim", "new_claim"))
-    reworded = pair.select(*slot, F.col("old_claim").alias("claim"), F.lit(True).alias("still")).distinct()
-    rest = old_left.join(reworded.hint("shuffle_merge"), [*slot, "claim"], "left").withColumn("still", F.coalesce("still", F.lit(False)))
-    cols = [*slot, "subject_kind", "claim", "confidence", "reason", "created_at", "status"]
-    status = F.when(F.col("still") & (F.col("status") == "obsolete"), "waiting").when(~F.col("still") & (F.col("status") == "waiting"), "obsolete").otherwise(F.col("status"))
-    held = kept.select(*cols, "still").unionByName(rest.select(*cols, "still")).withColumn("status", status).select(*cols)
-    fresh = new_left.join(pair.select(*slot, F.col("new_claim").alias("claim")).distinct().hint("shuffle_merge"), [*slot, "claim"], "left_anti").withColumn("status", F.lit("waiting"))
-    return held.unionByName(fresh.select(*cols))
+    stays with its claim however it is worded now: in each slot raised claims and entries pair off one to one, in order of date and claim, verbatim ones first, then equivalent
+    ones. What is raised no more is obsolete, what was obsolete and is raised again waits, and what meets no entry is a new one."""
+    base = [c for c in _QUEUE if c not in ("status", "confidence")]
+    as_rows = lambda df, status, is_raised: df.select(*(F.col(c).cast("string").alias(c) for c in base), F.col("confidence").cast("double").alias("confidence"), status.cast("string").alias("status"), claim_form(F.col("claim")).alias("form"), F.lit(is_raised).alias("raised"))
+    rows = as_rows(queue, F.col("status"), False).unionByName(as_rows(raised, F.lit(None), True))
+    slot = ["subject", "session_id", "key"]
+    schema = ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in _QUEUE)
+    return rows.repartition(*slot).sortWithinPartitions(*slot, "raised", "created_at", "claim").mapInArrow(_settled, schema)

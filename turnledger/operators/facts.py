@@ -102,24 +102,6 @@ def orphans(facts: DataFrame, claims: DataFrame) -> DataFrame:
     return j.withColumn("why", why).filter("why IS NOT NULL").select("subject", "key", "claim", "session_id", "why")
 
 
-def changes(replayed: DataFrame, existing: DataFrame) -> DataFrame:
-    """Replay against the table, row by row (session, subject, key, claim, confidence and rank among equals):
-    inserted, superseded, retracted, restored or removed."""
-    key = ["session_id", "subject", "key", "claim", "confidence"]
-    ranked = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("seq")))
-    new = ranked(replayed).select(*key, "nth", F.lit(True).alias("in_new"), F.col("superseded_at").alias("new_superseded"), F.col("retracted_at").alias("new_retracted"))
-    old = ranked(existing).select(*key, "nth", F.lit(True).alias("in_old"), F.col("superseded_at").alias("old_superseded"), F.col("retracted_at").alias("old_retracted"))
-    j = new.join(old.hint("shuffle_merge"), [*key, "nth"], "full_outer")
-    change = (
-        F.when(F.col("in_old").isNull(), "inserted")
-        .when(F.col("in_new").isNull(), "removed")
-        .when(F.col("new_retracted").isNotNull() & F.col("old_retracted").isNull(), "retracted")
-        .when(F.col("new_superseded").isNotNull() & F.col("old_superseded").isNull(), "superseded")
-        .when(F.coalesce("new_retracted", "new_superseded").isNull() & F.coalesce("old_retracted", "old_superseded").isNotNull(), "restored")
-    )
-    return j.withColumn("change", change).filter("change IS NOT NULL").select(*key, "nth", "change")
-
-
 def recent(sessions: DataFrame, k: int, by: str = "project", at: str = "started_at", tie: str = "session_id") -> DataFrame:
     """The k newest sessions of each project."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at), F.desc(tie)))

@@ -106,12 +106,32 @@ def a18_preview(spark, sf_dir):
     return ops.move_preview(before, after, plan)[0]
 
 
-def d5_rebase(spark, sf_dir):
-    """Memory that knew every second event, brought up to date for users below 100 alone."""
+def _early(spark, sf_dir):
+    """Memory that knew every second event, every third of these in more words, and entries that were accepted and withdrawn by hand; notes of which some were lost since."""
     all_ = notes(spark, sf_dir)
-    early = ops.Notes(all_.claims.filter("cast(session_id as long) % 2 = 0"), all_.withdrawals)
-    touched = all_.claims.select("subject").distinct().filter("cast(replace(subject, 'u', '') as long) < 100")
-    return ops.rebase(ops.derived(early).facts, all_, touched).select("subject", "key", "claim", "session_id", "superseded_at")
+    n = F.col("session_id").cast("long")
+    said = all_.claims.filter(n % 2 == 0).withColumn("claim", F.when(n % 3 == 0, F.concat("claim", F.lit(" or so"))).otherwise(F.col("claim")))
+    held = ops.derived(ops.Notes(said, all_.withdrawals)).facts
+    hand = said.select("subject").distinct().filter("cast(replace(subject, 'u', '') as long) % 20 = 0").select(
+        "subject", F.lit(-1).cast("long").alias("seq"), F.lit("view").alias("key"), F.lit("person").alias("subject_kind"), F.lit("accepted by hand").alias("claim"), F.lit(1.0).alias("confidence"), F.lit("0").alias("session_id"),
+        F.lit("2000").alias("created_at"), F.lit(None).cast("long").alias("superseded_by"), F.lit(None).cast("string").alias("superseded_at"), F.lit("2001").alias("retracted_at"),
+    )
+    return held.unionByName(hand), ops.Notes(all_.claims.filter(n % 10 != 4), all_.withdrawals)
+
+
+def d5_rebase(spark, sf_dir):
+    """That memory, brought up to date for users below 100 alone: rows are kept, refined, withdrawn or left to the hand that withdrew them."""
+    held, now = _early(spark, sf_dir)
+    touched = now.claims.select("subject").distinct().filter("cast(replace(subject, 'u', '') as long) < 100")
+    return ops.rebase(held, now, touched, LATER).select("subject", "key", "claim", "session_id", "superseded_at", "retracted_at")
+
+
+def d5_successors(spark, sf_dir):
+    """What superseded each row of that memory, by the successor's own words."""
+    held, now = _early(spark, sf_dir)
+    out = ops.rebase(held, now, now.claims.select("subject").distinct(), LATER)
+    heirs = out.select("subject", F.col("seq").alias("superseded_by"), F.col("claim").alias("by_claim"), F.col("session_id").alias("by_session"))
+    return out.join(heirs.hint("shuffle_merge"), ["subject", "superseded_by"]).select("subject", "key", "claim", "session_id", "by_claim", "by_session")
 
 
 def d6_reindex(spark, sf_dir):
@@ -129,6 +149,16 @@ def d7_queue(spark, sf_dir):
     return ops.settle_queue(folded(spark, sf_dir).pending, queue).select("session_id", "subject", "key", "status")
 
 
+def d7_rewordings(spark, sf_dir):
+    """Each queued claim was raised and answered in two wordings, one accepted and one rejected or obsolete; it is raised again as it was, in a third wording that fits either, and in words of its own."""
+    now = folded(spark, sf_dir).pending
+    told = lambda words, status: now.withColumns({"claim": F.concat("claim", F.lit(words)), "status": status})
+    n = F.col("session_id").cast("long")
+    queue = told(" as of today", F.lit("accepted")).unionByName(told(" as said", F.when(n % 2 == 0, "rejected").otherwise("obsolete"))).unionByName(now.filter(n % 3 == 0).withColumns({"claim": F.lit("gone"), "status": F.lit("waiting")}))
+    again = now.unionByName(now.withColumn("claim", F.concat("claim", F.lit(" as")))).unionByName(now.filter(n % 5 == 0).withColumn("claim", F.lit("unheard of so far")))
+    return ops.settle_queue(again, queue).select("session_id", "subject", "key", "claim", "status")
+
+
 def a5_unconfirmed(spark, sf_dir):
     """Sessions that are read again: every third says nothing, every fifth something else in the same slot, the others the same."""
     n = F.col("session_id").cast("long")
@@ -152,7 +182,7 @@ def j11_in_slot(spark, sf_dir):
     return ops.in_slot(rows, s).select("session_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (d1_queue, a4_with_accepts, d2_retract, d2_outcomes, d3_restore, d3_ambiguous, j10_check, d4_moved, a18_preview, d5_rebase, d6_reindex, d7_queue, a5_unconfirmed, a6_retractions, j11_in_slot)}
+QUERIES = {f.__name__: f for f in (d1_queue, a4_with_accepts, d2_retract, d2_outcomes, d3_restore, d3_ambiguous, j10_check, d4_moved, a18_preview, d5_rebase, d5_successors, d6_reindex, d7_queue, d7_rewordings, a5_unconfirmed, a6_retractions, j11_in_slot)}
 
 _W = f"WITH RECURSIVE k AS ({CLAIMS_SQL}), {fold_sql('k')}"
 _N = "CAST(session_id AS BIGINT)"
@@ -160,6 +190,12 @@ _U = "CAST(replace(subject, 'u', '') AS BIGINT)"
 _GONE = f"key = 'error' AND {_U} % 20 = 0"
 _PLAN = f"plan AS (SELECT DISTINCT {_U} AS ord, subject, 'error' AS key, 'team' || ({_U} % 10) AS ts, 'errors-of-' || subject AS tk FROM k WHERE {_U} % 7 = 1)"
 _MOVED = f"{_PLAN}, mk AS (SELECT coalesce(ts, k.subject) AS subject, coalesce(tk, k.key) AS key, claim, confidence, date, session_id FROM k LEFT JOIN plan ON plan.subject = k.subject AND plan.key = k.key), {fold_sql('mk', 'm')}"
+#: laid: the replay of what notes say now (facts), and rows of the early memory (ofacts) that it does not have.
+_EARLY = f"""k AS ({CLAIMS_SQL}), e AS (SELECT subject, key, CASE WHEN {_N} % 3 = 0 THEN claim || ' or so' ELSE claim END AS claim, confidence, date, session_id FROM k WHERE {_N} % 2 = 0),
+{fold_sql('e', 'o')}, {fold_sql('k', '', _N + ' % 10 <> 4')}, laid AS (
+  SELECT subject, key, claim, session_id, superseded_at, CAST(NULL AS VARCHAR) AS retracted_at FROM facts
+  UNION ALL SELECT o.subject, o.key, o.claim, o.session_id, coalesce(o.superseded_at, f.created_at), CASE WHEN o.superseded_at IS NULL AND f.claim IS NULL THEN '{LATER}' END
+  FROM ofacts o LEFT JOIN facts p ON p.session_id = o.session_id AND p.claim = o.claim LEFT JOIN facts f ON f.session_id = o.session_id AND f.superseded_at IS NULL AND contains(o.claim, f.claim) WHERE p.claim IS NULL)"""
 
 SQL = {
     "d1_queue": _W + f"SELECT session_id, subject, key, CASE {_N} % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'waiting' END AS status FROM pending",
@@ -180,11 +216,19 @@ UNION ALL SELECT ord, 'target-known' FROM p WHERE (ts, tk) IN (SELECT (subject,
     "d4_moved": f"WITH RECURSIVE k AS ({CLAIMS_SQL}), {_MOVED} SELECT subject, key, claim, session_id FROM mfacts WHERE superseded_at IS NULL",
     "a18_preview": f"""WITH RECURSIVE k AS ({CLAIMS_SQL}), {fold_sql('k')}, {_MOVED}
 SELECT 'before' AS state, count(*) AS facts, count(DISTINCT subject) AS subjects FROM facts WHERE superseded_at IS NULL UNION ALL SELECT 'after', count(*), count(DISTINCT subject) FROM mfacts WHERE superseded_at IS NULL""",
-    "d5_rebase": _W + f", {fold_sql('k', 'o', _N + ' % 2 = 0')} SELECT subject, key, claim, session_id, superseded_at FROM facts WHERE {_U} < 100 UNION ALL SELECT subject, key, claim, session_id, superseded_at FROM ofacts WHERE {_U} >= 100",
+    "d5_rebase": f"WITH RECURSIVE {_EARLY} SELECT subject, key, claim, session_id, superseded_at, retracted_at FROM laid WHERE {_U} < 100 UNION ALL SELECT subject, key, claim, session_id, superseded_at, NULL FROM ofacts WHERE {_U} >= 100 UNION ALL SELECT subject, 'view', 'accepted by hand', '0', NULL, '2001' FROM (SELECT DISTINCT subject FROM e) WHERE {_U} % 20 = 0",
+    "d5_successors": f"""WITH RECURSIVE {_EARLY}, nx AS (SELECT *, lead(claim) OVER w AS by_claim, lead(session_id) OVER w AS by_session FROM facts WINDOW w AS (PARTITION BY subject, key ORDER BY created_at, session_id)),
+ox AS (SELECT *, lead(claim) OVER w AS by_claim, lead(session_id) OVER w AS by_session FROM ofacts WINDOW w AS (PARTITION BY subject, key ORDER BY created_at, session_id))
+SELECT subject, key, claim, session_id, by_claim, by_session FROM nx WHERE superseded_at IS NOT NULL
+UNION ALL SELECT ox.subject, ox.key, ox.claim, ox.session_id, coalesce(ox.by_claim, f.claim), coalesce(ox.by_session, f.session_id) FROM ox LEFT JOIN facts p ON p.session_id = ox.session_id AND p.claim = ox.claim LEFT JOIN facts f ON f.session_id = ox.session_id AND f.superseded_at IS NULL AND contains(ox.claim, f.claim)
+WHERE p.claim IS NULL AND (ox.superseded_at IS NOT NULL OR f.claim IS NOT NULL)""",
     "d6_reindex": _W + "SELECT 'fact' AS kind, subject, key, count(*) AS rows FROM facts GROUP BY 2, 3 UNION ALL SELECT 'pending', subject, key, count(*) FROM pending GROUP BY 2, 3",
     "d7_queue": _W + f", {fold_sql('k', 'o', _N + ' % 2 = 0')}" + f""", old AS (SELECT session_id, subject, key, CASE WHEN {_N} % 3 = 0 THEN 'accepted' WHEN {_N} % 3 = 1 THEN 'rejected' WHEN {_N} % 4 = 0 THEN 'obsolete' ELSE 'waiting' END AS status FROM opending)
 SELECT session_id, subject, key, CASE WHEN o.status IS NULL THEN 'waiting' WHEN n.claim IS NULL AND o.status = 'waiting' THEN 'obsolete' WHEN n.claim IS NOT NULL AND o.status = 'obsolete' THEN 'waiting' ELSE o.status END AS status
 FROM old o FULL JOIN pending n USING (session_id, subject, key)""",
+    # the claim as it was takes the accepted wording (of the earlier date and claim), the third wording the other one
+    "d7_rewordings": _W + f"""SELECT session_id, subject, key, claim || ' as of today' AS claim, 'accepted' AS status FROM pending UNION ALL SELECT session_id, subject, key, claim || ' as said', CASE WHEN {_N} % 2 = 0 THEN 'rejected' ELSE 'waiting' END FROM pending
+UNION ALL SELECT session_id, subject, key, 'gone', 'obsolete' FROM pending WHERE {_N} % 3 = 0 UNION ALL SELECT session_id, subject, key, 'unheard of so far', 'waiting' FROM pending WHERE {_N} % 5 = 0""",
     "a5_unconfirmed": _W + f"SELECT session_id, subject, key, {_N} % 3 = 0 AS withdrawn FROM facts WHERE superseded_at IS NULL AND {_N} % 2 = 0 AND ({_N} % 3 = 0 OR {_N} % 5 = 0)",
     "a6_retractions": _W + f""", cur AS (SELECT * FROM facts WHERE superseded_at IS NULL AND key = 'error' AND confidence < 1)
 SELECT k.session_id, k.subject, 'error' AS key, cur.session_id AS made_by, CAST(k.session_id AS BIGINT) % 4 <> 0 AS withdrawn FROM k JOIN cur ON cur.subject = k.subject AND k.key = 'click' JOIN k m ON m.session_id = cur.session_id WHERE m.date <= k.date""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import decide
 from ..operators import facts as ops
 from ..operators import reconcile as fold
 
@@ -149,18 +150,20 @@ def j3_facts_as_of(spark, sf_dir):
     return fold.facts_as_of(folded(spark, sf_dir).facts, probes).select("probe", "subject", "key", "claim")
 
 
-def j5_pairing(spark, sf_dir):
-    """A replay of all claims against one that knew every second event."""
+def _laid(spark, sf_dir):
+    """A replay of all claims laid onto memory that knew every second event."""
     log = claims(spark, sf_dir)
     new, old = fold.replay(fold.events(log)).facts, fold.replay(fold.events(log.filter("cast(session_id as long) % 2 = 0"))).facts
-    return ops.changes(new, old).groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
+    return decide.changes_of(decide.lay_onto(new, old, "2030-01-01"))
+
+
+def j5_pairing(spark, sf_dir):
+    return _laid(spark, sf_dir).groupBy("change").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def j5_changes(spark, sf_dir):
     """The rows behind j5_pairing."""
-    log = claims(spark, sf_dir)
-    new, old = fold.replay(fold.events(log)).facts, fold.replay(fold.events(log.filter("cast(session_id as long) % 2 = 0"))).facts
-    return ops.changes(new, old).select("session_id", "subject", "key", "change")
+    return _laid(spark, sf_dir).select("session_id", "subject", "key", "change")
 
 
 def withdrawals(spark, sf_dir):
@@ -246,8 +249,9 @@ def j6_orphans(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (a1_reconcile_outcomes, a1_facts, a1_pending, w2_current, w3_history, a7_stats, a8_subjects, a9_waiting, a10_usage, a11_rereads, a14_links, a15_known_keys, a2_withdrawals, a3_replaced, j3_facts_as_of, j5_changes, j5_pairing, j6_orphans, p15_canonical_keys, w4_recent, w9_subject_view, w10_pending)}
 
 _PAIRED = f"""WITH RECURSIVE k AS ({CLAIMS_SQL}), {fold_sql("k")}, {fold_sql("k", "o", "CAST(session_id AS BIGINT) % 2 = 0")},
-ch AS (SELECT session_id, subject, key, CASE WHEN o.claim IS NULL THEN 'inserted' WHEN n.claim IS NULL THEN 'removed' WHEN n.superseded_at IS NOT NULL AND o.superseded_at IS NULL THEN 'superseded'
-  WHEN n.superseded_at IS NULL AND o.superseded_at IS NOT NULL THEN 'restored' END AS change FROM facts n FULL JOIN ofacts o USING (session_id, subject, key, claim, confidence))"""
+b AS (SELECT session_id, subject, key, n.claim IS NOT NULL AS stays, o.claim IS NOT NULL AS known, n.superseded_at AS is_over, o.superseded_at AS was_over FROM facts n FULL JOIN ofacts o USING (session_id, subject, key, claim, confidence)),
+ch AS (SELECT session_id, subject, key, 'inserted' AS change FROM b WHERE NOT known UNION ALL SELECT session_id, subject, key, 'superseded' FROM b WHERE stays AND is_over IS NOT NULL AND was_over IS NULL
+  UNION ALL SELECT session_id, subject, key, 'restored' FROM b WHERE stays AND is_over IS NULL AND was_over IS NOT NULL UNION ALL SELECT session_id, subject, key, 'retracted' FROM b WHERE NOT stays AND was_over IS NULL)"""
 
 #: What makes spellings of the part keys one: every word without its plural ending.
 _PART_FORM = "list_transform(string_split(replace({}, '_', '-'), '-'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END)"
