@@ -1,7 +1,10 @@
 import json
+import time
+
+from pyspark.sql import functions as F
 
 from turnledger.operators import redact
-from turnledger.sources import jsonl
+from turnledger.sources import activity, jsonl
 from turnledger.streaming import ingest
 
 ID = "0a1b2c3d-0000-4000-8000-00000000000"
@@ -53,6 +56,83 @@ def test_dialect_c(spark, tmp_path):
     assert [(r.role, r.text, r.ts) for r in turns] == [("user", "first, edited", "t1"), ("assistant", "answer", "t2")]
 
 
+def records_of(spark, tmp_path, name, *records):
+    write(tmp_path / name, *records)
+    return jsonl.parsed(jsonl.read_lines(spark, str(tmp_path)))
+
+
+def test_contents_to_any_depth(spark, tmp_path):
+    call = {"type": "custom_tool_call", "name": "", "input": "*** Add File: n.py"}
+    deep = [["a", [{"content": [{"content": ["b", {"type": "reasoning", "text": "no"}]}, {"type": "strange", "text": "c"}]}]], {"functionCall": {"name": "look", "args": {"path": " q "}}}, {"functionResponse": {}, "text": "no"}, call, {"type": "local_shell_call"}, "d", None, 7]
+    got = jsonl.parse_claude(records_of(spark, tmp_path, "x.jsonl", {"type": "user", "sessionId": "s", "message": {"content": deep}}, {"type": "assistant", "sessionId": "s", "message": {"content": [{"type": "text", "text": " flat "}]}}))
+    got = {r.role: (r.text, r.tools) for r in got.collect()}
+    assert got == {"user": ("a\nb\nc\nd", ["look", "tool", "shell"]), "assistant": ("flat", [])}
+    assert [r.files for r in jsonl.touched_files(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path)))).collect()] == [["q", "n.py"]]
+
+
+def test_discover_without_roots(spark):
+    assert jsonl.discover(spark, {}).count() == 0 and jsonl.discover(spark, {"claude": []}).columns == ["agent", "path", "size", "mtime"]
+
+
+def test_names_decide_sessions(spark, tmp_path):
+    one = {"id": "1", "timestamp": "t", "type": "user", "content": [" words ", {"text": "more"}]}
+    nudge = {"id": "2", "timestamp": "u", "type": "user", "content": "[System: please go on]"}
+    write(tmp_path / "chats/session-2026-0a1b2c3d.jsonl", {"sessionId": "0A1B2C3D-full"}, one, nudge)
+    write(tmp_path / "chats/session-2026-ffffffff.jsonl", {"sessionId": "0A1B2C3D-full"}, one)
+    got = {(r.session_id, r.text) for r in jsonl.parse_gemini(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path)))).collect()}
+    assert got == {("0A1B2C3D-full", "words \nmore"), ("session-2026-ffffffff", "words \nmore")}
+
+
+def test_activity(spark, tmp_path):
+    t = lambda s: f"2026-01-01T00:00:{s:02}Z"
+    said = lambda role, content, s=None, **more: {"type": role, "message": {"content": content, **more}} | ({"timestamp": t(s)} if s is not None else {})
+    a = {
+        "asks": [said("user", "q", 1), said("assistant", [{"type": "tool_use"}], 2), {"type": "summary", "timestamp": t(3)}],
+        "stop": [said("assistant", "x", 1, stop_reason="tool_use")],
+        "ended": [said("user", "q", 1), said("assistant", "done", 2)],
+        "prompt": [said("assistant", "done", 1), said("user", [{"type": "tool_result"}], 2), {"type": "user", "isSidechain": True, "message": {"content": "side"}, "timestamp": t(9)}],
+        "broken-off": [said("user", " [Request interrupted by user for tool use]", 4)],
+        "command": [said("user", "<local-command-stdout>ok", 4)],
+        "late": [said("user", "q", 1), said("assistant", "unstamped")],
+        "none": [{"type": "summary", "timestamp": t(5)}],
+    }
+    for name, rows in a.items():
+        write(tmp_path / "a" / f"{name}.jsonl", *rows)
+    name_of = lambda r: r.path.rsplit("/", 1)[1][:-6]
+    got = {name_of(r): (r.at.second, r.busy) for r in activity.activity(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path / "a"))), "claude").collect()}
+    assert got == {"asks": (3, True), "stop": (1, True), "ended": (2, False), "prompt": (9, True), "broken-off": (4, False), "command": (4, False), "none": (5, False)}
+    event = lambda kind, s: {"type": "event_msg", "timestamp": t(s), "payload": {"type": kind}}
+    write(tmp_path / "b/x.jsonl", event("task_started", 1), event("task_complete", 2), event("task_started", 3), event("thread_settings_applied", 4))
+    write(tmp_path / "b/y.jsonl", event("task_started", 1), event("turn_aborted", 2), {"type": "response_item", "timestamp": t(7)})
+    got = {name_of(r): (r.at.second, r.busy) for r in activity.activity(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path / "b"))), "codex").collect()}
+    assert got == {"x": (4, True), "y": (7, False)}
+    m = lambda kind, content, s, **more: {"type": kind, "timestamp": t(s), "content": content, **more}
+    c = {
+        "user": [m("gemini", "hi", 1), m("user", "q", 2)], "calls": [m("gemini", "let me", 1, toolCalls=[{}])], "words": [m("user", "q", 1), m("gemini", [["said"]], 2, toolCalls=[]), m("info", "x", 3)],
+        "silent": [m("gemini", "", 1)], "error": [m("user", "q", 1), m("error", "e", 2)], "set": [m("user", "q", 1), {"$set": {"lastUpdated": t(8), "messages": [m("user", "q", 1), m("gemini", "a", 2)]}}],
+    }
+    for name, rows in c.items():
+        write(tmp_path / "c" / f"{name}.jsonl", *rows)
+    got = {name_of(r): (r.at.second, r.busy) for r in activity.activity(jsonl.parsed(jsonl.read_lines(spark, str(tmp_path / "c"))), "gemini").collect()}
+    assert got == {"user": (2, True), "calls": (1, True), "words": (3, False), "silent": (1, True), "error": (2, False), "set": (8, False)}
+
+
+def test_sessions_close_by_the_clock(spark, tmp_path):
+    """No record comes after the first ones: silence alone closes what no running turn holds open."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("quiet", 1, False), ("quiet", 2, None), ("busy", 1, True), ("answered", 1, True), ("answered", 2, False)]
+    marks = spark.createDataFrame(rows, "path string, n long, busy boolean").select("path", F.struct(F.lit(0).cast("long").alias("block"), F.col("n").alias("line")).alias("line_ord"), F.current_timestamp().alias("at"), "busy")
+    marks.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(marks.schema).parquet(str(tmp_path / "in"))
+    query = ingest.close_sessions_by_clock(stream, 1_000, 3_600_000).writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    until = time.time() + 90
+    while len(seen) < 2 and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
+    assert {(r.session_id, r.records) for r in seen} == {("quiet", 2), ("answered", 2)}
+
+
 def test_stream_reads_what_batch_reads(spark, tmp_path):
     write(tmp_path / "in" / f"{ID}5.jsonl", {"type": "user", "message": {"content": "hi you"}}, "broken")
     seen = []

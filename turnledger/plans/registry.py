@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, briefs, decisions, gates, memory, notes, sessions, subjects, texts
+from . import audits, briefs, decisions, gates, memory, notes, sessions, subjects, texts, transcripts
 
-_PARTS = (memory, sessions, texts, briefs, subjects, audits, decisions, gates, notes)
+_PARTS = (memory, sessions, texts, briefs, subjects, audits, decisions, gates, notes, transcripts)
 
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 SQL: dict = {name: text for part in _PARTS for name, text in part.SQL.items()}

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .contents import CALLS, SHELL, field, string_at, with_contents
+
 # Where each dialect keeps its sessions, and what opens a turn that is not the user's own.
 PATHS = {
     "claude": r"(^|/)(?!agent-)[^/]+\.jsonl$",
     "codex": r"(^|/)rollout-[^/]*\.jsonl$",
     "gemini": r"/chats/session-[^/]*\.jsonl$",
 }
-PREAMBLES = ("<user_instructions", "<environment_context", "<turn_aborted")
+PREAMBLES = {"codex": r"^<(user_instructions|environment_context|turn_aborted)", "gemini": r"^(<(session_context|environment_context)|\[System:)"}
+PLAN_BANNER = r"^PLEASE IMPLEMENT THIS PLAN:\s*"
 UUID = r"([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})"
 
 
 def discover(spark: SparkSession, roots: dict[str, list[str]]) -> DataFrame:
-    """agent, path, size, mtime of the session files under each agent's roots, each once."""
-    out = None
+    """agent, path, size, mtime of the session files under each agent's roots, each once. Without roots there are none."""
+    out = spark.createDataFrame([], "agent string, path string, size long, mtime timestamp")
     for agent, folders in roots.items():
         for folder in folders:
             found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(folder)
             one = found.select(F.lit(agent).alias("agent"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")).filter(F.col("path").rlike(PATHS[agent]))
-            out = one if out is None else out.unionByName(one)
+            out = out.unionByName(one)
     return out.distinct()
 
 
@@ -53,47 +56,13 @@ def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", path, kind)
 
 
-def flattened(content: Column) -> Column:
-    """Text of a content value: a string as it is, the text blocks of an array joined by line ends; tool results
-    and reasoning are dropped."""
-    blocks = F.try_variant_get(content, "$", "array<variant>")
-    texts = F.transform(blocks, lambda b: F.when(F.coalesce(F.try_variant_get(b, "$.type", "string"), F.lit("text")).isin("text", "input_text", "output_text"), F.try_variant_get(b, "$.text", "string")))
-    joined = F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")
-    return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.coalesce(joined, F.lit("")))
-
-
-def tool_names(content: Column) -> Column:
-    blocks = F.try_variant_get(content, "$", "array<variant>")
-    names = F.transform(blocks, lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "tool_use", F.try_variant_get(b, "$.name", "string")))
-    return F.coalesce(F.filter(names, lambda n: n.isNotNull()), F.array().cast("array<string>"))
-
-
-# The argument names that say which file, and how a patch names one.
-FILE_KEYS = ("file_path", "path", "absolute_path", "notebook_path", "filePath")
-PATCHED = r"(?m)^\*\*\* (?:Update|Add|Delete) File: (.+)$"
-MOST_FILES = 200
-
-
-def _named_files(call: Column) -> Column:
-    """The paths that one tool call's arguments name: an object, or a string that is a patch or holds JSON."""
-    text = F.try_variant_get(call, "$", "string")
-    is_text = F.schema_of_variant(call) == "STRING"
-    obj = F.when(is_text, F.try_parse_json(text)).otherwise(call)
-    fields = F.array(*(F.when(F.schema_of_variant(F.try_variant_get(obj, f"$.{k}", "variant")) == "STRING", F.trim(F.try_variant_get(obj, f"$.{k}", "string"))) for k in FILE_KEYS))
-    patched = lambda t: F.coalesce(F.transform(F.regexp_extract_all(t, F.lit(PATCHED), F.lit(1)), F.trim), F.array().cast("array<string>"))
-    return F.concat(F.when(is_text, patched(text)).otherwise(F.array().cast("array<string>")), F.filter(fields, lambda f: f != ""), *(patched(F.try_variant_get(obj, f"$.{k}", "string")) for k in ("input", "patch")))
-
-
 def touched_files(records: DataFrame) -> DataFrame:
-    """path, line_ord, files: what each record's tool calls name, distinct in first-seen order, MOST_FILES of one content at most."""
-    blocks = F.coalesce(F.try_variant_get("v", "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
-    calls = F.transform(F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_use"), lambda b: F.try_variant_get(b, "$.input", "variant"))
+    """path, line_ord, files: what each record's tool calls name, at whatever depth, distinct in first-seen order, MOST_FILES of one content at most."""
     payload = F.coalesce(F.try_variant_get("v", "$.payload", "variant"), F.col("v"))
-    own = [F.try_variant_get(payload, f"$.{k}", "variant") for k in ("arguments", "input")]
-    is_call = F.coalesce(F.try_variant_get(payload, "$.type", "string").isin("function_call", "custom_tool_call"), F.lit(False))
-    args = F.filter(F.concat(calls, F.when(is_call, F.array(*own)).otherwise(F.array().cast("array<variant>"))), lambda c: c.isNotNull())
-    files = F.slice(F.array_distinct(F.flatten(F.transform(args, _named_files))), 1, MOST_FILES)
-    return records.select("path", "line_ord", files.alias("files")).filter(F.size("files") > 0)
+    is_call = F.coalesce(string_at(payload, "type").isin(*CALLS), F.lit(False))
+    inside = F.coalesce(F.try_variant_get("v", "$.message.content", "variant"), F.try_variant_get("v", "$['$set'].messages", "variant"), field(payload, "content"))
+    rows = records.select("path", "line_ord", F.when(is_call, payload).otherwise(inside).alias("content"))
+    return with_contents(rows).select("path", "line_ord", "files").filter(F.size("files") > 0)
 
 
 TURN = ("session_id", "path", "line_ord", "role", "text", "ts", "tools", "cwd")
@@ -102,52 +71,64 @@ TURN = ("session_id", "path", "line_ord", "role", "text", "ts", "tools", "cwd")
 def parse_claude(records: DataFrame) -> DataFrame:
     """Turns of dialect A. A side chain is passed over, and so are records that name another session than the
     file's own (copied when a session is resumed)."""
-    own = F.nullif(F.regexp_extract("path", UUID, 1), F.lit(""))
+    own = F.nullif(F.regexp_extract("path", f"{UUID}[^/]*$", 1), F.lit(""))
     rows = records.select(
         "path", "line_ord", F.coalesce(own, _get("$.sessionId")).alias("session_id"), _get("$.sessionId").alias("named"), _get("$.type").alias("role"),
         _get("$.timestamp").alias("ts"), _get("$.cwd").alias("cwd"), F.coalesce(_get("$.isSidechain", "boolean"), F.lit(False)).alias("side"), F.try_variant_get("v", "$.message.content", "variant").alias("content"),
     )
     rows = rows.filter("role IN ('user', 'assistant') AND NOT side AND (named IS NULL OR named = session_id)")
-    rows = rows.withColumns({"text": F.trim(flattened(F.col("content"))), "tools": tool_names(F.col("content"))})
+    rows = with_contents(rows)
     return rows.filter(~((F.col("role") == "user") & F.col("text").startswith("tool_result"))).filter("text <> '' OR size(tools) > 0").select(*TURN)
 
 
 def parse_codex(records: DataFrame) -> DataFrame:
-    """Turns of dialect B. The payload may be nested or stand at the top; settings and events are passed over."""
+    """Turns of dialect B. The payload may be nested or stand at the top; settings and events are passed over, and so is what the program says in the user's
+    voice. The uuid that ends the file's name is the session, else what the first header says, else the name."""
     at = F.coalesce(F.try_variant_get("v", "$.payload", "variant"), F.col("v"))
     rows = records.filter(~F.coalesce(_get("$.type"), F.lit("")).isin("compacted", "turn_context", "event_msg")).withColumn("p", at)
-    field = lambda name: F.try_variant_get("p", f"$.{name}", "string")
+    of = lambda name: string_at(F.col("p"), name)
     meta = _get("$.type") == "session_meta"
     # a file has few meta records: they are gathered and meet its other records, whose payloads are never sorted
-    about = rows.filter(meta).groupBy("path").agg(F.min_by(field("id"), F.when(field("id").isNotNull(), F.col("line_ord"))).alias("meta_id"), F.min_by(field("cwd"), F.when(field("cwd").isNotNull(), F.col("line_ord"))).alias("cwd"))
+    about = rows.filter(meta).groupBy("path").agg(F.min_by(of("id"), F.when(of("id").isNotNull(), F.col("line_ord"))).alias("meta_id"), F.min_by(of("cwd"), F.when(of("cwd").isNotNull(), F.col("line_ord"))).alias("cwd"))
     rows = rows.filter(~F.coalesce(meta, F.lit(False))).join(about.hint("shuffle_hash"), "path", "left")
-    session = F.coalesce(F.nullif(F.regexp_extract("path", UUID, 1), F.lit("")), F.col("meta_id"))
-    call = field("type") == "function_call"
-    rows = rows.select(
-        "path", "line_ord", session.alias("session_id"), F.when(call, "assistant").otherwise(field("role")).alias("role"), _get("$.timestamp").alias("ts"), "cwd",
-        F.trim(F.when(call, "").otherwise(flattened(F.try_variant_get("p", "$.content", "variant")))).alias("text"), F.when(call, F.array(field("name"))).otherwise(F.array().cast("array<string>")).alias("tools"),
-    )
-    opens = F.lit(False)
-    for mark in PREAMBLES:
-        opens = opens | F.col("text").startswith(mark)
-    return rows.filter("role IN ('user', 'assistant') AND (text <> '' OR size(tools) > 0)").filter(~((F.col("role") == "user") & opens)).select(*TURN)
+    named, stem = F.regexp_extract("path", f"-{UUID}\\.jsonl$", 1), F.regexp_extract("path", r"([^/]*)\.jsonl$", 1)
+    session = F.coalesce(F.nullif(named, F.lit("")), F.col("meta_id"), F.regexp_replace(stem, "^rollout-", ""))
+    call = F.coalesce(of("type").isin(*CALLS, SHELL), F.lit(False))
+    rows = rows.filter(call | (of("type") == "message"))
+    rows = rows.select("path", "line_ord", session.alias("session_id"), F.when(call, "assistant").otherwise(of("role")).alias("role"), _get("$.timestamp").alias("ts"), "cwd", F.when(call, F.col("p")).otherwise(field(F.col("p"), "content")).alias("content"))
+    rows = with_contents(rows.filter("role IN ('user', 'assistant')"))
+    users = F.col("role") == "user"
+    rows = rows.filter(~(users & F.col("text").rlike(PREAMBLES["codex"])))
+    rows = rows.withColumn("text", F.when(users, F.regexp_replace("text", PLAN_BANNER, "")).otherwise(F.col("text")))
+    return rows.filter("text <> '' OR size(tools) > 0").select(*TURN)
 
 
 def parse_gemini(records: DataFrame) -> DataFrame:
     """Turns of dialect C, a log of changes: bare messages and every snapshot's messages together. Of messages
-    with one id and time the last written value stands at the first place; a repeated (role, text) stays once."""
+    with one id and time the last written value stands at the first place; what the program says in the user's voice goes; after that a
+    repeated (role, text) stays once. The session is the first header's id if the name's last eight digits begin it or the name has none, else the name."""
     snapshots = records.select("path", "line_ord", F.posexplode(F.try_variant_get("v", "$['$set'].messages", "array<variant>")).alias("pos", "m"))
-    bare = records.filter(_get("$.type").isNotNull()).select("path", "line_ord", F.lit(0).alias("pos"), F.col("v").alias("m"))
-    get = lambda name: F.try_variant_get("m", f"$.{name}", "string")
-    rows = bare.unionByName(snapshots).select("path", "line_ord", "pos", get("id").alias("id"), get("timestamp").alias("ts"), get("type").alias("type"), F.trim(flattened(F.try_variant_get("m", "$.content", "variant"))).alias("text"))
+    bare = records.filter(_get("$.type").isNotNull() & F.try_variant_get("v", "$['$set']", "variant").isNull()).select("path", "line_ord", F.lit(0).alias("pos"), F.col("v").alias("m"))
+    of = lambda name: string_at(F.col("m"), name)
+    rows = bare.unionByName(snapshots).select("path", "line_ord", "pos", of("id").alias("id"), F.coalesce(of("timestamp"), F.lit("")).alias("ts"), of("type").alias("type"), field(F.col("m"), "content").alias("content"))
+    rows = rows.filter("type IS NOT NULL AND content IS NOT NULL")
+    rows = with_contents(rows)
     order = F.struct("line_ord", "pos")
-    named = rows.filter("id IS NOT NULL").groupBy("path", "id", "ts").agg(F.min(order).alias("at"), F.max_by(F.struct("type", "text"), order).alias("x")).select("path", "ts", "at", "x.type", "x.text")
-    rows = named.unionByName(rows.filter("id IS NULL").select("path", "ts", order.alias("at"), "type", "text"))
-    rows = rows.filter("type IN ('user', 'gemini') AND text <> ''").withColumn("role", F.when(F.col("type") == "user", "user").otherwise("assistant"))
-    first = rows.groupBy("path", "role", "text").agg(F.min(F.struct("ts", "at")).alias("f"))
-    return first.select(
-        F.regexp_extract("path", r"session-(.*)\.jsonl$", 1).alias("session_id"), "path", F.col("f.at.line_ord").alias("line_ord"), "role", "text", F.col("f.ts").alias("ts"),
-        F.array().cast("array<string>").alias("tools"), F.lit(None).cast("string").alias("cwd"),
+    named = rows.filter("id IS NOT NULL").groupBy("path", "id", "ts").agg(F.min(order).alias("at"), F.max_by(F.struct("type", "text", "tools"), order).alias("x")).select("path", "ts", "at", "x.type", "x.text", "x.tools")
+    rows = named.unionByName(rows.filter("id IS NULL").select("path", "ts", order.alias("at"), "type", "text", "tools"))
+    rows = rows.filter("type IN ('user', 'gemini') AND (text <> '' OR size(tools) > 0)").withColumn("role", F.when(F.col("type") == "user", "user").otherwise("assistant"))
+    rows = rows.filter(~((F.col("role") == "user") & F.col("text").rlike(PREAMBLES["gemini"])))
+    said = rows.filter("text <> ''").groupBy("path", "role", "text").agg(F.min(F.struct("ts", "at", "tools")).alias("f"), F.flatten(F.collect_set("tools")).alias("tools"))
+    said = said.select("path", "role", "text", "f.ts", "f.at", F.array_sort(F.array_distinct("tools")).alias("tools"))
+    silent = rows.filter("text = ''").select("path", "role", "text", "ts", "at", "tools")
+    header = _get("$.sessionId")
+    about = records.select("path", "line_ord", header.alias("id")).filter("id IS NOT NULL").groupBy("path").agg(F.min_by("id", "line_ord").alias("header"))
+    rows = said.unionByName(silent).join(about.hint("shuffle_hash"), "path", "left")
+    stem = F.regexp_extract("path", r"([^/]*)\.jsonl$", 1)
+    short = F.lower(F.regexp_extract(stem, "-([0-9a-fA-F]{8})$", 1))
+    fits = F.col("header").isNotNull() & F.lower("header").startswith(short)
+    return rows.select(
+        F.when(fits, F.col("header")).otherwise(stem).alias("session_id"), "path", F.col("at.line_ord").alias("line_ord"), "role", "text", F.nullif("ts", F.lit("")).alias("ts"), "tools", F.lit(None).cast("string").alias("cwd"),
     )
 
 

@@ -82,3 +82,49 @@ def close_sessions_stream(records: DataFrame, quiet_ms: int = 120_000, busy_ms:
     the RocksDB state store provider."""
     keyed = records.select("session_id", "ts", F.unix_millis("ts").alias("ms"), "busy")
     return keyed.groupBy("session_id").transformWithStateInPandas(Closer(quiet_ms, busy_ms), "session_id string, at_ms long, busy boolean, records long", "Append", "EventTime")
+
+
+class ClockCloser(StatefulProcessor):
+    """Per session when it last spoke, whether its last deciding record leaves a turn running, and the timer that this sets. Timers run on the clock, so a stream that gets
+    no further record closes its sessions all the same."""
+
+    def __init__(self, quiet_ms: int, busy_ms: int):
+        self.quiet_ms, self.busy_ms = quiet_ms, busy_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long, busy boolean, place string, records long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.last.get() if self.last.exists() else None
+        at, busy, place, records, timer = tuple(held) if held else (-1, False, "", 0, -1)
+        for part in rows:
+            for ms, b, p in zip(part["ms"], part["busy"], part["place"], strict=True):
+                records += 1
+                if not pd.isna(ms):
+                    at = max(at, int(ms))
+                if b is not None and not pd.isna(b) and p >= place:
+                    busy, place = bool(b), p
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        due = max(now + 1, at + (self.busy_ms if busy else self.quiet_ms))
+        self.handle.registerTimer(due)
+        self.last.update((at, busy, place, records, due))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at, busy, _, records, _ = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"session_id": [str(key[0])], "at_ms": [at], "busy": [busy], "records": [records]})
+
+    def close(self) -> None:
+        pass
+
+
+def close_sessions_by_clock(marks: DataFrame, quiet_ms: int = 120_000, busy_ms: int = 21_600_000) -> DataFrame:
+    """marks: path, line_ord, at, busy, a stream of sources.activity.marks. A row for each session that has been silent for as long as its last deciding record allows. Needs
+    the RocksDB state store provider."""
+    place = F.concat_ws(":", F.lpad(F.col("line_ord.block").cast("string"), 20, "0"), F.lpad(F.col("line_ord.line").cast("string"), 20, "0"))
+    keyed = marks.select(F.col("path").alias("session_id"), F.unix_millis("at").alias("ms"), "busy", place.alias("place"))
+    return keyed.groupBy("session_id").transformWithStateInPandas(ClockCloser(quiet_ms, busy_ms), "session_id string, at_ms long, busy boolean, records long", "Append", "ProcessingTime")
