@@ -85,11 +85,37 @@ def j1_route(spark, sf_dir):
     return _routed(spark, sf_dir)
 
 
+_SESSION_WALLS = (("C:/Work/EN", "english", False, True), ("c:\\work\\en\\4\\", "fours", True, True), ("/srv/de/", "german", False, False), ("/srv/de/9", "nines", True, False))
+_ROOTS = ("C:\\Work\\Fr", "/srv/ES/", "/srv/es/2", "c:/work/en")
+
+
+def _folders(spark, sf_dir):
+    """Pages as sessions: a quarter without a folder, the others in three spellings, some a folder deeper."""
+    n = F.col("page_id")
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
+    cwd = F.when(n % 4 == 0, F.concat(F.lit("C:\\Work\\"), F.replace(path, F.lit("/"), F.lit("\\")))).when(n % 4 == 1, F.concat(F.lit("/srv/"), path, F.lit("/Src/"))).when(n % 4 == 2, F.concat(F.lit("c:/work/"), F.upper(path)))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", cwd.alias("cwd"))
+
+
+def _walls(spark, rows):
+    return spark.createDataFrame(list(rows), "path string, project string, local_only boolean, same_provider boolean")
+
+
+def j1_sessions(spark, sf_dir):
+    """Sessions by wall, repository or folder, and where they may go."""
+    return routing.route_sessions(_folders(spark, sf_dir), _walls(spark, _SESSION_WALLS), spark.createDataFrame([(r,) for r in _ROOTS], "path string"))
+
+
+def j1_no_walls(spark, sf_dir):
+    """The same without any wall."""
+    return routing.route_sessions(_folders(spark, sf_dir), _walls(spark, ()), spark.createDataFrame([(r,) for r in _ROOTS], "path string"))
+
+
 def a12_egress(spark, sf_dir):
     return routing.egress(_routed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (s8_sessions, p3_tool_markers, p5_stats, p6_clip, p7_distil, p8_digest, p9_local_notes, f2_same_text, f3_tiny, t2_activity, t3_open, t3_islands, j1_route, a12_egress)}
+QUERIES = {f.__name__: f for f in (s8_sessions, p3_tool_markers, p5_stats, p6_clip, p7_distil, p8_digest, p9_local_notes, f2_same_text, f3_tiny, t2_activity, t3_open, t3_islands, j1_route, j1_sessions, j1_no_walls, a12_egress)}
 
 _T = "t AS (SELECT conv_id AS session_id, turn AS seq, role, text FROM conversations)"
 
@@ -123,7 +149,25 @@ w(base, project, destination) AS (VALUES """ + ", ".join(f"('{a}', '{b}', '{c}')
 best AS (SELECT page_id, arg_max(project, length(base)) AS project, arg_max(destination, length(base)) AS destination FROM p JOIN w ON path = base OR starts_with(path, base || '/') GROUP BY 1),
 routed AS (SELECT page_id, path, agent, coalesce(project, 'unsorted') AS project, coalesce(destination, 'local') AS destination FROM p LEFT JOIN best USING (page_id))"""
 
+
+def _sessions_sql(walls) -> str:
+    """Longest match over walls, then over roots, by comparing every path with every wall."""
+    one = lambda c: f"lower(regexp_replace(replace({c}, '\\', '/'), '/+$', ''))"
+    listed = ", ".join(f"('{p}', '{n}', {a}, {b})" for p, n, a, b in walls) or "(NULL, NULL, NULL, NULL)"
+    under = lambda base: f"(c = {one(base)} OR starts_with(c, {one(base)} || '/'))"
+    last = lambda c: f"regexp_extract(regexp_replace({c}, '[\\\\/]+$', ''), '([^\\\\/]*)$', 1)"
+    return f"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'C:\\Work\\' || replace(path, '/', '\\') WHEN 1 THEN '/srv/' || path || '/Src/' WHEN 2 THEN 'c:/work/' || upper(path) END AS cwd FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages)),
+k AS (SELECT *, {one("cwd")} AS c FROM p), w(path, project, local_only, same_provider) AS (SELECT * FROM (VALUES {listed}) v(path, project, local_only, same_provider) WHERE path IS NOT NULL), r(path) AS (VALUES {", ".join(f"('{x}')" for x in _ROOTS)}),
+bw AS (SELECT page_id, arg_max(struct_pack(project := project, local_only := local_only, same_provider := same_provider), length({one("path")})) AS w FROM k JOIN w ON {under("path")} GROUP BY 1),
+br AS (SELECT page_id, arg_max({last("path")}, length({one("path")})) AS r FROM k JOIN r ON {under("path")} GROUP BY 1),
+j AS (SELECT page_id, cwd, CASE WHEN cwd IS NULL THEN 'unsorted' WHEN w IS NOT NULL THEN w.project ELSE coalesce(r, {last("cwd")}) END AS project, CASE WHEN cwd IS NULL THEN 'none' WHEN w IS NOT NULL THEN 'wall' WHEN r IS NOT NULL THEN 'root' ELSE 'folder' END AS via,
+  cwd IS NOT NULL AND CASE WHEN w IS NOT NULL THEN NOT w.local_only ELSE {"false" if walls else "true"} END AS network, CASE WHEN cwd IS NOT NULL AND w IS NOT NULL THEN w.same_provider ELSE true END AS same_provider FROM k LEFT JOIN bw USING (page_id) LEFT JOIN br USING (page_id))
+SELECT *, CASE WHEN NOT network THEN 'local' WHEN same_provider THEN 'same-provider' ELSE 'model' END AS destination FROM j"""
+
+
 SQL = {
+    "j1_sessions": _sessions_sql(_SESSION_WALLS),
+    "j1_no_walls": _sessions_sql(()),
     "s8_sessions": f"WITH {_T} SELECT session_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, min(seq) AS first_seq, max(seq) AS last_seq FROM t GROUP BY 1",
     "p3_tool_markers": f"""WITH {_T}, a AS (SELECT *, role = 'assistant' AND trim(text) <> '' AS answer FROM t),
 g AS (SELECT *, coalesce(sum(CAST(answer AS INT)) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM a),

@@ -28,6 +28,17 @@ def x4_search(spark, sf_dir):
     return ops.search_many(ops.build_index(_docs(spark, sf_dir)), queries, 10).select("query_id", "doc_id", "rank")
 
 
+FIELDS = {"title": 3.0, "prose": 1.0, "norm": 2.0}
+
+
+def x3_fields(spark, sf_dir):
+    """The first words of each benchmark item, where a word in a document's first line counts three times, and one in its origin twice."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("prose"), F.concat_ws(" ", "lang", "source").alias("norm"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    queries = items.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    return ops.search_many(ops.build_field_index(docs, FIELDS), queries, 10).select("query_id", "doc_id", "rank")
+
+
 def p10_findings(spark, sf_dir):
     return red.findings(red.redact(_docs(spark, sf_dir)), "source")
 
@@ -58,7 +69,7 @@ def p12_scrub(spark, sf_dir):
     return out.select("doc_id", F.sha2(F.col("note.summary").cast("binary"), 256).alias("summary"), F.sha2(F.array_join("note.did", "\n").cast("binary"), 256).alias("did"))
 
 
-QUERIES = {f.__name__: f for f in (x1_terms, x2_postings, x4_search, p10_findings, p10_redacted, p10_text, p11_quarantine, p12_scrub)}
+QUERIES = {f.__name__: f for f in (x1_terms, x2_postings, x3_fields, x4_search, p10_findings, p10_redacted, p10_text, p11_quarantine, p12_scrub)}
 QUERIES |= {"p10_findings_all": p10_findings, "p10_text_all": p10_text}
 
 _FOLD = "lower(translate(regexp_replace(coalesce(text, ''), '[ؐ-ًؚ-ٰٟۖ-ۭـ]', '', 'g'), '{}', '{}'))"
@@ -118,6 +129,15 @@ def _scrubbed(text: str) -> str:
 SQL = {
     "x1_terms": f"WITH {_terms_sql()}, p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY 1",
     "x2_postings": f"WITH {_terms_sql()} SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2",
+    "x3_fields": f"""WITH fd AS (SELECT doc_id, string_split(text, chr(10))[1] AS text, 3.0 AS weight FROM documents UNION ALL SELECT doc_id, text, 1.0 FROM documents UNION ALL SELECT doc_id, concat_ws(' ', lang, source), 2.0 FROM documents),
+t AS (SELECT doc_id, weight, lower(unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))) AS term FROM fd),
+p AS (SELECT doc_id, term, sum(CAST(weight AS DOUBLE)) AS tf FROM t GROUP BY 1, 2), lens AS (SELECT d.doc_id, count(term) AS len FROM documents d LEFT JOIN t USING (doc_id) GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(list_filter(regexp_split_to_array(array_to_string(string_split(text, ' ')[1:6], ' '), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))) AS word FROM benchmark),
+h AS (SELECT word, doc_id, sum(tf) AS tf FROM (SELECT DISTINCT word FROM q) JOIN p ON starts_with(term, word) GROUP BY 1, 2),
+df AS (SELECT word, count(*) AS df FROM h GROUP BY 1), tot AS (SELECT count(*) AS docs, avg(len) AS mean FROM lens),
+s AS (SELECT word, doc_id, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS part FROM h JOIN df USING (word) JOIN lens USING (doc_id), tot),
+r AS (SELECT query_id, doc_id, round(sum(part), 3) AS score FROM q JOIN s USING (word) GROUP BY 1, 2)
+SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
     "x4_search": f"""WITH {_terms_sql()}, p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
 lens AS (SELECT d.doc_id, count(term) AS len FROM documents d LEFT JOIN t USING (doc_id) GROUP BY 1),
 q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''))) AS word FROM benchmark),
