@@ -4,10 +4,9 @@ import json
 import random
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import audit, decide, facts, redact
+from turnledger.operators import audit, decide, facts, redact, search
 from turnledger.operators import reconcile as fold
 from turnledger.sources import jsonl, notes
 from turnledger.streaming import ingest
@@ -111,8 +110,26 @@ def test_named_questions(spark):
     subjects = spark.createDataFrame([("Acme",), ("Acme Server",), ("Other",)], "subject string")
     asked = spark.createDataFrame([("acme",), ("Other",), ("the other one",)], "name string")
     assert {tuple(r) for r in facts.near_names(subjects, asked).collect()} == {("acme", "Acme"), ("acme", "Acme Server"), ("the other one", "Other")}
-    with pytest.raises(ValueError):
-        facts.near_names(subjects, spark.range(10_001).select(F.col("id").cast("string").alias("name"))).count()
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abC") for _ in range(rng.randrange(7))) for _ in range(120)]
+    some, others = words[:60], words[60:]
+    want = {(n, s) for n in set(others) - set(some) for s in set(some) if n and s and (n.lower() in s.lower() or s.lower() in n.lower())}
+    got = facts.near_names(spark.createDataFrame([(w,) for w in some], "subject string"), spark.createDataFrame([(w,) for w in others], "name string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_letters_and_accents_are_one(spark):
+    """e with an accent of its own and the one letter for both are the same to search, near keys and the queue."""
+    one, two = "caf\u00e9 noir", "cafe\u0301 noir"
+    docs = spark.createDataFrame([(1, one), (2, two), (3, "cafe noir")], "doc_id int, text string")
+    terms = {(r.doc_id, r.term) for r in search.build_index(docs).postings.collect()}
+    assert {t for d, t in terms if d in (1, 2)} == {"caf\u00e9", "noir"} and (3, "cafe") in terms
+    got = search.search_many(search.build_index(docs), spark.createDataFrame([(0, two.split()[0])], "query_id int, query string")).collect()
+    assert {r.doc_id for r in got} == {1, 2}
+    slot = ("s", "x", "k", "term")
+    schema = "session_id string, subject string, key string, subject_kind string, claim string, confidence double, reason string, created_at string"
+    settled = decide.settle_queue(spark.createDataFrame([(*slot, two, 0.7, "w", "d")], schema), spark.createDataFrame([(*slot, one, 0.7, "w", "d", "rejected")], schema + ", status string"))
+    assert [(r.claim, r.status) for r in settled.collect()] == [(one, "rejected")]
 
 
 def test_near_keys_against_all_pairs(spark):

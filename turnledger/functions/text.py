@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks that carry no letter, letters that fold to another, two families of digits, the article.
@@ -32,6 +32,16 @@ def _compose(text: Column) -> Column:
     return F.pandas_udf(_composed, "string")(text)
 
 
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows with these texts in canonical composition, so that a letter and its accent are one whether they were written as one or two. Only rows that hold a
+    combining mark leave the JVM: the frame is split and put together again."""
+    marked = F.lit(False)
+    for c in columns:
+        marked = marked | F.coalesce(F.col(c).rlike(_COMBINING), F.lit(False))
+    apart = df.filter(marked).withColumns({c: _compose(F.col(c)) for c in columns})
+    return df.filter(~marked).unionByName(apart.select(*df.columns))
+
+
 #: What folding can change: marks, folded letters and digits all lie in this block.
 _FOLDABLE = "[\u0600-\u06FF]"
 

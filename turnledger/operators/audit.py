@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import key_forms, terms
+from ..functions.text import composed, key_forms, terms
 from ..sources.scratch import written
 from .reconcile import current, live
 
@@ -32,7 +32,7 @@ def near_keys(facts: DataFrame) -> DataFrame:
     smaller key; all words of the key; one of a claim's rarer words, of which it has to hold one to share enough."""
     dotted = F.instr("key", ".") > 1
     rest = F.when(dotted, F.substring("key", F.instr("key", ".") + 1, F.length("key"))).otherwise(F.col("key"))
-    k = current(facts).select("subject", "key", F.when(dotted, F.lower(F.substring_index("key", ".", 1))).otherwise("").alias("prefix"), _words(rest).alias("words"), F.array_distinct(F.filter(terms(F.col("claim")), lambda w: F.length(w) >= SHARED)).alias("said"))
+    k = composed(current(facts), "key", "claim").select("subject", "key", F.when(dotted, F.lower(F.substring_index("key", ".", 1))).otherwise("").alias("prefix"), _words(rest).alias("words"), F.array_distinct(F.filter(terms(F.col("claim")), lambda w: F.length(w) >= SHARED)).alias("said"))
     k = written(k)
 
     def met(a: DataFrame, b: DataFrame, on: list[str], test: Column, why: str) -> DataFrame:

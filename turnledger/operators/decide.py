@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import claim_form, equivalent
+from ..functions.text import claim_form, composed, equivalent
 from ..sources.scratch import written
 from . import reconcile
 
@@ -172,8 +172,10 @@ def lay_onto(replayed: DataFrame, existing: DataFrame, at: str) -> DataFrame:
     kept = met.select("subject", F.col("id").alias("seq")).filter("NOT is_new")
     left = written(old.drop("nth").join(kept.hint("shuffle_merge"), ["subject", "seq"], "left_anti"))
     alive = F.col("superseded_at").isNull() & F.col("retracted_at").isNull()
-    wording = met.filter(alive).select("subject", "session_id", "key", F.struct(F.col("seq").alias("place"), F.col("id").alias("id"), F.col("created_at").alias("at")).alias("heir"), claim_form(F.col("claim")).alias("form"))
-    near = left.filter(alive).select("subject", "session_id", "key", "seq", claim_form(F.col("claim")).alias("old_form")).join(wording.hint("shuffle_merge"), ["subject", "session_id", "key"])
+    wording = met.filter(alive).select("subject", "session_id", "key", F.struct(F.col("seq").alias("place"), F.col("id").alias("id"), F.col("created_at").alias("at")).alias("heir"), F.col("claim").alias("form"))
+    wording = composed(wording, "form").withColumn("form", claim_form(F.col("form")))
+    near = composed(left.filter(alive).select("subject", "session_id", "key", "seq", F.col("claim").alias("old_form")), "old_form").withColumn("old_form", claim_form(F.col("old_form")))
+    near = near.join(wording.hint("shuffle_merge"), ["subject", "session_id", "key"])
     heirs = near.filter(equivalent(F.col("form"), F.col("old_form"))).groupBy("subject", "seq").agg(F.min("heir").alias("heir"))
     rest = left.join(heirs.hint("shuffle_merge"), ["subject", "seq"], "left")
     was = [F.col("superseded_at").alias("was_superseded"), F.col("retracted_at").alias("was_retracted"), F.lit(False).alias("is_new")]
@@ -250,7 +252,8 @@ def settle_queue(raised: DataFrame, queue: DataFrame) -> DataFrame:
     stays with its claim however it is worded now: in each slot raised claims and entries pair off one to one, in order of date and claim, verbatim ones first, then equivalent
     ones. What is raised no more is obsolete, what was obsolete and is raised again waits, and what meets no entry is a new one."""
     base = [c for c in _QUEUE if c not in ("status", "confidence")]
-    as_rows = lambda df, status, is_raised: df.select(*(F.col(c).cast("string").alias(c) for c in base), F.col("confidence").cast("double").alias("confidence"), status.cast("string").alias("status"), claim_form(F.col("claim")).alias("form"), F.lit(is_raised).alias("raised"))
+    worded = lambda df: composed(df.withColumn("_said", F.col("claim")), "_said")
+    as_rows = lambda df, status, is_raised: worded(df).select(*(F.col(c).cast("string").alias(c) for c in base), F.col("confidence").cast("double").alias("confidence"), status.cast("string").alias("status"), claim_form(F.col("_said")).alias("form"), F.lit(is_raised).alias("raised"))
     rows = as_rows(queue, F.col("status"), False).unionByName(as_rows(raised, F.lit(None), True))
     slot = ["subject", "session_id", "key"]
     schema = ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in _QUEUE)

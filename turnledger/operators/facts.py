@@ -134,14 +134,23 @@ def subject_lines(facts: DataFrame) -> DataFrame:
     return j.select("subject", section.alias("section"), text.alias("text"))
 
 
+#: Letters of the shorter name by which it meets longer ones.
+GRAM = 4
+
+
 def near_names(subjects: DataFrame, names: DataFrame) -> DataFrame:
-    """For each name (name) that is no subject: the subjects that hold it or that it holds, case aside. names is a small question: it is
-    written out and broadcast up to 10,000 rows, beyond which it has to be asked in parts."""
-    wanted = written(names.select("name").distinct().join(subjects.select(F.col("subject").alias("name")).hint("shuffle_merge"), "name", "left_anti"))
-    if wanted.count() > 10_000:
-        raise ValueError("more than 10,000 names at once")
-    a, b = F.lower("subject"), F.lower("name")
-    return subjects.select("subject").distinct().join(F.broadcast(wanted), a.contains(b) | b.contains(a)).select("name", "subject")
+    """For each name (name) that is no subject: the subjects that hold it or that it holds, case aside. The shorter of two names begins somewhere within the
+    longer: its first GRAM letters (all, if fewer) meet the pieces of that length of the longer one, and what meets is compared. Empty names are near nothing."""
+    held = subjects.select("subject").distinct().filter("subject <> ''").withColumn("low", F.lower("subject"))
+    wanted = names.select("name").distinct().filter("name <> ''").join(held.select(F.col("subject").alias("name")).hint("shuffle_merge"), "name", "left_anti").withColumn("low", F.lower("name"))
+    held, wanted = written(held), written(wanted)
+    first = lambda df, c: df.select(c, F.col("low").alias(f"low_{c}"), F.left("low", F.lit(GRAM)).alias("gram"))
+    sizes = F.sequence(F.lit(1), F.lit(GRAM))
+    starts = F.transform(F.sequence(F.lit(1), F.length("low")), lambda i: F.transform(sizes, lambda n: F.substr("low", i, n)))
+    pieces = lambda df, c: df.select(c, F.col("low").alias(f"low_{c}"), F.explode(F.array_distinct(F.flatten(starts))).alias("gram"))
+    within = first(wanted, "name").join(pieces(held, "subject").hint("shuffle_merge"), "gram").filter("contains(low_subject, low_name)")
+    around = first(held, "subject").join(pieces(wanted, "name").hint("shuffle_merge"), "gram").filter("contains(low_name, low_subject)")
+    return within.select("name", "subject").unionByName(around.select("name", "subject")).distinct()
 
 
 def pending_view(pending: DataFrame, limit: int = 100) -> DataFrame:

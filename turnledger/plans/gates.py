@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import context
 from ..operators import facts as questions
 from ..operators import search
 from ..operators import turns as ops
@@ -127,13 +128,55 @@ def w7_nearest(spark, sf_dir):
     return search.nearest(p, s, 5).select("session_id", "fact_id", "rank")
 
 
-QUERIES = {f.__name__: f for f in (f1_changed, f4_self, f5_select, f6_unread, f7_offered, f8_digests, a13_tally, t4_open, t6_retry, t6_kept, p4_resume, p5_tools, a10_cost, a11_scans, w7_nearest)}
+def _context(spark, sf_dir):
+    """Documents as facts of five projects: seven subjects, of which one is hidden and two are tools, one with a definition."""
+    n = F.col("doc_id")
+    subject = F.when(n % 35 == 0, "p0").otherwise(F.concat(F.lit("s"), (n % 7).cast("string")))
+    facts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        n.alias("fact_id"), F.concat(F.lit("p"), (n % 5).cast("string")).alias("project"), subject.alias("subject"), F.when(n % 7 > 4, "tool").otherwise("term").alias("subject_kind"),
+        F.concat(F.lit("k"), n.cast("string")).alias("key"), F.left("text", F.lit(60)).alias("claim"), (subject == "s3").alias("hidden"),
+    )
+    s = turns(spark, sf_dir).groupBy("session_id").agg(F.min_by("text", "seq").alias("text")).withColumn("project", F.concat(F.lit("p"), (F.col("session_id") % 5).cast("string")))
+    told = spark.createDataFrame([("s5", " what it takes "), ("s6", " ")], "tool string, admits string")
+    return context.memory_context(s, facts, told, 4, 5)
+
+
+def w8_context(spark, sf_dir):
+    """What each talk is shown of memory, line by line."""
+    return _context(spark, sf_dir)
+
+
+def w8_texts(spark, sf_dir):
+    """The same as one text a talk."""
+    return context.context_texts(_context(spark, sf_dir)).select("session_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (w8_context, w8_texts, f1_changed, f4_self, f5_select, f6_unread, f7_offered, f8_digests, a13_tally, t4_open, t6_retry, t6_kept, p4_resume, p5_tools, a10_cost, a11_scans, w7_nearest)}
 
 _E = "e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 _F1 = f"""WITH {_E} SELECT 'f' || event_id AS path, CASE WHEN event_id % 4 = 0 THEN 'new' WHEN event_id % 5 = 0 THEN 'changed' WHEN k % 6 IN (0, 1) THEN 'retry' WHEN k % 12 = 2 THEN 'rejudge' ELSE 'unchanged' END AS verdict FROM e"""
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 3))"
 
+_CTX = f"""f AS (SELECT doc_id AS fact_id, 'p' || doc_id % 5 AS project, CASE WHEN doc_id % 35 = 0 THEN 'p0' ELSE 's' || doc_id % 7 END AS subject, 'k' || doc_id AS key, left(text, 60) AS claim FROM documents),
+o AS (SELECT *, CASE subject WHEN 's5' THEN 'what it takes' END AS admits FROM f WHERE subject NOT IN ('s3', 's6')),
+l AS (SELECT project, subject, any_value(admits) AS admits, row_number() OVER (PARTITION BY project ORDER BY min(fact_id)) AS place FROM o GROUP BY 1, 2 QUALIFY place <= 5),
+w AS (SELECT DISTINCT conv_id AS session_id, 'p' || conv_id % 5 AS project FROM conversations),
+fw AS (SELECT fact_id, project, unnest({_TERMS.format("concat_ws(' ', subject, key, claim)")}) AS word FROM o), d AS (SELECT project, word, count(*) AS df FROM fw GROUP BY 1, 2), n AS (SELECT project, count(*) AS docs FROM o GROUP BY 1),
+sw AS (SELECT session_id, 'p' || session_id % 5 AS project, unnest({_TERMS.format("text")}) AS word FROM (SELECT conv_id AS session_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1)),
+m AS (SELECT session_id, fact_id, round(sum(ln(1 + docs / df)), 6) AS score FROM sw JOIN d USING (project, word) JOIN n USING (project) JOIN fw USING (project, word) GROUP BY 1, 2),
+b AS (SELECT session_id, fact_id, max(score) AS score FROM (SELECT * FROM m UNION ALL SELECT session_id, fact_id, 0.0 FROM w JOIN o USING (project)) GROUP BY 1, 2),
+near AS (SELECT session_id, fact_id FROM b QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, fact_id) <= 4),
+lines AS (
+  SELECT session_id, 1 AS section, CAST(0 AS BIGINT) AS ord, '{context.TITLE}' AS line FROM w UNION ALL SELECT session_id, 1, 1, '{context.PROJECT}' || project FROM w
+  UNION ALL SELECT session_id, 2, 0, '{context.SUBJECTS}' || names FROM w JOIN (SELECT project, string_agg(subject, '{context.BETWEEN}' ORDER BY place) AS names FROM l GROUP BY 1) USING (project)
+  UNION ALL SELECT session_id, 3, 0, '{context.TOOLS}' FROM w WHERE project IN (SELECT project FROM l WHERE admits IS NOT NULL) UNION ALL SELECT session_id, 3, place, '- ' || subject || ': ' || admits FROM w JOIN l USING (project) WHERE admits IS NOT NULL
+  UNION ALL SELECT w.session_id, CASE WHEN x.fact_id IS NULL THEN 5 ELSE 4 END, o.fact_id, '- ' || subject || '.' || key || CASE WHEN x.fact_id IS NULL THEN '' ELSE ': ' || claim END FROM w JOIN o USING (project) LEFT JOIN near x ON x.session_id = w.session_id AND x.fact_id = o.fact_id
+)"""
+
 SQL = {
+    "w8_context": f"WITH {_CTX} SELECT * FROM lines",
+    "w8_texts": f"""WITH {_CTX}, e AS (SELECT * FROM lines UNION ALL SELECT DISTINCT session_id, 5, CAST(-1 AS BIGINT), '{context.OTHERS}' FROM lines WHERE section = 5), t AS (SELECT session_id, string_agg(line, chr(10) ORDER BY section, ord) AS text FROM e GROUP BY 1)
+SELECT session_id, sha256(text) AS digest, CAST(length(text) AS BIGINT) AS chars FROM t""",
     "f1_changed": _F1,
     "f4_self": f"WITH {_E}, c AS (SELECT event_id, CASE k % 3 WHEN 0 THEN 'C:\\Work\\' WHEN 1 THEN '/home/' || event_type END AS cwd FROM e) SELECT * FROM c WHERE cwd IS NULL OR cwd LIKE '/home/%'",
     "f5_select": """WITH f AS (SELECT 'f' || event_id AS path, row_number() OVER (ORDER BY epoch_ms(ts), 'f' || event_id) AS rank, count(*) OVER () AS n FROM events WHERE user_id % 10 = 3 AND event_type = 'view')
