@@ -69,12 +69,41 @@ def brief_sections(sessions: DataFrame, facts: DataFrame, pending: DataFrame, de
     return out
 
 
-def briefs(sections: DataFrame, max_chars: int = 6000) -> DataFrame:
-    """project, text: sections in their order until the budget is used up. The one that does not fit is cut to whole lines, and left out
+# How the line that says how old a brief is begins and goes on, and a command that was never on the path.
+STAMP, AGED, BEFORE_USE = "_محدَّث", " — إن مضى أكثر من يوم على هذا الختم فشغّل `", "` قبل الاعتماد عليه._"
+NO_COMMAND = r"^mem\b"
+
+
+def stamp_line(at: str, command: str) -> str:
+    """The first line of a brief: when it was written, and what to run if that is long ago."""
+    return f"{STAMP} {at}{AGED}{command}{BEFORE_USE}"
+
+
+def stale_offers(documents: DataFrame, sessions: DataFrame, files: DataFrame, folders: DataFrame) -> DataFrame:
+    """documents: doc_id, project, text. sessions: project, resume, source_file, a project's last one each. files, folders: path, what there is. doc_id, why: documents that offer what
+    works no more. resume: a fenced command of the project's last session, whose transcript or whose folder (quoted after cd) is gone; the same words in prose are no offer. stamp: the line of the stamp names a command that
+    was never there, or quotes a path that is not."""
+    there = files.select(F.col("path").alias("source_file"), F.lit(True).alias("kept")).distinct()
+    opens = F.regexp_extract("resume", r'^cd "([^"]+)"', 1)
+    j = sessions.filter("resume IS NOT NULL").withColumn("folder", opens).join(there.hint("shuffle_merge"), "source_file", "left")
+    j = j.join(folders.select(F.col("path").alias("folder"), F.lit(True).alias("stands")).distinct().hint("shuffle_merge"), "folder", "left")
+    dead = j.filter("kept IS NULL OR (folder <> '' AND stands IS NULL)").select("project", F.col("resume").alias("command")).distinct()
+    fenced = documents.select("doc_id", "project", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("```bash\\n([^\\n]*)\\n```"), F.lit(1)))).alias("command"))
+    offered = fenced.join(dead.hint("shuffle_merge"), ["project", "command"], "left_semi").select("doc_id", F.lit("resume").alias("why"))
+    line = F.regexp_extract("text", f"(?m)^{STAMP}[^\\n]*", 0)
+    told = documents.select("doc_id", F.regexp_extract(line, "`([^`]+)`", 1).alias("command")).filter("command <> ''")
+    never = told.filter(F.col("command").rlike(NO_COMMAND)).select("doc_id")
+    quoted = told.select("doc_id", F.explode(F.regexp_extract_all("command", F.lit('"([^"]+)"'), F.lit(1))).alias("path"))
+    missing = quoted.join(files.select("path").unionByName(folders.select("path")).distinct().hint("shuffle_merge"), "path", "left_anti").select("doc_id")
+    return offered.unionByName(never.unionByName(missing).select("doc_id", F.lit("stamp").alias("why"))).distinct()
+
+
+def briefs(sections: DataFrame, max_chars: int = 6000, stamp: str | None = None) -> DataFrame:
+    """project, text: the stamp, if there is one, and sections in their order until the budget is used up. The one that does not fit is cut to whole lines, and left out
     if two or fewer are left; nothing after it is shown. As each line costs its length and one, all of this is a running sum
     that stops counting. No more than max_chars lines of a project are ever looked at."""
     by = Window.partitionBy("project").orderBy(*_ORDER)
-    head = F.concat(F.lit(TITLE), "project", F.lit("\n"))
+    head = F.concat(F.lit(f"{stamp}\n\n" if stamp else ""), F.lit(TITLE), "project", F.lit("\n"))
     lines = sections.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= max_chars)
     lines = lines.withColumn("used", F.length(head) + F.sum(F.length("text") + 1).over(by)).withColumn("fits", F.col("used") <= max_chars)
     part = Window.partitionBy("project", "section")

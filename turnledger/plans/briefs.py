@@ -54,7 +54,29 @@ def q5_read_session(spark, sf_dir):
     return ops.read_sessions(status, notes, wanted)
 
 
-QUERIES = {f.__name__: f for f in (j2_project_facts, w6_sections, w5_briefs, q1_brief, q5_read_session)}
+STAMPED = ops.stamp_line("2026-01-01 00:00 UTC", "run it")
+
+
+def w5_stamped(spark, sf_dir):
+    """Briefs that say how old they are, which costs budget."""
+    return ops.briefs(ops.brief_sections(*_tables(spark, sf_dir)), MAX_CHARS, STAMPED)
+
+
+def d9_stale(spark, sf_dir):
+    """Each talk has a brief of its own; even ones fence a command to resume it, odd ones speak of it. Some transcripts, folders and programs are gone."""
+    n = F.col("session_id")
+    s = turns(spark, sf_dir).select("session_id").distinct()
+    resume = F.concat(F.lit('cd "/w/'), (n % 7).cast("string"), F.lit('" && run --resume '), n.cast("string"))
+    command = F.when(n % 11 == 0, "mem scan").otherwise(F.concat(F.lit('"/bin/node" "/cli/'), (n % 5).cast("string"), F.lit('" scan')))
+    stamp = F.concat(F.lit(f"{ops.STAMP} now{ops.AGED}"), command, F.lit(f"{ops.BEFORE_USE}\n\n"))
+    text = F.concat(F.when(n % 13 == 0, "no stamp\n").otherwise(stamp), F.when(n % 2 == 0, F.concat(F.lit("```bash\n"), resume, F.lit("\n```\n"))).otherwise(F.concat(F.lit("we said ```bash "), resume, F.lit(" ```\n"))))
+    documents = s.select(n.alias("doc_id"), n.cast("string").alias("project"), text.alias("text"))
+    last = s.select(n.cast("string").alias("project"), resume.alias("resume"), F.concat(F.lit("t"), n.cast("string")).alias("source_file"))
+    files = s.filter(n % 3 != 0).select(F.concat(F.lit("t"), n.cast("string")).alias("path")).unionByName(s.select(F.explode(F.array(F.lit("/bin/node"), F.concat(F.lit("/cli/"), (n % 4).cast("string")))).alias("path")).distinct())
+    return ops.stale_offers(documents, last, files, spark.range(6).select(F.concat(F.lit("/w/"), F.col("id").cast("string")).alias("path")))
+
+
+QUERIES = {f.__name__: f for f in (j2_project_facts, w6_sections, w5_briefs, w5_stamped, q1_brief, q5_read_session, d9_stale)}
 
 _S = f"""WITH RECURSIVE k AS ({CLAIMS_SQL}), {fold_sql("k")},
 ss AS (SELECT CAST(event_id AS VARCHAR) AS session_id, 'p' || (user_id % 10) AS project, event_type AS agent, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS started_at, CAST(json_extract_string(props, '$.k') AS INT) AS kk, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS n FROM events)"""
@@ -78,11 +100,12 @@ heads AS (SELECT DISTINCT b.project, b.section, '' AS a, 0 AS b, '' AS c, CASE b
 lines AS (SELECT * FROM body UNION ALL SELECT * FROM heads UNION ALL SELECT project, section, a, 1, c, '' FROM heads)"""
 
 
-def _brief_sql(limit: int) -> str:
-    return _LINES + f""", u AS (SELECT *, length('{ops.TITLE}' || project) + 1 + sum(length(text) + 1) OVER (PARTITION BY project ORDER BY section, a, b, c) <= {limit} AS fits FROM lines),
+def _brief_sql(limit: int, stamp: str = "") -> str:
+    head = f"'{stamp}' || chr(10) || chr(10) || " if stamp else ""
+    return _LINES + f""", u AS (SELECT *, length({head}'{ops.TITLE}' || project) + 1 + sum(length(text) + 1) OVER (PARTITION BY project ORDER BY section, a, b, c) <= {limit} AS fits FROM lines),
 v AS (SELECT *, bool_and(fits) OVER (PARTITION BY project, section) AS whole, count(*) FILTER (fits) OVER (PARTITION BY project, section) AS kept FROM u),
 sh AS (SELECT project, section, string_agg(text, chr(10) ORDER BY a, b, c) AS part FROM v WHERE fits AND (whole OR kept > 2) GROUP BY 1, 2),
-br AS (SELECT project, regexp_replace('{ops.TITLE}' || project || chr(10) || chr(10) || coalesce(string_agg(part || chr(10), chr(10) ORDER BY section), ''), '\\s+$', '') || chr(10) AS text FROM (SELECT DISTINCT project FROM lines) LEFT JOIN sh USING (project) GROUP BY 1)
+br AS (SELECT project, regexp_replace({head}'{ops.TITLE}' || project || chr(10) || chr(10) || coalesce(string_agg(part || chr(10), chr(10) ORDER BY section), ''), '\\s+$', '') || chr(10) AS text FROM (SELECT DISTINCT project FROM lines) LEFT JOIN sh USING (project) GROUP BY 1)
 SELECT * FROM br"""
 
 
@@ -90,6 +113,10 @@ SQL = {
     "j2_project_facts": _J2 + " SELECT * FROM pf",
     "w6_sections": _LINES + " SELECT * FROM lines",
     "w5_briefs": _brief_sql(MAX_CHARS),
+    "w5_stamped": _brief_sql(MAX_CHARS, STAMPED),
+    "d9_stale": """WITH s AS (SELECT DISTINCT conv_id AS n FROM conversations)
+SELECT n AS doc_id, 'resume' AS why FROM s WHERE n % 2 = 0 AND (n % 3 = 0 OR n % 7 = 6)
+UNION ALL SELECT n, 'stamp' FROM s WHERE n % 13 <> 0 AND (n % 11 = 0 OR n % 5 NOT IN (SELECT n % 4 FROM s))""",
     "q1_brief": _brief_sql(6000) + " WHERE project = 'p3'",
     "q5_read_session": """WITH t AS (SELECT DISTINCT conv_id AS session_id FROM conversations), w AS (SELECT session_id FROM t UNION SELECT user_id FROM events),
 n AS (SELECT conv_id AS session_id, arg_min(text, turn) AS text FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1)

@@ -111,13 +111,13 @@ def _confidence(v: Column) -> Column:
 
 def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """replies: session_id, reply. notes: session_id, status (ok, no-json, unreadable), title, summary, did, open, facts; rejects: session_id, field, item, the list
-    items that were dropped. Only replies whose first to last brace is no object leave the JVM."""
+    items that were dropped, cut to 120 characters. Only replies whose first to last brace is no object leave the JVM: the frame is split and put together again."""
     span = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
     whole = F.try_parse_json(F.nullif(span, F.lit("")))
     walk = F.pandas_udf(_walked, "string")
-    doubtful = F.col("reply").contains("{") & whole.isNull()
-    v = F.coalesce(whole, F.when(doubtful, F.try_parse_json(walk(F.when(doubtful, F.col("reply"))))))
-    rows = replies.select("session_id", "reply", v.alias("v"))
+    rows = replies.select("session_id", "reply", whole.alias("v"))
+    doubtful = F.coalesce(F.col("reply").contains("{"), F.lit(False)) & F.col("v").isNull()
+    rows = rows.filter(~doubtful).unionByName(rows.filter(doubtful).withColumn("v", F.try_parse_json(walk(F.col("reply")))))
     status = F.when(~F.coalesce(F.col("reply").contains("{"), F.lit(False)), "no-json").when(F.col("v").isNull(), "unreadable").otherwise("ok")
     kind = lambda x: F.when(_scalar(x, "$.subjectKind").isin(*KINDS), _scalar(x, "$.subjectKind")).otherwise("term")
     fact = lambda x: F.struct(_filled(_scalar(x, "$.subject")).alias("subject"), kind(x).alias("subject_kind"), _filled(_scalar(x, "$.key")).alias("key"), _filled(_scalar(x, "$.claim")).alias("claim"), _confidence(x).alias("confidence"), F.to_json(x).alias("item"))
