@@ -6,7 +6,7 @@
    Each is tried against the smallest of its band; links found this way join most copies of a text.
 3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, in proportion to the set's size)
    bound the overlap from above; pairs that pass are verified by intersecting the sorted shingle arrays. A tile with more
-   such pairs than sets first offers each set's closest partner alone; what links is merged, and the open pairs are
+   such pairs than sets first offers each set's closest partner and a tree of close pairs over its components; what links is merged, and the open pairs are
    sought anew. Once a round merges nothing, all that are left are verified.
 
 Every link between different texts is either verified or already implied by others.
@@ -342,11 +342,42 @@ def _size_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("shingle", "set", "comp", "n", own.alias("own"), F.concat(of(F.col("band"), F.col("majors"), F.col("minors")), *near).alias("others"))
 
 
+def spanning(a: np.ndarray, b: np.ndarray, share: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b), by rising share, join all components (labels of the sets) that the pairs can join, and none twice: each round takes the first pair of every
+    component and merges what it joins."""
+    _, label = np.unique(labels, return_inverse=True)
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((b, a, share))] = np.arange(len(a))
+    left, chosen = np.arange(len(a)), []
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return np.array(sorted(chosen), np.int64)
+        best = np.full(label.max() + 1, len(a), np.int64)
+        for side in (a, b):
+            np.minimum.at(best, label[side[left]], rank[left])
+        by_rank = left[np.isin(rank[left], best)]
+        parent = np.arange(len(best))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i in by_rank[np.argsort(rank[by_rank])].tolist():
+            x, y = top(label[a[i]]), top(label[b[i]])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                chosen.append(i)
+        label = np.array([top(x) for x in range(len(parent))])[label]
+
+
 def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """shingle, a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
 
     A tile of more than TILE sets is dealt into blocks, see _size_blocks. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
-    partner alone and marks these rows as cut; all pairs of the other blocks are there."""
+    partner and the closest pairs that join its components, two pairs a set at most, and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
         members.select("shingle", "set", "n").distinct()
         .join(comp.hint("shuffle_merge"), "set", "left")
@@ -368,7 +399,9 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
 
     def compare_few(rows_: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
         """The same without arrays, which cost more than they save in a tile of a few sets."""
-        same_block, every, closest = rows_[0][1] == rows_[0][2], [], []
+        same_block, every, closest, shares = rows_[0][1] == rows_[0][2], [], [], []
+        by_id = sorted(rows_, key=lambda r: r[4])
+        ids, labels = np.array([r[4] for r in by_id], np.int64), np.array([r[5] for r in by_id], np.int64)
         for i, (shingle, _, _, own, one, comp_, n, bits) in enumerate(rows_):
             near = []
             for q in rows_[i + 1 :]:
@@ -381,7 +414,12 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
             if near:
                 every += [(one, x) for *_, x in near]
                 closest.append((one, min(near)[2]))
+                shares += [(share, one, x) for share, _, x in near]
         cut = len(every) > len(rows_) and not all_pairs
+        if cut:
+            sides = np.array([x[1:] for x in shares], np.int64)
+            tree = spanning(*np.searchsorted(ids, sides.T), np.array([x[0] for x in shares]), labels)
+            closest = sorted({*closest, *map(tuple, sides[tree].tolist())})
         if every:
             yield rows_[0][0], *np.array(closest if cut else every, np.int64).T, cut
 
@@ -421,12 +459,17 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
                     continue
                 order = np.lexsort((b, apart / (n[a] + n[b]), a))
                 first = order[np.r_[True, a[order][1:] != a[order][:-1]]]
-                closest.append((one[a[first]], one[b[first]]))
-                if total <= m:
-                    every.append((one[a], one[b]))
-        chosen = every if total <= m else closest
-        if chosen:
-            yield shingle, *(np.concatenate(c) for c in zip(*chosen, strict=True)), total > m
+                closest.append((a[first], b[first]))
+                every.append((a, b, apart / (n[a] + n[b])))
+                if total > m:  # what a spanning tree of a part leaves out no spanning tree of the whole needs
+                    a, b, share = (np.concatenate(c) for c in zip(*every, strict=True))
+                    tree = spanning(a, b, share, comp_)
+                    every = [(a[tree], b[tree], share[tree])]
+        if every:
+            a, b, _ = (np.concatenate(c) for c in zip(*every, strict=True))
+            if total > m:
+                a, b = np.unique(np.stack([np.concatenate(c) for c in zip((a, b), *closest, strict=True)]), axis=1)
+            yield shingle, one[a], one[b], total > m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
