@@ -101,11 +101,14 @@ def split_quarantine(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scrub(notes: DataFrame, rules=RULES) -> DataFrame:
-    """Redaction of every string in the rows, in structs and arrays however deep."""
+    """Redaction of every string in the rows, in structs and arrays however deep. A rule runs where a cheap test says that it may match."""
+
+    def step(kind: str, pattern: str, any_case: bool, to: str):
+        return lambda t: F.when(needed(kind, t), F.regexp_replace(t, java_pattern(pattern, any_case), to)).otherwise(t)
 
     def cleaned(text: Column) -> Column:
-        for _, pattern, any_case, to in rules:
-            text = F.regexp_replace(text, java_pattern(pattern, any_case), to)
+        for rule in rules:
+            text = once(text, step(*rule))
         return text
 
     def inside(value: Column, kind: T.DataType) -> Column:
