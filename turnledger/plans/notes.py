@@ -32,9 +32,8 @@ def s6_notes(spark, sf_dir):
 
 
 def s6_claims(spark, sf_dir):
-    n = src.parse_notes(_notes(spark, sf_dir))
-    parts = src.claims(n).select("session_id", F.lit("claim").alias("kind"), "subject", "key", "claim"), src.withdrawals(n).select("session_id", F.lit("withdrawal").alias("kind"), "subject", "key", "claim"), src.links(n).select("session_id", F.lit("link").alias("kind"), F.col("a").alias("subject"), F.col("b").alias("key"), F.col("relation").alias("claim"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Notes are read once for all three kinds."""
+    return src.said(src.parse_notes(_notes(spark, sf_dir))).select("session_id", "kind", "subject", "key", "claim")
 
 
 def _replies(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 # What opens and closes a note's trailer, the kinds of a subject, what a note without a title is called.
 OPEN, CLOSE = "<!-- engine:facts", "-->"
 KINDS = ("person", "project", "org", "term", "tool")
@@ -22,15 +24,20 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 def parse_notes(docs: DataFrame) -> DataFrame:
     """docs: path, md. session_id, date, agent, project, extractor, prose, trailer (null if there is none that parses). Documents without a session are
     no notes and are left out."""
-    md = F.regexp_replace("md", "\r\n", "\n")
-    head = F.regexp_extract(md, r"(?s)^---\n(.*?)\n---", 1)
-    field = lambda name: F.regexp_extract(head, rf"(?m)^[ ]*{name}[ ]*:[ \t]*(.*?)[ \t]*$", 1)
-    body = F.regexp_replace(md, r"(?s)^---\n.*?\n---\n?", "")
-    start = F.instr(md, OPEN)
-    rest = F.substring(md, start + len(OPEN), F.length(md))
-    trailer = F.when((start > 0) & (F.instr(rest, CLOSE) > 0), F.from_json(F.trim(F.substring_index(rest, CLOSE, 1)), TRAILER))
-    out = docs.select("path", field("session").alias("session_id"), field("date").alias("date"), field("agent").alias("agent"), field("project").alias("project"), field("extractor").alias("extractor"), F.trim(F.regexp_replace(F.substring_index(body, OPEN, 1), r"^\s+|\s+$", "")).alias("prose"), trailer.alias("trailer"))
-    return out.filter("session_id <> ''")
+    def parsed(md: Column, head: Column) -> Column:
+        field = lambda name: F.regexp_extract(head, rf"(?m)^[ ]*{name}[ ]*:[ \t]*(.*?)[ \t]*$", 1).alias(name)
+        body = F.regexp_replace(md, r"(?s)^---\n.*?\n---\n?", "")
+        prose = F.trim(F.regexp_replace(F.substring_index(body, OPEN, 1), r"^\s+|\s+$", ""))
+        start = F.instr(md, OPEN)
+        trailer = once(F.substring(md, start + len(OPEN), F.length(md)), lambda rest: F.when((start > 0) & (F.instr(rest, CLOSE) > 0), F.from_json(F.trim(F.substring_index(rest, CLOSE, 1)), TRAILER)))
+        return F.struct(field("session").alias("session_id"), field("date"), field("agent"), field("project"), field("extractor"), prose.alias("prose"), trailer.alias("trailer"))
+
+    def note(md: Column) -> Column:
+        return once(F.regexp_extract(md, r"(?s)^---\n(.*?)\n---", 1), lambda head: parsed(md, head))
+
+    # one row from one document: a filter over the columns would be pushed below them, where it parses every document again
+    one = F.filter(F.transform(F.array(F.regexp_replace("md", "\r\n", "\n")), note), lambda n: n["session_id"] != "")
+    return docs.select("path", F.explode(one).alias("n")).select("path", "n.*")
 
 
 def claims(notes: DataFrame) -> DataFrame:
@@ -49,6 +56,19 @@ def links(notes: DataFrame) -> DataFrame:
     return one.select("session_id", "date", F.col("l.from").alias("a"), F.col("l.to").alias("b"), "l.relation")
 
 
+def said(notes: DataFrame) -> DataFrame:
+    """session_id, date, kind (claim, withdrawal, link), subject, key, claim: what claims, withdrawals and links hold, of one reading of the notes. A link's ends
+    stand for subject and key, its relation for the claim."""
+
+    def rows(items: str, kind: str, subject: str, key: str, claim: str) -> Column:
+        row = lambda x: F.struct(F.lit(kind).alias("kind"), x[subject].alias("subject"), x[key].alias("key"), x[claim].alias("claim"))
+        return F.coalesce(F.transform(f"trailer.{items}", row), F.array().cast("array<struct<kind:string,subject:string,key:string,claim:string>>"))
+
+    fact = ("subject", "key", "claim")
+    every = F.concat(rows("facts", "claim", *fact), rows("retracted", "withdrawal", *fact), rows("links", "link", "from", "to", "relation"))
+    return notes.select("session_id", "date", F.explode(every).alias("x")).select("session_id", "date", "x.*")
+
+
 def rendered(notes: DataFrame) -> DataFrame:
     """session_id, agent, project, date, extractor, title, summary, did array<string>, trailer → path, md: what read_notes reads back."""
     day, colon = F.substring("date", 1, 10), F.instr("session_id", ":")
