@@ -20,3 +20,18 @@ def test_said_is_the_three_tables(spark):
     said = src.said(n)
     assert {r.kind for r in said.select("kind").distinct().collect()} == {"claim", "withdrawal", "link"}
     assert sorted(map(tuple, said.drop("kind").collect())) == sorted(map(tuple, three))
+
+
+def test_search_shuffles_no_postings(spark):
+    """Neither the postings nor the distinct terms of the corpus are written or joined: what is left after the hits has a row a word and document at most."""
+    from turnledger.operators import search as ops
+    from turnledger.plans import texts
+
+    docs = spark.createDataFrame([(1, "ab abc abc x"), (2, "abcdef zz"), (3, None), (4, "q")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "abcd ab"), (8, "zz z"), (9, "")], "query_id long, query string")
+    best = ops.search_many(ops.build_index(docs), asked)
+    assert [(r.query_id, r.doc_id) for r in best.orderBy("query_id", "rank").collect()] == [(7, 2), (7, 1), (8, 2)]
+    only = ops.search_many(ops.build_index(docs), asked, among=docs.filter("doc_id = 1").select("doc_id"))
+    assert [(r.query_id, r.doc_id) for r in only.collect()] == [(7, 1)]
+    index = ops.build_field_index(texts._docs(spark, DATA).withColumn("title", texts.F.split("text", "\n")[0]), {"title": 3.0, "text": 1.0})
+    assert scans(index.words) <= 2  # once for texts with combining marks, once for the others; it was twice a field
