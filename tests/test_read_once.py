@@ -35,3 +35,9 @@ def test_search_shuffles_no_postings(spark):
     assert [(r.query_id, r.doc_id) for r in only.collect()] == [(7, 1)]
     index = ops.build_field_index(texts._docs(spark, DATA).withColumn("title", texts.F.split("text", "\n")[0]), {"title": 3.0, "text": 1.0})
     assert scans(index.words) <= 2  # once for texts with combining marks, once for the others; it was twice a field
+
+
+def test_quarantine_reads_documents_once(spark):
+    from turnledger.plans import texts
+
+    assert scans(texts.p11_quarantine(spark, DATA)) == 1

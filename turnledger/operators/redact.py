@@ -81,9 +81,10 @@ def redact(df: DataFrame, col: str = "text", rules=RULES, verify=None) -> DataFr
     for rule in rules:
         state = once(state, step(*rule))
     df = df.withColumn("_s", state).withColumns({"_t": F.col("_s.t"), "_f": F.col("_s.f")}).drop("_s")
-    probe = F.regexp_replace("_t", r"\[REDACTED-[A-Z-]+\]", "·")
-    left = [F.when(needed(k, F.col("_t")) & probe.rlike(java_pattern(p, i)), k) for k, p, i, _ in (rules if verify is None else verify) if k not in UNVERIFIED]
-    survivors = F.array_compact(F.array(*left)) if left else F.array().cast("array<string>")
+    # the text without what redaction put there, made once for all rules
+    probe = F.when(F.col("_t").contains("[REDACTED-"), F.regexp_replace("_t", r"\[REDACTED-[A-Z-]+\]", "·")).otherwise(F.col("_t"))
+    checked = [(k, java_pattern(p, i)) for k, p, i, _ in (rules if verify is None else verify) if k not in UNVERIFIED]
+    survivors = once(probe, lambda t: F.array_compact(F.array(*(F.when(needed(k, F.col("_t")) & t.rlike(p), k) for k, p in checked)))) if checked else F.array().cast("array<string>")
     return df.withColumns({col: F.col("_t"), "findings": F.col("_f"), "survivors": F.when(F.col("_t").isNotNull(), survivors).otherwise(F.array().cast("array<string>"))}).withColumn("safe", F.size("survivors") == 0).drop("_t", "_f")
 
 
@@ -93,11 +94,16 @@ def findings(redacted: DataFrame, *by: str) -> DataFrame:
     return one.groupBy(*by, F.col("f.kind").alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.sum("f.count").cast("long").alias("matches"))
 
 
-def split_quarantine(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is safe, and what leaves the flow with its reason: the findings, then the kinds that survived."""
+def with_reason(redacted: DataFrame) -> DataFrame:
+    """reason: why a row leaves the flow, the findings, then the kinds that survived; null where it is safe. One reading serves both sides."""
     found = F.transform("findings", lambda f: F.concat(f["kind"], F.lit("×"), f["count"].cast("string")))
     reason = F.array_join(F.concat(found, F.transform("survivors", lambda k: F.concat(F.lit("survived:"), k))), ", ")
-    return redacted.filter("safe"), redacted.filter("NOT safe").withColumn("reason", reason)
+    return redacted.withColumn("reason", F.when(~F.col("safe"), reason))
+
+
+def split_quarantine(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is safe, and what leaves the flow with its reason. Each side reads the rows anew; with_reason keeps them together."""
+    return redacted.filter("safe"), with_reason(redacted).filter("NOT safe")
 
 
 def scrub(notes: DataFrame, rules=RULES) -> DataFrame:

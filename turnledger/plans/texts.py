@@ -58,8 +58,7 @@ def p10_text(spark, sf_dir):
 def p11_quarantine(spark, sf_dir):
     """What of each source leaves the flow, and why. No text of the tables survives redaction unsafe, so the rules are cut to the
     last: what the others would have caught is then left over."""
-    safe, unsafe = red.split_quarantine(red.redact(_docs(spark, sf_dir), rules=red.RULES[-1:], verify=red.RULES))
-    return safe.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(unsafe.select("doc_id", "reason"))
+    return red.with_reason(red.redact(_docs(spark, sf_dir), rules=red.RULES[-1:], verify=red.RULES)).select("doc_id", "reason")
 
 
 def p12_scrub(spark, sf_dir):
