@@ -7,7 +7,7 @@
 3. Only pairs of different components are still open. In each tile their bitmap signatures (parity bits, in proportion to the set's size)
    bound the overlap from above; pairs that pass are verified by intersecting the sorted shingle arrays. A tile with more
    such pairs than sets first offers each set's closest partner and a tree of close pairs over its components; what links is merged, and the open pairs are
-   sought anew. Once a round merges nothing, all that are left are verified.
+   sought anew, with PAIRS_GROW times as many pairs a set allowed in each round. Once a round merges nothing, or a set may have as many pairs as a block has sets, all that are left are verified.
 
 Every link between different texts is either verified or already implied by others.
 """
@@ -41,6 +41,10 @@ LEAST_BITS = 128
 TILE, PAIR_WORDS = 1_024, 1 << 20
 #: Tiles up to this size are compared without arrays.
 FEW_SETS = 24
+#: A block may have one open pair a set in the first round, and so many times as many in each that follows.
+PAIRS_GROW = 16
+#: Links that a task joins at once, 16 bytes each.
+LINKS_AT_ONCE = 100_000
 CACHE_WORDS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -263,8 +267,8 @@ def _arrays(docs: DataFrame, needed: DataFrame, k: int, id_col: str, text_col: s
     return stored(found.join(needed.select("set", "d1", "d2").hint("shuffle_merge"), ["d1", "d2"]).select("set", "shingles"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are links. Signatures first, then shingle arrays."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, screened: bool = False) -> DataFrame:
+    """The pairs (a, b) that are links. Signatures first, unless the stored pairs have been screened by them, then shingle arrays."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,8 +291,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
     def side(df: DataFrame, key: str, *cols: str) -> DataFrame:
         return df.select(F.col("set").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in cols)).hint("shuffle_merge")
 
-    wide = pairs.join(side(sets, "a", "bits", "n"), "a").join(side(sets, "b", "bits", "n"), "b")
-    close = stored(wide.select("a", "b", "bits_a", "bits_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(near, "a long, b long"))
+    close = pairs
+    if not screened:
+        wide = pairs.join(side(sets, "a", "bits", "n"), "a").join(side(sets, "b", "bits", "n"), "b")
+        close = stored(wide.select("a", "b", "bits_a", "bits_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(near, "a long, b long"))
     ends = close.select(F.col("a").alias("set")).unionByName(close.select(F.col("b").alias("set"))).distinct()
     arrays = _arrays(docs, ends.join(sets.select("set", "doc_id", "d1", "d2").hint("shuffle_merge"), "set"), k, id_col, text_col)
     full = close.join(side(arrays, "a", "shingles"), "a").join(side(arrays, "b", "shingles"), "b")
@@ -296,10 +302,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percen
         return stored(full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long"))
 
 
+def smallest_joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets that the links (a, b) name, and for each the smallest that it can reach by them."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[at[: len(a)]], label[at[len(a) :]]
+        if (x == y).all():
+            return ids, ids[label]
+        # of two labels side by side the larger one takes the smaller, and all follow their labels to the end
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(set, comp) for the sets that have a link: comp is the smallest set reachable. Each round takes the
-    smallest label next to a set and then that label's own; rounds end when nothing changes. The hub of a star of links, and
+    """(set, comp) for the sets that have a link: comp is the smallest set reachable. First each task joins its own links,
+    LINKS_AT_ONCE at a time, into stars around their smallest sets; where all links are no more than that, this is all. Else rounds follow over the stars: each takes the
+    smallest label next to a set and then that label's own; they end when nothing changes. The hub of a star of links, and
     the label of a giant component, are hot keys of plain joins, which adaptive execution splits."""
+    most = LINKS_AT_ONCE
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if held and (batch is None or sum(x.num_rows for x in held) + batch.num_rows > most):
+                found = smallest_joined(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["set", "comp"])
+                held = []
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+
+    tasks = max(1, -(-links.count() // most))
+    stars = stored(links.select("a", "b").coalesce(tasks).mapInArrow(join, "set long, comp long"))
+    if tasks == 1:
+        return stars
+    links = stars.filter("set <> comp").select(F.col("set").alias("a"), F.col("comp").alias("b"))
     both = stored(links.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("set"), F.col("a").alias("other"))).distinct())
     labels = stored(both.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp")))
     while True:
@@ -373,10 +411,10 @@ def spanning(a: np.ndarray, b: np.ndarray, share: np.ndarray, labels: np.ndarray
         label = np.array([top(x) for x in range(len(parent))])[label]
 
 
-def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int, all_pairs: bool, each: int) -> DataFrame:
     """shingle, a, b, cut: pairs of different components in one tile whose sizes and signatures allow a link.
 
-    A tile of more than TILE sets is dealt into blocks, see _size_blocks. Unless all_pairs is set, a block with more pairs than sets gives each set's closest larger
+    A tile of more than TILE sets is dealt into blocks, see _size_blocks. Unless all_pairs is set, a block with more pairs than `each` for every set gives each set's closest larger
     partner and the closest pairs that join its components, two pairs a set at most, and marks these rows as cut; all pairs of the other blocks are there."""
     labelled = stored(
         members.select("shingle", "set", "n").distinct()
@@ -415,7 +453,7 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
                 every += [(one, x) for *_, x in near]
                 closest.append((one, min(near)[2]))
                 shares += [(share, one, x) for share, _, x in near]
-        cut = len(every) > len(rows_) and not all_pairs
+        cut = len(every) > each * len(rows_) and not all_pairs
         if cut:
             sides = np.array([x[1:] for x in shares], np.int64)
             tree = spanning(*np.searchsorted(ids, sides.T), np.array([x[0] for x in shares]), labels)
@@ -461,15 +499,15 @@ def _open_pairs(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: i
                 first = order[np.r_[True, a[order][1:] != a[order][:-1]]]
                 closest.append((a[first], b[first]))
                 every.append((a, b, apart / (n[a] + n[b])))
-                if total > m:  # what a spanning tree of a part leaves out no spanning tree of the whole needs
+                if total > each * m:  # what a spanning tree of a part leaves out no spanning tree of the whole needs
                     a, b, share = (np.concatenate(c) for c in zip(*every, strict=True))
                     tree = spanning(a, b, share, comp_)
                     every = [(a[tree], b[tree], share[tree])]
         if every:
             a, b, _ = (np.concatenate(c) for c in zip(*every, strict=True))
-            if total > m:
+            if total > each * m:
                 a, b = np.unique(np.stack([np.concatenate(c) for c in zip((a, b), *closest, strict=True)]), axis=1)
-            yield shingle, one[a], one[b], total > m
+            yield shingle, one[a], one[b], total > each * m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -515,20 +553,19 @@ def _placed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, d
     over = stored(_stars(tops.select("shingle", F.lit(0).cast("long").alias("salt"), "f.set", "f.n"), ["shingle"], percent))
     members = part.select("shingle", "set", "n", "rep").unionByName(over.select("shingle", "set", "n", "rep"))
     stars = stored(members.filter("set <> rep").select(F.least("set", "rep").alias("a"), F.greatest("set", "rep").alias("b")).distinct())
-    links = _verified(stars, sets, docs, k, percent, id_col, text_col)
-    comp = components(links)
-    cut, merged = True, True
+    comp = components(_verified(stars, sets, docs, k, percent, id_col, text_col))
+    cut, merged, each = True, True, 1
     while cut:
-        found = _open_pairs(members, sets, comp, percent, all_pairs=not merged)
-        cut = not found.filter("cut").isEmpty()
-        more = _verified(stored(found.select("a", "b").distinct()), sets, docs, k, percent, id_col, text_col)
+        found = _open_pairs(members, sets, comp, percent, all_pairs=not merged or each >= TILE, each=each)
+        cut, each = not found.filter("cut").isEmpty(), each * PAIRS_GROW
+        more = _verified(stored(found.select("a", "b").distinct()), sets, docs, k, percent, id_col, text_col, screened=True)
         merged = not more.isEmpty()
         if cut:  # the pairs of all other tiles have been tried
             again = found.filter("cut").select("shingle").distinct()
             members = stored(members.select("shingle", "set", "n").join(again.hint("shuffle_merge"), "shingle"))
         if merged:
-            links = links.unionByName(more)
-            comp = components(links)
+            known = comp.filter("set <> comp").select(F.col("set").alias("a"), F.col("comp").alias("b"))
+            comp = components(known.unionByName(more))
     of_set = sets.select("d1", "d2", "set").join(comp.hint("shuffle_merge"), "set", "left").select("d1", "d2", F.coalesce("comp", "set").alias("comp"))
     digest = ["digest"] * digests
     placed = rows.filter("n > 0").select("row_id", "doc_id", "n", "d1", "d2", *digest).join(of_set.hint("shuffle_merge"), ["d1", "d2"])
