@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, text_bytes, words
+from .common import small_batches, stored, text_bytes, words
 from .exact_dedup import filter_bits, probe, seen_filter
 
 WINDOW = 10
@@ -50,7 +50,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "ite
 
 
 def pair_frequencies(docs: DataFrame, wanted: set[tuple[bytes, ...]], text_col: str = "text") -> Counter:
-    """Over all documents: how many hold each wanted pair. One number a wanted pair reaches the driver."""
+    """Over all documents: how many hold each wanted pair. One number a wanted pair reaches the driver; texts go to Python in small batches."""
     order = sorted(wanted)
     held = docs.sparkSession.sparkContext.broadcast({p: i for i, p in enumerate(order)})
 
@@ -66,7 +66,8 @@ def pair_frequencies(docs: DataFrame, wanted: set[tuple[bytes, ...]], text_col:
             yield pa.RecordBatch.from_arrays([pa.array([index[p] for p in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "docs"])
 
     counts = docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
-    return Counter({order[r["pair"]]: r["docs"] for r in counts.collect()})
+    with small_batches(docs.sparkSession):
+        return Counter({order[r["pair"]]: r["docs"] for r in counts.collect()})
 
 
 class Windows:
@@ -202,27 +203,23 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows, all columns, whose text holds no window of the benchmark; repeated rows stay repeated. Null and empty texts
-    stay. With more windows than one block has, each block's survivors are written before the next block."""
+    stay. With more windows than one block has, each block's survivors are written before the next block. Only texts go to Python, and
+    only one boolean a row comes back."""
 
-    name = free_name(docs, "_bytes")
+    def clean(held):
+        def judge(texts: pa.Array) -> pa.Array:
+            return pa.array([not held.value.places(words(t.as_py())) for t in texts], pa.bool_())
 
-    def keep(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index(name)
-                clean = [not held.value.places(words(t.as_py())) for t in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+        return F.arrow_udf(judge, "boolean")(text_bytes(text_col))
 
-        return run
-
-    rows = docs.withColumn(name, text_bytes(text_col))
+    rows = docs
     for n, block in _blocks(docs, items, window, text_col):
-        left = rows.mapInArrow(keep(block), rows.schema)
+        left = rows.filter(clean(block))
         if n == 1:
-            return left.drop(name)
+            return left
         rows = stored(left)
         block.destroy()
-    return rows.drop(name)
+    return rows
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -119,17 +119,14 @@ def holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def probe(df: DataFrame, hash_col: str, bitmap: np.ndarray, flag: str = "maybe") -> DataFrame:
-    """Adds a boolean column: may the hash be in the filter? Null hashes are not."""
+    """Adds a boolean column: may the hash be in the filter? Null hashes are not. Only the hashes go to Python."""
     held = df.sparkSession.sparkContext.broadcast(bitmap)
-    bits = len(bitmap) * 8
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(batch.schema.get_field_index(hash_col)).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            found = _holds(held.value, positions(h, bits)) if len(h) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, flag])
+    def check(hashes: pa.Array) -> pa.Array:
+        found = holds(held.value, hashes.fill_null(0).to_numpy(zero_copy_only=False)) if len(hashes) else np.zeros(0, bool)
+        return pa.array(found, pa.bool_())
 
-    return df.mapInArrow(check, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{flag}` boolean")
+    return df.withColumn(flag, F.arrow_udf(check, "boolean")(hash_col))
 
 
 def normal_text(text_col: str) -> Column:
@@ -174,6 +171,7 @@ def without_rows(docs: DataFrame, judged: DataFrame, key: str, sha: str) -> Data
     if not n:
         return docs.drop(key, sha)
     h, maybe, kept = free_name(docs, "_h"), free_name(docs, "_maybe"), free_name(docs, "_kept")
+    docs = docs.withColumn(sha, F.coalesce(sha, F.lit("")))  # never null: else the inner join has each text digested once more to test that
     hashed = F.xxhash64(key, sha)
     bitmap = seen_filter(judged.select(hashed.alias(h)), filter_bits(n))
     flagged = probe(docs.withColumn(h, hashed), h, bitmap, maybe)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, text_bytes
+from .common import BATCH_ROWS, small_batches, stored, text_bytes
 
 MEASURES = ("log_bytes", "upper", "digit", "symbol", "bang", "pipe", "stop", "non_ascii", "word_length", "distinct_words", "repeats", "symbol_ends", "line_words", "distinct_lines")
 #: Cut points for each measure: approximate quantiles over all rows.
@@ -131,7 +131,9 @@ def _moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[bool, np.ndarray]:
     """The two matrices of moments; 2 * SLICES rows reach the driver, however many tasks there are."""
     size = 1 + sum(map(len, cuts))
     out = {True: np.zeros((size, size)), False: np.zeros((size, size))}
-    for r in _partial_moments(rows, cuts).collect():
+    with small_batches(rows.sparkSession):  # a row has some 150 indicators in Python
+        pieces = _partial_moments(rows, cuts).collect()
+    for r in pieces:
         np.array_split(out[r["positive"]], SLICES)[r["slice"]][:] = np.frombuffer(r["sums"]).reshape(-1, size)
     return out
 
@@ -199,7 +201,9 @@ def estimate_prior(train: DataFrame, cuts: list[np.ndarray], weights: np.ndarray
             total[1] += np.bincount(bins, minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(total[0]), pa.array(total[1])], ["bin", "positives", "rows"])
 
-    counts = train.select("positive", *MEASURES).mapInArrow(run, "bin long, positives long, rows long").groupBy("bin").agg(F.sum("positives").alias("p"), F.sum("rows").alias("u")).collect()
+    counts = train.select("positive", *MEASURES).mapInArrow(run, "bin long, positives long, rows long").groupBy("bin").agg(F.sum("positives").alias("p"), F.sum("rows").alias("u"))
+    with small_batches(train.sparkSession):
+        counts = counts.collect()
     table = np.zeros((2, BINS))
     for r in counts:
         table[:, r["bin"]] = r["p"], r["u"]
@@ -257,20 +261,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, all columns, that are predicted 1, repeated rows each; null and empty texts are judged like any other. Without a
-    positive label every row stays."""
+    positive label every row stays. Only texts go to Python, and only one boolean a row comes back."""
     cuts, weights = fit(stored(measured(docs)), labels)
     held = docs.sparkSession.sparkContext.broadcast((cuts, weights))
-    name = free_name(docs, "_bytes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(name))
-            table = np.array([measures(t.as_py() or b"") for t in texts]).reshape(-1, len(MEASURES))
+    def judge(texts: pa.Array) -> pa.Array:
+        good = []
+        for k in range(0, len(texts), BATCH_ROWS):
+            table = np.array([measures(t.as_py() or b"") for t in texts.slice(k, BATCH_ROWS)]).reshape(-1, len(MEASURES))
             score = squash(design(table, held.value[0]) @ held.value[1])
-            yield batch.filter(pa.array(score >= 0.5))
+            good += (score >= 0.5).tolist()
+        return pa.array(good, pa.bool_())
 
-    rows = docs.withColumn(name, text_bytes(text_col))
-    return rows.mapInArrow(run, rows.schema).drop(name)
+    return docs.filter(F.arrow_udf(judge, "boolean")(text_bytes(text_col)))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
