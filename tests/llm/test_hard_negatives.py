@@ -103,3 +103,29 @@ def test_query_moves_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     want = plain([(i, (k + 1) % 10 if i % 7 == 0 else k, v, i % 100 == 0) for i, k, v in rows])
     assert sorted((tuple(x) for x in hard.op13_hard_negatives(spark, str(tmp_path)).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("scale", [1, 40, 1 << 20, 1 << 26])
+def test_many_anchors_at_once(monkeypatch, scale):
+    """Many anchors, several windows each, in one block: exact with every type of number, and nodes are looked at for all anchors together."""
+    calls = []
+    bounds = hard.bounds
+    monkeypatch.setattr(hard, "bounds", lambda *a: calls.append(1) or bounds(*a))
+    r = np.random.default_rng(scale)
+    n, need = 1500, 4
+    values = np.floor(r.normal(size=(n, 6)) * scale * 3 / 4).clip(-hard.LARGEST, hard.LARGEST).astype(np.int64)
+    values[r.random(n) < 0.1] = values[0]
+    labels, ids = r.choice([0, 0, 0, 1, 2, 3], n), r.integers(0, n, n)
+    sphere2 = int((values**2).sum(axis=1).max())
+    block = hard.build(list(range(n)), ids.tolist(), labels.tolist(), [hard.packed(v) for v in values], sphere2)
+    anchors, which = np.arange(200), np.repeat(np.arange(200), 3)
+    hi = np.sort(r.integers(0, sphere2, 600) // 4)
+    for same in (True, False):
+        got = hard.best(block, anchors, labels[anchors], [hard.packed(v) for v in values[anchors]], which, same, hi * 8 // 10, hi, need)
+        want = []
+        for q, a in enumerate(which):
+            score = values @ values[a]
+            inside = [(-int(score[i]), int(ids[i])) for i in range(n) if i != a and (labels[i] == labels[a]) == same and hi[q] * 8 // 10 <= score[i] <= hi[q]]
+            want += [(q, -s, i) for s, i in sorted(inside)[:need]]
+        assert list(zip(*(x.tolist() for x in got[:3]), strict=True)) == want
+    assert len(calls) < 100

@@ -6,20 +6,22 @@
    the label's size asks for), and by hash where a cell is still too large; small cells share blocks. A block has a hundredth of the rows, between two bounds:
    anchors sent to all blocks then move as many rows as there are candidates.
 3. A search asks for the best `need` rows of a window of scores, of the anchor's label or of all others. It first goes to the block whose
-   bound is highest, then, with the score found there as a floor, to every block that the window can reach. In a block the cover tree is
-   descended best bound first; nodes out of the window are passed over and rows are scored exactly.
+   bound is highest, then, with the score found there as a floor, to every block that the window can reach. In a block many anchors descend the
+   cover tree together; nodes out of an anchor's windows are passed over, the rows of a leaf are scored for all anchors left by one product of matrices
+   whose numbers are exact.
 4. Positives come from a first search without a window, negatives from a second one with a window for each positive score.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,18 @@ SCALE, LARGEST = 256, 1 << 26
 LEAST_BLOCK, MOST_BLOCK, BLOCK_SHARE = 2_048, 131_072, 100
 #: Pivots come from a sample of so many rows, which bounds the driver's work; every row is dealt to one of them.
 MOST_PIVOTS, PIVOT_SAMPLE = 256, 20_000
-#: Children of a node, and rows that are scored at once without a node below.
-FAN_OUT, LEAF = 64, 64
+#: Children of a node, and rows without a node below; labels of fewer rows share a tree.
+FAN_OUT, LEAF = 64, 512
+#: Pairs of anchor and row that are scored at once, and rows that are met first, while a floor may be low.
+PAIRS, FIRST = 1 << 20, 64
 #: Bounds are loosened by so much of the largest product, which is far above what rounding does to them.
 SLACK = 1e-6
 #: Rows closer than this to a node's center are not told apart, and no tree goes deeper than this.
 SAME_ANGLE, DEEPEST = 1e-6, 40
 #: Blocks whose bounds are sent to the tasks at once.
 ROUTED_BLOCKS = 50_000
+#: Tasks that search blocks: two a block, so many at most.
+MOST_TASKS = 2_000
 LOWEST, HIGHEST = -(1 << 62), 1 << 62
 
 
@@ -47,13 +53,13 @@ class Block(NamedTuple):
 
     rows: np.ndarray  # row ids
     ids: np.ndarray  # vec ids, the largest long for null
-    values: np.ndarray  # components as doubles
-    exact: np.ndarray | None  # as longs, if products of doubles could round
-    center: np.ndarray  # of each node: the row that it stands for
+    labels: np.ndarray
+    values: np.ndarray  # components, of the smallest type that rounds no product
+    center: np.ndarray  # of each node: the vector that it stands for, as doubles
     angle: np.ndarray  # of each node: the widest angle from its center to a row below
     span: np.ndarray  # of each node: its range of rows
     children: list[np.ndarray]
-    roots: dict[int, int]  # label: node
+    roots: list[tuple[int | None, int]]  # label, none for those that share a tree, and node
     sphere: float
 
 
@@ -66,14 +72,50 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<i{data[0]}", offset=1)
 
 
-def whole_numbers(vector: list | None) -> np.ndarray | None:
-    """floor(SCALE * x) of each component; none if the vector, or a component, is null or not finite."""
-    if vector is None or any(x is None for x in vector):
-        return None
-    v = np.array(vector, np.float64)
-    if not np.isfinite(v).all():
-        return None
-    return np.clip(np.floor(SCALE * v), -LARGEST, LARGEST).astype(np.int64)
+def packed_rows(v: np.ndarray) -> list[bytes]:
+    """packed() of each row."""
+    least, most = v.min(axis=1, initial=0), v.max(axis=1, initial=0)
+    out: list[bytes] = [b""] * len(v)
+    left = np.ones(len(v), bool)
+    for kind in (np.int8, np.int16, np.int32):
+        at = np.flatnonzero(left & (least >= np.iinfo(kind).min) & (most <= np.iinfo(kind).max))
+        left[at] = False
+        size = np.dtype(kind).itemsize
+        data, step = v[at].astype(kind).tobytes(), size * v.shape[1]
+        for n, i in enumerate(at.tolist()):
+            out[i] = bytes([size]) + data[n * step : (n + 1) * step]
+    return out
+
+
+def unpacked_rows(data: list[bytes], width: int | None = None) -> np.ndarray:
+    """The vectors as rows of whole numbers, filled with zeros or cut to the width, which is that of the longest if not given."""
+    kind = np.array([d[0] for d in data], np.int64)
+    wide = (np.array([len(d) for d in data], np.int64) - 1) // np.maximum(kind, 1)
+    width = int(wide.max(initial=0)) if width is None else width
+    out = np.zeros((len(data), width), np.int64)
+    for k, w in set(zip(kind.tolist(), wide.tolist(), strict=True)):
+        at = np.flatnonzero((kind == k) & (wide == w))
+        part = np.frombuffer(b"".join([data[i][1:] for i in at.tolist()]), f"<i{k}").reshape(len(at), w)
+        out[at, : min(w, width)] = part[:, :width]
+    return out
+
+
+def whole_numbers(vectors: pa.ListArray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Which rows have a vector without null or infinite components; these, packed, as floor(SCALE * x) of each component; their squared lengths."""
+    offsets, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)  # null components are NaN
+    wide = np.diff(offsets)
+    keep = vectors.is_valid().to_numpy(zero_copy_only=False)
+    data, n2 = [b""] * len(wide), np.zeros(len(wide), np.int64)
+    for w in np.unique(wide[keep]).tolist():
+        at = np.flatnonzero(keep & (wide == w))
+        part = values[offsets[at][:, None] + np.arange(w)]
+        fine = np.isfinite(part).all(axis=1)
+        keep[at[~fine]] = False
+        v = np.clip(np.floor(SCALE * part[fine].astype(np.float64)), -LARGEST, LARGEST).astype(np.int64)
+        n2[at[fine]] = np.einsum("ij,ij->i", v, v)
+        for i, one in zip(at[fine].tolist(), packed_rows(v), strict=True):
+            data[i] = one
+    return keep, [data[i] for i in np.flatnonzero(keep)], n2[keep]
 
 
 def angles(values: np.ndarray, norms2: np.ndarray, center: int, sphere2: float) -> np.ndarray:
@@ -86,7 +128,7 @@ def angles(values: np.ndarray, norms2: np.ndarray, center: int, sphere2: float)
 
 def cover(values: np.ndarray, norms2: np.ndarray, sphere2: float, members: np.ndarray, nodes: list, parent: int | None, depth: int = 0) -> int:
     """Adds the nodes of one cover tree, as (center, angle, members, children), and returns the root's number. The centers of a level are taken farthest
-    first, until half of the node's angle covers all or FAN_OUT are there; each row goes to its nearest center."""
+    first, until half of the node's angle covers all or there are as many as two to LEAF rows, FAN_OUT at most; each row goes to its nearest center."""
     number = len(nodes)
     node = [int(members[0]) if parent is None else parent, 0.0, members, []]
     nodes.append(node)
@@ -97,7 +139,8 @@ def cover(values: np.ndarray, norms2: np.ndarray, sphere2: float, members: np.nd
     if len(members) <= LEAF or node[1] <= SAME_ANGLE or depth == DEEPEST:
         return number
     nearest, centers = np.zeros(len(members), np.int64), [first]
-    while len(centers) < FAN_OUT and near.max() > node[1] / 2:
+    most = min(FAN_OUT, -(-2 * len(members) // LEAF))
+    while len(centers) < most and near.max() > node[1] / 2:
         centers.append(int(near.argmax()))
         d = angles(*own, centers[-1], sphere2)
         closer = d < near
@@ -109,17 +152,17 @@ def cover(values: np.ndarray, norms2: np.ndarray, sphere2: float, members: np.nd
 
 
 def build(rows: list[int], ids: list[int | None], labels: list[int], vectors: list[bytes], sphere2: int) -> Block:
-    """The cover trees of a block, one a label."""
-    parts = [unpacked(v) for v in vectors]
-    width = max(map(len, parts))
-    exact = np.zeros((len(parts), width), np.int64)
-    for i, p in enumerate(parts):
-        exact[i, : len(p)] = p
-    values = exact.astype(np.float64)
+    """The cover trees of a block, one a label; labels of fewer than LEAF rows share one."""
+    whole = unpacked_rows(vectors)
+    values = whole.astype(np.float64)
     norms2 = np.einsum("ij,ij->i", values, values)
-    label = np.array(labels, np.int64)
+    label = np.asarray(labels, np.int64)
     nodes: list = []
-    roots = {int(one): cover(values, norms2, float(sphere2), np.flatnonzero(label == one), nodes, None) for one in np.unique(label)}
+    known, which, count = np.unique(label, return_inverse=True, return_counts=True)
+    roots = [(int(known[n]), cover(values, norms2, float(sphere2), np.flatnonzero(which == n), nodes, None)) for n in np.flatnonzero(count >= LEAF)]
+    few = np.flatnonzero(count[which] < LEAF)
+    if len(few):
+        roots.append((None, cover(values, norms2, float(sphere2), few, nodes, None)))
     order: list[np.ndarray] = []
     span = np.zeros((len(nodes), 2), np.int64)
 
@@ -135,92 +178,107 @@ def build(rows: list[int], ids: list[int | None], labels: list[int], vectors: li
         return at
 
     at = 0
-    for root in roots.values():
+    for _, root in roots:
         at = lay(root, at)
     place = np.concatenate(order)
-    where = np.empty(len(place), np.int64)
-    where[place] = np.arange(len(place))
-    safe = width * float(np.abs(exact).max(initial=0)) * math.sqrt(sphere2) < 2**53
+    # sums of products of two vectors, and parts of them, stay below the largest squared length
+    kind = np.float32 if sphere2 < 2**24 else np.float64 if sphere2 < 2**53 else np.int64
+    ids = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64) if isinstance(ids, list) else ids
     return Block(
-        np.array(rows, np.int64)[place], np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)[place], values[place], None if safe else exact[place],
-        where[[n[0] for n in nodes]], np.array([n[1] for n in nodes]), span, [np.array(n[3], np.int64) for n in nodes], roots, math.sqrt(sphere2),
+        np.asarray(rows, np.int64)[place], ids[place], label[place], whole[place].astype(kind), values[[n[0] for n in nodes]],
+        np.array([n[1] for n in nodes]), span, [np.array(n[3], np.int64) for n in nodes], roots, math.sqrt(sphere2),
     )
 
 
-def bounds(product: np.ndarray, angle: np.ndarray, length: float, sphere: float) -> tuple[np.ndarray, np.ndarray]:
+def bounds(product: np.ndarray, angle: np.ndarray, length: float | np.ndarray, sphere: float) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest product of a query of this length with what lies within an angle of centers that have these products with it."""
-    scale = length * sphere
-    if scale == 0:
-        return np.zeros_like(product), np.zeros_like(product)
-    turn = np.arccos(np.clip(product / scale, -1.0, 1.0))
+    scale = np.asarray(length * sphere, np.float64)
+    turn = np.arccos(np.clip(product / np.where(scale == 0, 1.0, scale), -1.0, 1.0))
     return scale * (np.cos(np.minimum(turn + angle, math.pi)) - SLACK), scale * (np.cos(np.maximum(turn - angle, 0.0)) + SLACK)
 
 
+def best(block: Block, row: np.ndarray, label: np.ndarray, vectors: list[bytes], which: np.ndarray, same: bool, lo: np.ndarray, hi: np.ndarray, need: int) -> tuple[np.ndarray, ...]:
+    """row, label, vectors: of each anchor. which, lo, hi: of each request, its anchor (in order, none without a request) and its window. For each request the best `need` rows of the
+    anchor's label, or of others, with lo <= score <= hi: request, score, vec id, row, better ones first; ties go to the smaller id."""
+    every = unpacked_rows(vectors).astype(np.float64)
+    length = np.sqrt(np.einsum("ij,ij->i", every, every))
+    whole = unpacked_rows(vectors, block.values.shape[1])
+    v, own = whole.astype(np.float64), whole.astype(block.values.dtype)
+    first = np.flatnonzero(np.diff(which, prepend=-1))
+    asks = np.diff(first, append=len(which))
+    floor, most = lo.copy(), np.maximum.reduceat(hi, first)
+    held, score, place = np.zeros(len(which), np.int64), np.zeros((len(which), need), np.int64), np.zeros((len(which), need), np.int64)
+
+    def kept(q: np.ndarray, s: np.ndarray, p: np.ndarray) -> None:
+        """Hits of requests beside what these have: the best stay and raise the floor."""
+        touched = np.unique(q)
+        there = np.arange(need) < held[touched][:, None]
+        q, s, p = np.concatenate([np.repeat(touched, held[touched]), q]), np.concatenate([score[touched][there], s]), np.concatenate([place[touched][there], p])
+        order = np.lexsort((block.rows[p], block.ids[p], -s, q))
+        q, s, p = q[order], s[order], p[order]
+        begin = np.flatnonzero(np.diff(q, prepend=-1))
+        nth = np.arange(len(q)) - np.repeat(begin, np.diff(begin, append=len(q)))
+        top = nth < need
+        score[q[top], nth[top]], place[q[top], nth[top]] = s[top], p[top]
+        held[touched] = np.minimum(np.diff(begin, append=len(q)), need)
+        full = touched[held[touched] == need]
+        floor[full] = np.maximum(lo[full], score[full, need - 1])
+
+    def met(anchors: np.ndarray, at: int, end: int, mixed: bool) -> int:
+        """Scores a range of rows; how many hits there were."""
+        product = own[anchors] @ block.values[at:end].T
+        least = np.minimum.reduceat(floor, first)[anchors]
+        hit = (product >= least.astype(product.dtype)[:, None]) & (product <= most[anchors].astype(product.dtype)[:, None])
+        if mixed:
+            hit &= (block.labels[at:end] == label[anchors][:, None]) == same
+        i, j = np.nonzero(hit)
+        s, p, i = product[i, j].astype(np.int64), j + at, anchors[i]
+        found = []
+        for k in range(int(asks[i].max(initial=0))):
+            r = first[i] + np.minimum(k, asks[i] - 1)
+            ok = (k < asks[i]) & (s >= floor[r]) & (s <= hi[r]) & (block.rows[p] != row[i])
+            found.append((r[ok], s[ok], p[ok]))
+        if any(len(x[0]) for x in found):
+            kept(*map(np.concatenate, zip(*found, strict=True)))
+        return len(s)
+
+    def down(number: int, anchors: np.ndarray, mixed: bool, step: int) -> int:
+        """Meets the rows below a node; how many of them may be scored at once, as floors are by then."""
+        low, high = bounds(v[anchors] @ block.center[number], block.angle[number], length[anchors], block.sphere)
+        anchors = anchors[(high >= np.minimum.reduceat(floor, first)[anchors]) & (low <= most[anchors])]
+        if not len(anchors):
+            return step
+        for child in block.children[number]:
+            step = down(int(child), anchors, mixed, step)
+        at, end = block.span[number] if not len(block.children[number]) else (0, 0)
+        while at < end:
+            upto = min(end, at + max(FIRST, min(step, PAIRS // len(anchors))))
+            hits = met(anchors, at, upto, mixed)
+            step = PAIRS if hits <= 2 * need * asks[anchors].sum() else min(PAIRS, 4 * step)
+            at = upto
+        return step
+
+    step = FIRST
+    for name, root in block.roots:
+        anchors = np.arange(len(row)) if name is None else np.flatnonzero((label == name) == same)
+        if len(anchors):
+            step = down(root, anchors, name is None, step)
+    there = np.arange(need) < held[:, None]
+    p = place[there]
+    return np.repeat(np.arange(len(which)), held), score[there], block.ids[p], block.rows[p]
+
+
 class Query:
-    """One anchor in one block; what has been scored is kept for its other windows."""
+    """One anchor in one block."""
 
     def __init__(self, block: Block, row: int, label: int, vector: bytes):
-        self.block, self.row, self.label = block, row, label
-        v = unpacked(vector)
-        self.whole = np.zeros(block.values.shape[1], np.int64)
-        self.whole[: min(len(v), len(self.whole))] = v[: len(self.whole)]
-        self.v, self.length = self.whole.astype(np.float64), float(np.linalg.norm(v.astype(np.float64)))
-        self.scored: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.expanded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _bounds(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b = self.block
-        return bounds(b.values[b.center[numbers]] @ self.v, b.angle[numbers], self.length, b.sphere)
-
-    def _below(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        if number not in self.expanded:
-            self.expanded[number] = self._bounds(self.block.children[number])
-        return self.expanded[number]
-
-    def _scores(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the rows below a leaf, and their places, best first."""
-        if number not in self.scored:
-            lo, hi = self.block.span[number]
-            product = self.block.values[lo:hi] @ self.v if self.block.exact is None else self.block.exact[lo:hi] @ self.whole
-            score = product.astype(np.int64)
-            order = np.lexsort((self.block.ids[lo:hi], -score))
-            self.scored[number] = score[order], order + lo
-        return self.scored[number]
+        self.block, self.row, self.label, self.vector = block, row, label, vector
 
     def best(self, same: bool, lo: int, hi: int, need: int) -> list[tuple[int, int, int]]:
         """(score, vec id, row) of the best `need` rows with lo <= score <= hi, better ones first; ties go to the smaller id."""
-        b = self.block
-        roots = np.array([n for label, n in b.roots.items() if (label == self.label) == same], np.int64)
-        heap: list[tuple[float, int]] = []
-        found: list[tuple[int, int, int]] = []  # a heap, worst first: (score, -id, place)
-
-        def offer(numbers: np.ndarray, bound: tuple[np.ndarray, np.ndarray]) -> None:
-            low, high = bound
-            floor = max(lo, found[0][0]) if len(found) == need else lo
-            for i in np.flatnonzero((high >= floor) & (low <= hi)):
-                heapq.heappush(heap, (-min(float(high[i]), float(hi)), int(numbers[i])))
-
-        if len(roots):
-            offer(roots, self._bounds(roots))
-        while heap:
-            high, number = heapq.heappop(heap)
-            if len(found) == need and -high < found[0][0]:
-                break
-            if len(b.children[number]):
-                offer(b.children[number], self._below(number))
-                continue
-            score, place = self._scores(number)
-            for i in range(int(np.searchsorted(-score, -hi, "left")), int(np.searchsorted(-score, -lo, "right"))):
-                if b.rows[place[i]] == self.row:
-                    continue
-                one = int(score[i]), -int(b.ids[place[i]]), int(place[i])
-                if len(found) < need:
-                    heapq.heappush(found, one)
-                elif one > found[0]:
-                    heapq.heapreplace(found, one)
-                else:
-                    break
-        return [(s, -i, int(b.rows[p])) for s, i, p in sorted(found, reverse=True)]
+        one = lambda x: np.array([x], np.int64)
+        _, *hits = best(self.block, one(self.row), one(self.label), [self.vector], one(0), same, one(lo), one(hi), need)
+        return list(zip(*(h.tolist() for h in hits), strict=True))
 
 
 _VECTORS = "row long, vec_id long, label long, anchor boolean, v binary, n2 long"
@@ -234,16 +292,7 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, data, n2 = [], [], []
-            for vector in batch.column(4):
-                part = vector.values if vector.is_valid else None
-                v = None
-                if part is not None and not part.null_count:
-                    v = whole_numbers(part.to_numpy(zero_copy_only=False))
-                keep.append(v is not None)
-                if v is not None:
-                    data.append(packed(v))
-                    n2.append(int(v @ v))
+            keep, data, n2 = whole_numbers(batch.column(4))
             left = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*left.columns[:4], pa.array(data, pa.binary()), pa.array(n2, pa.int64())], ["row", "vec_id", "label", "anchor", "v", "n2"])
 
@@ -253,10 +302,8 @@ def clean_vectors(rows: DataFrame) -> DataFrame:
 
 def pivots(vectors: DataFrame, many: int, sphere2: int) -> np.ndarray:
     """`many` rows of a sample of PIVOT_SAMPLE, farthest first: however many of them are taken from the front, they lie apart."""
-    sample = [unpacked(r["v"]) for r in vectors.select("v", F.xxhash64("row").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()]
-    values = np.zeros((len(sample), max(map(len, sample))))
-    for i, v in enumerate(sample):
-        values[i, : len(v)] = v
+    sample = [bytes(r["v"]) for r in vectors.select("v", F.xxhash64("row").alias("h")).orderBy("h").limit(PIVOT_SAMPLE).collect()]
+    values = unpacked_rows(sample).astype(np.float64)
     norms2 = np.einsum("ij,ij->i", values, values)
     chosen = [0]
     near = angles(values, norms2, 0, float(sphere2))
@@ -279,12 +326,10 @@ def in_blocks(vectors: DataFrame, n: int, sphere2: int) -> DataFrame:
         p = held.value
         up = np.sqrt(np.maximum(sphere2 - np.einsum("ij,ij->i", p, p), 0.0))
         for batch in batches:
-            out = []
-            for v, n2, k in zip(batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                v = unpacked(v.as_py())
-                width = min(len(v), p.shape[1])
-                near = p[:k, :width] @ v[:width].astype(np.float64) + up[:k] * math.sqrt(max(sphere2 - n2, 0))
-                out.append(int(near.argmax()))
+            v = unpacked_rows(batch.column(3).to_pylist(), p.shape[1]).astype(np.float64)
+            near = v @ p.T + np.sqrt(np.maximum(float(sphere2) - batch.column(4).to_numpy(), 0.0))[:, None] * up
+            near[np.arange(len(p)) >= batch.column(5).to_numpy()[:, None]] = -np.inf
+            out = near.argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.int32())], ["row", "vec_id", "label", "v", "cell"])
 
     dealt = stored(dealt.select("row", "vec_id", "label", "v", "n2", "cells").mapInArrow(nearest, "row long, vec_id long, label long, v binary, cell int"))
@@ -316,10 +361,7 @@ def summaries(blocks: DataFrame, sphere2: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _by_block(batches):
-            parts = [unpacked(r[2]) for r in rows]
-            values = np.zeros((len(parts), max(map(len, parts))))
-            for i, v in enumerate(parts):
-                values[i, : len(v)] = v
+            values = unpacked_rows([r[2] for r in rows]).astype(np.float64)
             angle = float(angles(values, np.einsum("ij,ij->i", values, values), 0, float(sphere2)).max())
             mixed = any(r[1] != rows[0][1] for r in rows)
             columns = [pa.array([block], pa.int64()), pa.array([rows[0][1]], pa.int64()), pa.array([mixed]), pa.array([rows[0][2]], pa.binary()), pa.array([angle])]
@@ -339,30 +381,28 @@ def routed(requests: DataFrame, summary: DataFrame, sphere2: int, first: bool) -
 
     def to(part: int) -> DataFrame:
         known = summary.filter(F.pmod(F.xxhash64("block"), F.lit(parts)) == part).collect()
-        centers = [unpacked(r["v"]) for r in known]
-        values = np.zeros((len(known), max(map(len, centers), default=0)))
-        for i, v in enumerate(centers):
-            values[i, : len(v)] = v
+        values = unpacked_rows([bytes(r["v"]) for r in known]).astype(np.float64)
         held = spark.sparkContext.broadcast((np.array([r["block"] for r in known], np.int64), np.array([r["label"] for r in known], np.int64), np.array([r["mixed"] for r in known], bool), values, np.array([r["angle"] for r in known])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, labels, mixed, values, angle = held.value
             for batch in batches:
-                which, to_ = [], []
-                seen = batch.column(7).to_pylist() if not first else [None] * batch.num_rows
-                for i, (_, label, data, same, _, lo, hi) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
-                    v = unpacked(data).astype(np.float64)
-                    width = min(len(v), values.shape[1])
-                    low, high = bounds(values[:, :width] @ v[:width], angle, float(np.linalg.norm(v)), sphere)
+                step = max(1, PAIRS // max(1, len(blocks)))
+                for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                    label, same, lo, hi = (part.column(i).to_numpy(zero_copy_only=False)[:, None] for i in (1, 3, 5, 6))
+                    v = unpacked_rows(part.column(2).to_pylist()).astype(np.float64)
+                    length = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+                    width = min(v.shape[1], values.shape[1])
+                    low, high = bounds(v[:, :width] @ values[:, :width].T, angle, length, sphere)
                     ok = (mixed | ((labels == label) == same)) & (high >= lo) & (low <= hi)
-                    if seen[i] is not None:
-                        ok &= blocks != seen[i]
-                    at = np.flatnonzero(ok)
-                    if first and len(at):
-                        at = at[[int(np.minimum(high[at], hi).argmax())]]
-                    which += [i] * len(at)
-                    to_ += blocks[at].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(to_, pa.int64()), *(c.take(pa.array(which, pa.int64())) for c in batch.columns[:7])], ["block", *names])
+                    if first:
+                        top = np.where(ok, np.minimum(high, hi), -np.inf).argmax(axis=1) if len(blocks) else 0
+                        ok &= np.arange(len(blocks)) == np.reshape(top, (-1, 1))
+                    else:
+                        seen = pc.fill_null(part.column(7), 0).to_numpy()[:, None]
+                        ok &= (blocks != seen) | part.column(7).is_null().to_numpy(zero_copy_only=False)[:, None]
+                    which, to_ = np.nonzero(ok)
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[to_], pa.int64()), *(c.take(pa.array(which, pa.int64())) for c in part.columns[:7])], ["block", *names])
 
         columns = requests.select(*names, *([] if first else ["visited"]))
         return columns.mapInArrow(run, "block long, row long, label long, v binary, same boolean, req long, lo long, hi long")
@@ -373,49 +413,57 @@ def routed(requests: DataFrame, summary: DataFrame, sphere2: int, first: bool) -
     return out
 
 
-def visited(blocks: DataFrame, requests: DataFrame, sphere2: int, need: int) -> DataFrame:
+def visited(blocks: DataFrame, requests: DataFrame, sphere2: int, need: int, tasks: int) -> DataFrame:
     """What each request (block, row, label, v, same, req, lo, hi) finds in its block: the best `need` rows, one row each. A task builds the cover trees of a block and
-    then reads its requests as a stream."""
+    then reads its requests as a stream. The work lies in pairs and not in bytes, so blocks go to `tasks` tasks whatever their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        block: Block | None = None
-        query: Query | None = None
-        at = None
+        at, block = None, None
+        parts: list[pa.RecordBatch] = []
         for batch in batches:
-            out: list[tuple] = []
-            for b, kind, row, vec_id, label, v, same, req, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != at:
-                    at, rows, block, query = b, [], None, None
-                if kind == 0:
-                    rows.append((row, vec_id, label, v))
+            b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(kind) != 0)) + 1
+            for begin, end in pairwise([0, *cuts.tolist(), len(b)] if len(b) else []):
+                if b[begin] != at:
+                    at, parts, block = b[begin], [], None
+                part = batch.slice(begin, end - begin)
+                if kind[begin] == 0:
+                    parts.append(part)
                     continue
                 if block is None:
-                    if not rows:
+                    if not parts:
+                        continue
+                    own, parts = pa.Table.from_batches(parts).combine_chunks(), []
+                    ids = pc.fill_null(own.column("vec_id"), np.iinfo(np.int64).max).to_numpy()
+                    block = build(own.column("row").to_numpy(), ids, own.column("label").to_numpy(), own.column("v").to_pylist(), sphere2)
+                asked = pa.Table.from_batches([part])
+                for same in (True, False):
+                    some = asked.filter(pc.equal(asked.column("same"), same))
+                    if not some.num_rows:
                         continue
-                    block, rows = build(*map(list, zip(*rows, strict=True)), sphere2), []
-                if query is None or query.row != row:
-                    query = Query(block, row, label, v)
-                out += [(row, same, req, *hit) for hit in query.best(same, lo, hi, need)]
-            kinds = (pa.int64(), pa.bool_(), *(pa.int64(),) * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["anchor", "same", "req", "score", "vec_id", "row"])
+                    row, req, lo, hi = (some.column(c).to_numpy() for c in ("row", "req", "lo", "hi"))
+                    first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+                    which = np.repeat(np.arange(len(first)), np.diff(first, append=len(row)))
+                    q, *hits = best(block, row[first], some.column("label").to_numpy()[first], some.column("v").take(pa.array(first)).to_pylist(), which, same, lo, hi, need)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((row[q], pa.int64()), (np.full(len(q), same), pa.bool_()), *((x, pa.int64()) for x in (req[q], *hits)))], ["anchor", "same", "req", "score", "vec_id", "row"])
 
     nothing = F.lit(None)
     own = blocks.select("block", F.lit(0).alias("kind"), "row", "vec_id", "label", "v", *(nothing.cast(t).alias(c) for c, t in (("same", "boolean"), ("req", "long"), ("lo", "long"), ("hi", "long"))))
     asked = requests.select("block", F.lit(1).alias("kind"), "row", nothing.cast("long").alias("vec_id"), "label", "v", "same", "req", "lo", "hi")
-    dealt = own.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind", "row", "req")
+    dealt = own.unionByName(asked).repartition(tasks, "block").sortWithinPartitions("block", "kind", "row", "req")
     return stored(dealt.mapInArrow(run, _HITS))
 
 
 def searched(blocks: DataFrame, summary: DataFrame, requests: DataFrame, sphere2: int, need: int) -> DataFrame:
     """The best `need` rows of each request over all blocks, by score, then vec_id: anchor, req, score, vec_id, row, nth."""
+    tasks = min(MOST_TASKS, 2 * summary.count())
     head = stored(routed(requests, summary, sphere2, first=True))
-    found = visited(blocks, head, sphere2, need)
+    found = visited(blocks, head, sphere2, need, tasks)
     floor = found.groupBy(F.col("anchor").alias("row"), "req").agg(F.count(F.lit(1)).alias("hits"), F.min("score").alias("least"))
     seen = head.select("row", "req", F.col("block").alias("visited")).join(floor.hint("shuffle_merge"), ["row", "req"], "left")
     rest = requests.join(seen.hint("shuffle_merge"), ["row", "req"], "left")
     rest = rest.withColumn("lo", F.when(F.col("hits") >= need, F.greatest("lo", "least")).otherwise(F.col("lo")))
-    more = visited(blocks, routed(rest, summary, sphere2, first=False), sphere2, need)
+    more = visited(blocks, routed(rest, summary, sphere2, first=False), sphere2, need, tasks)
     nth = F.row_number().over(Window.partitionBy("anchor", "req").orderBy(F.desc("score"), "vec_id", "row"))
     return found.unionByName(more).withColumn("nth", nth).filter(F.col("nth") <= need).select("anchor", "req", "score", "vec_id", "row", "nth")
 
