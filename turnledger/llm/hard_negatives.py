@@ -68,10 +68,6 @@ def packed(v: np.ndarray) -> bytes:
     return bytes([np.dtype(kind).itemsize]) + v.astype(kind).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<i{data[0]}", offset=1)
-
-
 def packed_rows(v: np.ndarray) -> list[bytes]:
     """packed() of each row."""
     least, most = v.min(axis=1, initial=0), v.max(axis=1, initial=0)
